@@ -43,3 +43,100 @@ def regions(spark: SparkSession, folder: str) -> DataFrame:
         F.expr("(o_orderkey * 37) % 100000").alias("start0"),
         F.expr("(o_orderkey * 37) % 100000 + 500").alias("end0"),
     )
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BASES = ("ACGT" * 7)[:26] * 2
+
+
+def contigs(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as sequences: letters become bases cyclically, the rest N."""
+    letters = F.translate(F.regexp_replace("text", "[ \t\n\r]+", ""), LETTERS, BASES)
+    return (
+        table(spark, folder, "documents")
+        .select(
+            F.col("doc_id").cast("string").alias("seqid"),
+            F.col("doc_id").cast("int").alias("ord"),
+            F.regexp_replace(letters, "[^ACGT]", "N").alias("bases"),
+        )
+        .withColumn("length", F.length("bases").cast("bigint"))
+        .filter("length > 0")
+    )
+
+
+def placed_exons(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as exon and CDS rows on the document contigs; one transcript per order."""
+    docs = contigs(spark, folder).select("seqid", "length")
+    n_docs = table(spark, folder, "documents").count()
+    rows = table(spark, folder, "lineitem").select(
+        F.concat(F.lit("t"), F.col("l_orderkey")).alias("tid"),
+        (F.col("l_orderkey") % n_docs).cast("string").alias("seqid"),
+        F.expr(f"if((l_orderkey div {n_docs}) % 2 = 0, '+', '-')").alias("strand"),
+        F.expr("if(l_returnflag = 'A', 'CDS', 'exon')").alias("kind"),
+        F.expr("l_partkey * 37 + l_linenumber * 11").alias("at"),
+        F.expr("cast(l_quantity as bigint) * 3").alias("size"),
+    )
+    return rows.join(docs, "seqid").select(
+        "tid",
+        "seqid",
+        "strand",
+        "kind",
+        (F.col("at") % F.col("length")).alias("start0"),
+        F.least((F.col("at") % F.col("length")) + F.col("size"), "length").alias("end0"),
+        "length",
+    )
+
+
+def features(spark: SparkSession, folder: str) -> DataFrame:
+    """Genes (customers), transcripts (orders; low priority ones are rRNA), exons (line items)."""
+    parents = lambda c: F.array(F.concat(F.lit(c[0]), F.col(c[1])))
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("seqid", "strand")]
+    nowhere = [F.lit(None).cast("bigint").alias(c) for c in ("start0", "end0")]
+    genes = table(spark, folder, "customer").select(
+        F.concat(F.lit("g"), F.col("c_custkey")).alias("id"),
+        F.array().cast("array<string>").alias("parents"),
+        F.lit("gene").alias("kind"),
+        *nothing,
+        *nowhere,
+        F.lit(False).alias("rrna"),
+    )
+    transcripts = table(spark, folder, "orders").select(
+        F.concat(F.lit("t"), F.col("o_orderkey")).alias("id"),
+        parents(("g", "o_custkey")).alias("parents"),
+        F.lit("mRNA").alias("kind"),
+        *nothing,
+        *nowhere,
+        (F.col("o_orderpriority") == "5-LOW").alias("rrna"),
+    )
+    parts = placed_exons(spark, folder).select(
+        F.lit("").alias("id"),
+        F.array("tid").alias("parents"),
+        "kind",
+        "seqid",
+        "strand",
+        "start0",
+        "end0",
+        F.lit(False).alias("rrna"),
+    )
+    return genes.unionByName(transcripts).unionByName(parts)
+
+
+SITE_OF_EVENT = {"signup": 0, "click": 1, "view": 2, "purchase": 3}
+
+
+def points(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as scored points: contig per user, second as position; errors are no sites."""
+    kind = F.create_map(*(F.lit(x) for pair in SITE_OF_EVENT.items() for x in pair))
+    rows = table(spark, folder, "events").select(
+        F.col("user_id").cast("string").alias("seqid"),
+        F.lit("+").alias("strand"),
+        F.unix_timestamp(F.col("ts").cast("timestamp")).alias("pos"),
+        F.try_element_at(kind, F.col("event_type")).alias("kind"),
+        F.when(F.col("value") > 0, F.log(F.col("value") / 50)).alias("logit"),
+    )
+    return (
+        rows.filter("kind is not null and logit >= 0")
+        .groupBy("seqid", "strand", "pos", "kind")
+        .agg(F.max("logit").alias("logit"))
+        .withColumn("part", F.lit(0.0))
+    )

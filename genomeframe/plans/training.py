@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,15 +90,21 @@ def train_model(
     max_span = length_cap(genes.agg(size).first()[0])
     max_intron = length_cap(introns.agg(size).first()[0])
     sites = materialize(site_training_rows(contigs, tiles, genes, introns), "site-samples")
-    weights = {}
-    for number, name in enumerate(SITES):
-        rows = sites.filter(F.col("type") == number)
-        weights[name] = fit_classifier(rows, balanced=True, iterations=iterations)
+    inputs = {name: sites.filter(F.col("type") == n) for n, name in enumerate(SITES)}
     for name, observed, longest in (
         ("IS-IE-pair", introns, max_intron),
         ("GS-GE-pair", genes, max_span),
     ):
         rows = pair_training_rows(contigs, tiles, observed, name, longest)
-        rows = materialize(rows, "pair-samples")
-        weights[name] = fit_classifier(rows, balanced=False, iterations=iterations)
-    return Model(weights, max_intron, max_span)
+        inputs[name] = materialize(rows, "pair-samples")
+    return Model(fit_all(inputs, iterations), max_intron, max_span)
+
+
+def fit_all(inputs: dict[str, DataFrame], iterations: int) -> dict[str, np.ndarray]:
+    """Fit the classifiers side by side: their many small jobs share the executors."""
+
+    def fit(name: str) -> np.ndarray:
+        return fit_classifier(inputs[name], balanced=name in SITES, iterations=iterations)
+
+    with ThreadPoolExecutor(len(inputs)) as pool:
+        return dict(zip(inputs, pool.map(fit, inputs)))
