@@ -22,6 +22,7 @@ from genomeframe.operators.samples import (
     sampling_stride,
     site_samples,
     site_windows,
+    spark_mix,
 )
 from genomeframe.operators.training import fit_classifier
 from genomeframe.operators.transcripts import introns_of, training_spans, transcript_bounds
@@ -47,11 +48,11 @@ def orient(pairs: DataFrame, contigs: DataFrame) -> DataFrame:
     )
 
 
-def site_training_rows(contigs, tiles, genes, introns, exact_hash: bool = False) -> DataFrame:
+def site_training_rows(contigs, tiles, genes, introns, mix=spark_mix) -> DataFrame:
     """Encoded site samples: ``type, target, weight, features``."""
     total = contigs.agg(F.sum("length")).first()[0]
     samples = site_samples(
-        contigs, boundary_labels(genes, introns), sampling_stride(total), exact_hash
+        contigs, boundary_labels(genes, introns), sampling_stride(total), mix
     ).join(contigs.select("seqid", "length"), "seqid")
     wide = energy_tiles(tiles, with_halo=True)
     return encode_sites(site_windows(samples, wide, "pos", ["type", "target", "weight"]))

@@ -456,7 +456,7 @@ def _site_samples(spark, sf):
     genes = materialize(_orf_genes(spark, sf), "genes")
     labels = samples.boundary_labels(genes, genes.limit(0))
     total = contigs.agg(F.sum("length")).first()[0]
-    return samples.site_samples(contigs, labels, samples.sampling_stride(total), exact_hash=True)
+    return samples.site_samples(contigs, labels, samples.sampling_stride(total), samples.md5_mix)
 
 
 def site_samples(spark, sf):
