@@ -51,6 +51,6 @@ def inside_contig(strand: Column, start0: Column, end0: Column, length: Column)
 
 
 def seeded_draw(seed: int, *parts: Column) -> Column:
-    """Deterministic uniform integer in ``[0, 2**32)`` from a seed and a row's identity."""
+    """Deterministic uniform integer in ``[0, 2**60)`` from a seed and a row's identity."""
     key = F.concat_ws(":", F.lit(str(seed)), *(p.cast("string") for p in parts))
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")

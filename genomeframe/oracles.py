@@ -158,9 +158,10 @@ placed AS (SELECT 't' || l_orderkey AS tid, c.seqid,
 
 def orfs(name: str, source: str) -> str:
     """CTEs with the longest reading frame of ``source(id, bases)``: id, start, stop."""
-    return f"""{name}_c AS (SELECT id, unnest(range(length(bases) - 2)) AS p, bases FROM {source}
-  WHERE length(bases) > 2),
-{name}_k AS (SELECT id, p, p % 3 AS f, bases[p + 1 : p + 3] AS codon FROM {name}_c),
+    return f"""{name}_c AS (SELECT id, unnest(range(length(bases))) AS p, unnest(string_split(bases, '')) AS b
+  FROM {source} WHERE length(bases) > 2),
+{name}_k AS (SELECT id, p, p % 3 AS f, b || lead(b) OVER w || lead(b, 2) OVER w AS codon FROM {name}_c
+  WINDOW w AS (PARTITION BY id ORDER BY p)),
 {name}_s AS (SELECT id, p, f, codon,
   codon IN ('TAA', 'TAG', 'TGA') AS stops, codon LIKE '%N%' AS unknown FROM {name}_k),
 {name}_g AS (SELECT *, coalesce(sum((stops OR unknown)::INT) OVER (PARTITION BY id, f ORDER BY p
@@ -246,9 +247,9 @@ FROM l JOIN o USING (tid)""",
 SELECT seqid, CAST(instr('ACGT', base) - 1 AS INTEGER) AS code, count(*) AS n FROM b GROUP BY ALL""",
     "revcomp": f"""WITH {CONTIGS} SELECT seqid, md5(reverse(translate(bases, 'ACGT', 'TGCA'))) AS digest,
  md5(reverse(translate(bases, 'ACGTRYMKBDHVN', 'TGCAYRKMVHDBN'))) AS iupac_digest FROM contigs""",
-    "stop_codons": f"""WITH {CONTIGS}, f AS (SELECT seqid, bases, unnest([0, 1, 2]) AS frame FROM contigs),
-k AS (SELECT seqid, frame, bases[frame + 1 + 3 * i : frame + 3 + 3 * i] AS codon FROM
- (SELECT *, unnest(range((length(bases) - frame) // 3)) AS i FROM f WHERE length(bases) >= frame + 3))
+    "stop_codons": f"""WITH {CONTIGS}, p AS (SELECT seqid, unnest(range(length)) AS i, unnest(string_split(bases, '')) AS b FROM contigs),
+k AS (SELECT * FROM (SELECT seqid, i % 3 AS frame, b || lead(b) OVER w || lead(b, 2) OVER w AS codon FROM p
+ WINDOW w AS (PARTITION BY seqid ORDER BY i)) WHERE codon IS NOT NULL)
 SELECT seqid, CAST(frame AS INTEGER) AS frame, count(*) FILTER (codon IN ('TAA', 'TAG', 'TGA')) AS stops, count(*) AS codons
 FROM k GROUP BY ALL""",
     "contig_tiles": f"""WITH {CONTIGS}, t AS (SELECT *, unnest(range((length - 1) // 16384 + 1)) AS tile FROM contigs)
@@ -271,8 +272,9 @@ p AS (SELECT tid, exon, 'five_prime_UTR' AS kind, s AS start0, s + lo AS end0, -
 SELECT tid, CAST(exon AS INTEGER) AS exon, kind, CAST(start0 AS BIGINT) AS start0, CAST(end0 AS BIGINT) AS end0,
  CAST(phase AS INTEGER) AS phase FROM p WHERE end0 > start0""",
     "motif_sites": f"""WITH {CONTIGS},
-p AS (SELECT seqid, length, i, bases[i + 1 : i + 2] AS pair FROM
- (SELECT *, unnest(range(length - 1)) AS i FROM contigs WHERE length >= 3)),
+p AS (SELECT seqid, length, i, b || lead(b) OVER (PARTITION BY seqid ORDER BY i) AS pair FROM
+ (SELECT seqid, length, unnest(range(length)) AS i, unnest(string_split(bases, '')) AS b
+  FROM contigs WHERE length >= 3)),
 r(mode, strand, role, pair, shift) AS (VALUES
  ('gtag', '+', 'start', 'GT', 1), ('gtag', '+', 'end', 'AG', 2),
  ('gtag', '-', 'start', 'CT', 1), ('gtag', '-', 'end', 'AC', 2),
@@ -291,3 +293,204 @@ ORACLES["fasta_roundtrip"] = f"""WITH {CONTIGS},
 t AS (SELECT *, unnest(range((length - 1) // 16384 + 1)) AS tile FROM contigs)
 SELECT seqid, CAST(dense_rank() OVER (ORDER BY ord) - 1 AS INTEGER) AS ord, tile, length,
  md5(bases[tile * 16384 + 1 : (tile + 1) * 16384]) AS digest FROM t"""
+
+
+# Energy ----------------------------------------------------------------------
+
+
+def energy_sql() -> str:
+    """CTEs ending in pw(seqid, pos, power): tap sums as shifted window values."""
+    from genomeframe.operators.energy import SCALES, morlet_kernel
+
+    reach = max(len(morlet_kernel(s)) // 2 for s in SCALES)
+    shifts = range(-reach, reach + 1)
+    name = {o: f"{'m' if o < 0 else 'p'}{abs(o)}" for o in shifts}
+    shifted = ", ".join(
+        f"coalesce(lag({c}, {-o}) OVER w, 0) AS {c}_{name[o]}" for o in shifts for c in "uv"
+    )
+    sums = []
+    for s in SCALES:
+        kernel = morlet_kernel(s)
+        half = len(kernel) // 2
+        taps = [(t - half, k) for t, k in enumerate(kernel)]
+        re = " + ".join(f"u_{name[o]} * ({k.real!r}) - v_{name[o]} * ({k.imag!r})" for o, k in taps)
+        im = " + ".join(f"u_{name[o]} * ({k.imag!r}) + v_{name[o]} * ({k.real!r})" for o, k in taps)
+        sums.append(f"CAST({re} AS FLOAT) AS r{s}, CAST({im} AS FLOAT) AS i{s}")
+    total = " + ".join(f"CAST(r{s} * r{s} + i{s} * i{s} AS DOUBLE)" for s in SCALES)
+    text = f"""sig AS (SELECT seqid, pos,
+  CASE WHEN b IN ('A', 'T') THEN 1 WHEN b IN ('C', 'G') THEN -1 ELSE 0 END / sqrt(2.0) AS u,
+  CASE WHEN b IN ('A', 'G') THEN 1 WHEN b IN ('C', 'T') THEN -1 ELSE 0 END / sqrt(2.0) AS v
+ FROM (SELECT seqid, unnest(range(length)) AS pos, unnest(string_split(bases, '')) AS b FROM contigs)),
+shifted AS (SELECT seqid, pos, {shifted} FROM sig WINDOW w AS (PARTITION BY seqid ORDER BY pos)),
+coef AS (SELECT seqid, pos, {', '.join(sums)} FROM shifted),
+pw AS MATERIALIZED (SELECT seqid, pos, ({total}) / {len(SCALES)} AS power FROM coef)"""
+    return text.replace("np.float64(", "(")
+
+
+ENERGY = energy_sql()
+
+PROFILE = f"""{PLACED}, {ENERGY},
+iv AS (SELECT DISTINCT seqid, strand, start0, end0 FROM placed),
+wn AS (SELECT seqid, strand, boundary, centre, count(*) AS copies FROM (
+ SELECT seqid, strand, 'start' AS boundary, CASE WHEN strand = '+' THEN start0 ELSE end0 - 1 END AS centre FROM iv
+ UNION ALL SELECT seqid, strand, 'end', CASE WHEN strand = '+' THEN end0 - 1 ELSE start0 END FROM iv) GROUP BY ALL),
+prof AS (SELECT boundary, CASE WHEN strand = '+' THEN o ELSE -o END AS "offset",
+  round(sum(power * copies) / sum(copies), 5) AS mean_power
+ FROM (SELECT *, unnest(range(-600, 601)) AS o FROM wn) x JOIN pw ON pw.seqid = x.seqid AND pw.pos = centre + o
+ GROUP BY ALL)"""
+
+PEAKS = PROFILE + """,
+curve AS (SELECT *, mean_power > lag(mean_power) OVER w AND mean_power >= lead(mean_power) OVER w AS top FROM prof
+ WHERE (boundary = 'start' AND "offset" BETWEEN -100 AND -1) OR (boundary = 'end' AND "offset" BETWEEN 1 AND 100)
+ WINDOW w AS (PARTITION BY boundary ORDER BY "offset")),
+peaks AS (SELECT boundary, "offset" AS peak FROM curve
+ QUALIFY row_number() OVER (PARTITION BY boundary ORDER BY coalesce(top, false) DESC, mean_power DESC, "offset") = 1)"""
+
+GENES = PLACED + """,
+closure AS (SELECT DISTINCT tid AS node, CASE WHEN c_custkey IS NOT NULL THEN 'g' || c_custkey END AS gene,
+  coalesce(o_orderpriority = '5-LOW', false) AS rrna
+ FROM placed LEFT JOIN orders ON tid = 't' || o_orderkey LEFT JOIN customer ON o_custkey = c_custkey),
+gx AS (SELECT DISTINCT seqid, start0, end0, strand, length, CASE WHEN gene IS NOT NULL THEN tid END AS tid
+ FROM placed JOIN closure ON tid = node WHERE kind = 'exon' AND NOT rrna),
+tx AS (SELECT * FROM gx WHERE tid IS NOT NULL),
+st AS (SELECT tid, min(start0) AS fs, last(end0 ORDER BY start0, end0) AS le, count(*) AS n FROM tx GROUP BY tid),
+x AS (SELECT tx.*, fs, le, n,
+  CASE WHEN strand = '+' THEN start0 = fs ELSE end0 = le END AS isfirst,
+  CASE WHEN strand = '+' THEN end0 = le ELSE start0 = fs END AS islast FROM tx JOIN st USING (tid)),
+""" + gaps("gin", "tx", "tid, seqid, strand")
+
+KBOUNDS = GENES + """,
+kb0 AS (SELECT a.seqid, a.start0, a.end0, a.strand, a.length, a.tid,
+  coalesce(max(b.end0) FILTER (b.end0 <= a.start0), 0) AS below,
+  coalesce(min(b.start0) FILTER (b.start0 >= a.end0), a.length) AS above
+ FROM x a JOIN x b USING (tid) WHERE a.n > 1 GROUP BY ALL),
+kb1 AS (SELECT seqid, start0, end0, strand, length, max(below) AS below, min(above) AS above FROM kb0 GROUP BY ALL),
+kb AS (SELECT seqid, start0, end0, strand,
+  CASE WHEN strand = '+' THEN below ELSE length - above END AS bound_low,
+  CASE WHEN strand = '+' THEN above ELSE length - below END AS bound_high FROM kb1)"""
+
+KMERS = KBOUNDS + PEAKS[len(PLACED):] + """,
+ke AS (SELECT DISTINCT seqid, strand, start0, end0, length FROM gx),
+kw AS (SELECT ke.*, coalesce(bound_low, 0) AS bl, coalesce(bound_high, length) AS bh,
+  CASE WHEN strand = '+' THEN start0 ELSE length - end0 END AS f,
+  CASE WHEN strand = '+' THEN end0 ELSE length - start0 END AS l
+ FROM ke LEFT JOIN kb USING (seqid, start0, end0, strand)),
+ks AS (SELECT *, 'start' AS boundary, f AS anchor, bl AS low, f AS high FROM kw
+ UNION ALL SELECT *, 'end', l - 1, l, bh FROM kw),
+kp AS (SELECT ks.*, peak, anchor + peak AS site FROM ks JOIN peaks USING (boundary)),
+kc AS (SELECT kp.*, CASE WHEN strand = '+' THEN site ELSE kp.length - 1 - site END AS centre,
+  site - 10 >= greatest(low, 0) AND site + 11 <= least(high, kp.length) AS inside FROM kp),
+kt AS (SELECT kc.*, CASE WHEN inside THEN CASE WHEN strand = '+' THEN bases[centre - 9 : centre + 11]
+  ELSE reverse(translate(bases[centre - 9 : centre + 11], 'ACGT', 'TGCA')) END END AS raw
+ FROM kc JOIN contigs USING (seqid)),
+km AS (SELECT *, CASE WHEN regexp_full_match(raw, '[ACGT]{21}') THEN raw END AS kmer FROM kt)"""
+
+SAMPLES = f"""{CONTIGS}, src AS (SELECT seqid AS id, bases FROM contigs), {orfs('orf', 'src')},
+sd AS (SELECT CASE WHEN t <= 10000 THEN 1 ELSE CAST(pow(2, ceil(log2(t / 10000.0))) AS BIGINT) END AS stride
+ FROM (SELECT 2 * sum(length) AS t FROM contigs)),
+pos0 AS (SELECT seqid, ord, length, unnest(range(length + 1)) AS pos FROM contigs),
+bits(strand, type, bit) AS (VALUES ('+', 0, 0), ('+', 1, 1), ('+', 2, 2), ('+', 3, 3),
+ ('-', 0, 4), ('-', 1, 5), ('-', 2, 6), ('-', 3, 7)),
+good AS (SELECT id AS seqid, '+' AS strand, start AS pos, 0 AS type FROM orf
+ UNION ALL SELECT id, '+', stop, 3 FROM orf),
+neg AS (SELECT seqid, strand, pos, type FROM pos0, bits, sd
+ WHERE ('0x' || substr(md5('0:' || ord || ':' || CASE WHEN strand = '+' THEN pos ELSE length - pos END || ':' || bit), 1, 15))::BIGINT
+  % stride = 0),
+sam AS (SELECT seqid, strand, pos, type, 1 AS target, 1.0::DOUBLE AS weight FROM good
+ UNION ALL SELECT seqid, strand, pos, type, 0, CAST(stride AS DOUBLE) FROM neg ANTI JOIN good USING (seqid, strand, pos, type), sd)"""
+
+POINTS = """pts AS (SELECT CAST(user_id AS VARCHAR) AS seqid, '+' AS strand, CAST(floor(epoch(ts)) AS BIGINT) AS pos,
+  CASE event_type WHEN 'signup' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 END AS kind,
+  max(ln(value / 50)) AS logit FROM events WHERE value >= 50 AND event_type <> 'error' GROUP BY ALL),
+cand AS (SELECT a.seqid, a.strand, a.pos AS start0, b.pos AS end0,
+  a.logit + b.logit + (1.0 - (b.pos - a.pos) / 200000.0::DOUBLE) AS score
+ FROM pts a JOIN pts b ON a.seqid = b.seqid AND a.kind = 0 AND b.kind = 3 AND b.pos > a.pos AND b.pos - a.pos <= 200000
+ WHERE 1.0 - (b.pos - a.pos) / 200000.0::DOUBLE >= 0)"""
+
+CONTROL_DRAW = "('0x' || substr(md5('42:{what}:' || seqid || ':' || start0 || ':' || end0 || ':' || strand || ':' || attempt), 1, 15))::BIGINT"
+
+ORACLES |= {
+    "energy_per_contig": f"""WITH {CONTIGS}, {ENERGY} SELECT seqid, count(*) AS n,
+ round(avg(power), 5) AS mean_power, round(max(power), 5) AS max_power FROM pw GROUP BY seqid""",
+    "energy_quantile": f"WITH {CONTIGS}, {ENERGY} SELECT round(quantile_cont(power, 0.995), 5) AS quantile FROM pw",
+    "profile_rows": f"""WITH {PLACED}, iv AS (SELECT DISTINCT seqid, strand, start0, end0 FROM placed),
+k AS (SELECT *, row_number() OVER (ORDER BY end0 - start0, seqid, start0, end0, strand) - 1 AS rank FROM iv),
+t AS (SELECT count(*) AS n, least(1500, count(*)) AS bins FROM iv),
+e AS (SELECT r AS row, CAST(floor(r * (n / bins)) AS BIGINT) AS edge FROM t, range(1500) x(r) WHERE r < bins)
+SELECT seqid, strand, start0, end0, rank, row FROM k ASOF JOIN e ON k.rank >= e.edge""",
+    "boundary_profile": f'WITH {PROFILE} SELECT boundary, "offset", mean_power FROM prof',
+    "profile_peaks": f"WITH {PEAKS} SELECT boundary, peak FROM peaks",
+    "feature_ancestors": f"WITH {GENES} SELECT node, gene, rrna FROM closure",
+    "exon_sets": f"""WITH {GENES} SELECT DISTINCT * FROM (
+ SELECT 'exons' AS "set", seqid, start0, end0, strand FROM gx
+ UNION ALL SELECT 'introns', seqid, start0, end0, strand FROM gin
+ UNION ALL SELECT CASE WHEN n > 1 THEN 'multi-exons' ELSE 'single-exons' END, seqid, start0, end0, strand FROM x
+ UNION ALL SELECT 'first-exons', seqid, start0, end0, strand FROM x WHERE isfirst
+ UNION ALL SELECT 'last-exons', seqid, start0, end0, strand FROM x WHERE islast
+ UNION ALL SELECT 'first-last-start', seqid, start0, end0, strand FROM x WHERE isfirst AND n > 1
+ UNION ALL SELECT 'first-last-end', seqid, start0, end0, strand FROM x WHERE islast AND n > 1)""",
+    "kmer_bounds": f"WITH {KBOUNDS} SELECT * FROM kb",
+    "exclusion_masks": f"""WITH {GENES}, gi AS (SELECT seqid, start0, end0 FROM gx UNION ALL SELECT seqid, start0, end0 FROM gin),
+{merged('m1', 'gx', 'seqid')}, {merged('m2', 'gi', 'seqid')}
+SELECT *, 'exons' AS mask FROM m1 UNION ALL SELECT *, 'exons+introns' FROM m2""",
+    "splice_site_positions": f"""WITH {GENES}, p AS (
+ SELECT seqid, unnest([fs, fs + 1, le - 2, le - 1]) AS pos FROM (SELECT DISTINCT seqid, tid, fs, le FROM x)
+ UNION ALL SELECT seqid, pos FROM (SELECT seqid, start0, end0, unnest([start0, start0 + 1, end0 - 2, end0 - 1]) AS pos FROM gin)
+  WHERE pos >= start0 AND pos < end0)
+SELECT DISTINCT p.seqid, pos FROM p JOIN contigs c ON p.seqid = c.seqid WHERE pos >= 0 AND pos < c.length""",
+    "kmers": f"WITH {KMERS} SELECT seqid, strand, start0, end0, boundary, coalesce(kmer, '') AS kmer FROM km",
+    "kmer_information": f"""WITH {KMERS},
+b AS (SELECT boundary, unnest(range(21)) AS "column", unnest(string_split(kmer, '')) AS base FROM km WHERE kmer IS NOT NULL),
+c AS (SELECT boundary, "column", base, count(*) AS n FROM b GROUP BY ALL),
+h AS (SELECT *, n / sum(n) OVER w AS p, log2(sum(n) OVER w) - sum(n * log2(n)) OVER w / sum(n) OVER w AS entropy FROM c
+ WINDOW w AS (PARTITION BY boundary, "column"))
+SELECT boundary, "column", base, n, round(p * least(greatest(2.0 - entropy, 0.0), 2.0), 6) AS bits FROM h""",
+    "kmer_fasta": f"""WITH {KMERS}, h AS (SELECT boundary, kmer, peak, seqid || ':' || (start0 + 1) || '-' || end0 || ':' || strand || ':'
+ || CASE boundary WHEN 'start' THEN 'U' ELSE 'D' END || ':' || (centre + 1) || ':dist='
+ || CASE WHEN peak >= 0 THEN '+' ELSE '' END || peak || 'bp' AS header FROM km WHERE kmer IS NOT NULL)
+SELECT boundary, '>' || header || chr(10) || kmer AS fasta, boundary || chr(9) || header || chr(9) || peak AS distance FROM h""",
+    "matched_controls": f"""WITH {PLACED}, iv AS (SELECT DISTINCT seqid, strand, start0, end0 FROM placed),
+{merged('mk', 'iv', 'seqid')},
+cs AS (SELECT seqid AS cid, length, CAST(coalesce(sum(length) OVER (ORDER BY seqid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM contigs),
+tot AS (SELECT CAST(sum(length) AS BIGINT) AS total FROM contigs),
+tr AS (SELECT *, end0 - start0 AS size FROM (SELECT *, unnest(range(1, 201)) AS attempt FROM iv)),
+dr AS (SELECT tr.*, {CONTROL_DRAW.format(what='contig')} % total AS at,
+  CASE WHEN {CONTROL_DRAW.format(what='strand')} % 2 = 0 THEN '+' ELSE '-' END AS cstrand,
+  {CONTROL_DRAW.format(what='start')} AS d FROM tr, tot),
+pl AS (SELECT dr.*, cid, d % greatest(length - size + 1, 1) AS cs0 FROM dr ASOF JOIN cs ON dr.at >= cs.at WHERE length >= size),
+hit AS (SELECT pl.*, cs0 + size AS ce0, mk.end0 AS mend FROM pl ASOF LEFT JOIN mk ON pl.cid = mk.seqid AND pl.cs0 + pl.size - 1 >= mk.start0)
+SELECT seqid AS item_seqid, start0 AS item_start0, end0 AS item_end0, strand AS item_strand, CAST(attempt AS INTEGER) AS attempt,
+ cid AS seqid, cs0 AS start0, ce0 AS end0, cstrand AS strand FROM hit WHERE mend IS NULL OR mend <= cs0
+QUALIFY row_number() OVER (PARTITION BY seqid, start0, end0, strand ORDER BY attempt) = 1""",
+    "site_samples": f"WITH {SAMPLES} SELECT * FROM sam",
+    "class_weights": f"""WITH {SAMPLES} SELECT type, sum(weight) AS population, CAST(sum(target) AS BIGINT) AS positives,
+ count(*) AS samples, round(CASE WHEN sum(target) > 0 THEN (sum(weight) - sum(target)) / sum(target) END, 6) AS positive_weight
+FROM sam GROUP BY type""",
+    "pair_samples": f"""WITH {CONTIGS}, src AS (SELECT seqid AS id, bases FROM contigs), {orfs('orf', 'src')},
+mv AS (SELECT id, start, stop, start AS s, stop AS e FROM orf
+ UNION SELECT id, start, stop, start + o, stop FROM (SELECT *, unnest(range(-64, 65)) AS o FROM orf)
+ UNION SELECT id, start, stop, start, stop + o FROM (SELECT *, unnest(range(-64, 65)) AS o FROM orf))
+SELECT id AS seqid, '+' AS strand, count(*) AS n, CAST(count(*) FILTER (s = start AND e = stop) AS BIGINT) AS positives,
+ CAST(sum(s) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends FROM mv JOIN contigs c ON id = c.seqid
+WHERE s >= 0 AND e <= length AND e - s BETWEEN 1 AND 10000 GROUP BY id""",
+    "encoded_sites": f"""WITH {SAMPLES} SELECT s.seqid, strand, pos, type, 645 AS size,
+ CAST(length(regexp_replace(bases[greatest(pos - 64 - (strand = '-')::INT, 0) + 1 : pos + 65 - (strand = '-')::INT],
+  '[^ACGT]', '', 'g')) AS BIGINT) AS known FROM sam s JOIN contigs c ON s.seqid = c.seqid""",
+    "span_candidates": f"WITH {POINTS} SELECT seqid, strand, start0, end0, round(score, 6) AS score FROM cand",
+    "best_chain": f"""WITH RECURSIVE {POINTS},
+walk AS (SELECT seqid, strand, end0, score FROM cand WHERE score > 0
+ UNION ALL SELECT c.seqid, c.strand, c.end0, w.score + c.score FROM walk w JOIN cand c
+  ON c.seqid = w.seqid AND c.strand = w.strand AND c.start0 >= w.end0 WHERE c.score > 0)
+SELECT seqid, strand, round(max(score), 6) AS score FROM walk GROUP BY seqid, strand""",
+    "bedgraph_rows": f"""WITH {POINTS},
+p AS (SELECT *, pos - CASE WHEN kind = 3 THEN 1 ELSE 0 END AS start0 FROM pts)
+SELECT CASE kind WHEN 0 THEN 'GS' WHEN 1 THEN 'IS' WHEN 2 THEN 'IE' ELSE 'GE' END AS kind, strand, seqid, start0,
+ start0 + 1 AS end0, format('{{:.6g}}', 1 / (1 + exp(-logit))) AS value FROM p""",
+    "gene_numbers": f"""WITH {PLACED},
+s AS (SELECT tid, seqid, strand, min(start0) AS a, max(end0) AS b, max(length) AS length FROM placed GROUP BY tid, seqid, strand),
+g AS (SELECT seqid, strand, length, a, max(b) AS b FROM s GROUP BY ALL)
+SELECT g.seqid, strand, CASE WHEN strand = '+' THEN a ELSE g.length - b END AS span_start,
+ CASE WHEN strand = '+' THEN b ELSE g.length - a END AS span_end,
+ row_number() OVER (ORDER BY ord, CASE WHEN strand = '+' THEN 0 ELSE 1 END, a) AS gene
+FROM g JOIN contigs c ON g.seqid = c.seqid""",
+}
