@@ -363,7 +363,8 @@ KBOUNDS = GENES + """,
 kb0 AS (SELECT a.seqid, a.start0, a.end0, a.strand, a.length, a.tid,
   coalesce(max(b.end0) FILTER (b.end0 <= a.start0), 0) AS below,
   coalesce(min(b.start0) FILTER (b.start0 >= a.end0), a.length) AS above
- FROM x a JOIN x b USING (tid) WHERE a.n > 1 GROUP BY ALL),
+ FROM x a JOIN x b ON a.tid = b.tid WHERE a.n > 1
+ GROUP BY a.seqid, a.start0, a.end0, a.strand, a.length, a.tid),
 kb1 AS (SELECT seqid, start0, end0, strand, length, max(below) AS below, min(above) AS above FROM kb0 GROUP BY ALL),
 kb AS (SELECT seqid, start0, end0, strand,
   CASE WHEN strand = '+' THEN below ELSE length - above END AS bound_low,
