@@ -163,32 +163,63 @@ def boundary_windows(intervals: DataFrame, lengths: DataFrame, keep: Sequence[st
     )
 
 
+def _partial_profiles(radius: int):
+    """Sum window parts per (row, boundary) within a task, one array pair each."""
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for w in batch.itertuples(index=False):
+                part = np.asarray(w.part)
+                first = w.part_start - w.centre
+                if w.strand == "-":
+                    part, first = part[::-1], -(first + len(part) - 1)
+                at = slice(radius + first, radius + first + len(part))
+                both = sums.setdefault((w.row, w.boundary), np.zeros((2, 2 * radius + 1)))
+                both[0, at] += part * w.copies
+                both[1, at] += w.copies
+        keys = list(sums)
+        yield pd.DataFrame(
+            {
+                "row": [k[0] for k in keys],
+                "boundary": [k[1] for k in keys],
+                "totals": [sums[k][0] for k in keys],
+                "counts": [sums[k][1] for k in keys],
+            }
+        )
+
+    return add_up
+
+
 def boundary_profile(
     intervals: DataFrame,
     lengths: DataFrame,
     with_power: DataFrame,
-    row: str = "row",
+    row: str | None = "row",
     radius: int = RADIUS,
 ) -> DataFrame:
     """Sums and counts of energy per (row, boundary, offset) around interval boundaries.
 
     Offsets are oriented. Intervals sharing a boundary are counted once with a
-    weight before energy is attached, and the sums combine map-side, so only
-    ``rows x 2 x (2 radius + 1)`` partial sums per task are shuffled.
+    weight before energy is attached. Each task adds its windows up as arrays,
+    so only ``rows x 2`` of them per task are shuffled. ``row=None`` makes one
+    row of all intervals, which is enough for the mean profile.
     """
-    windows = boundary_windows(intervals, lengths, [row], radius)
+    numbered = F.lit(0) if row is None else F.col(row)
+    windows = boundary_windows(
+        intervals.withColumn("row", numbered.cast("bigint")), lengths, ["row"], radius
+    )
     parts = attach_tiles(
-        windows, with_power, "power", "low", "high", ["strand", row, "boundary", "centre", "copies"]
+        windows, with_power, "power", "low", "high", ["strand", "row", "boundary", "centre", "copies"]
     )
-    shift = F.col("part_start") + F.col("i") - F.col("centre")
-    offset = F.when(F.col("strand") == "+", shift).otherwise(-shift)
+    schema = "row bigint, boundary string, totals array<double>, counts array<double>"
+    partial = parts.mapInPandas(_partial_profiles(radius), schema)
+    cells = F.arrays_zip("totals", "counts")
     return (
-        parts.select("*", F.posexplode("part").alias("i", "power"))
-        .groupBy(row, "boundary", offset.alias("offset"))
-        .agg(
-            F.sum(F.col("power") * F.col("copies")).alias("total"),
-            F.sum("copies").alias("n"),
-        )
+        partial.select("row", "boundary", F.posexplode(cells).alias("i", "c"))
+        .groupBy("row", "boundary", (F.col("i") - radius).alias("offset"))
+        .agg(F.sum("c.totals").alias("total"), F.sum("c.counts").cast("bigint").alias("n"))
+        .filter("n > 0")
     )
 
 

@@ -302,10 +302,11 @@ def energy_quantile(spark, sf):
     return _round(energy.energy_quantile(rows, "power"), 5, "quantile")
 
 
-def _profile(spark, sf, rows=1500, radius=energy.RADIUS):
-    ranked = materialize(energy.rank_rows(_doc_intervals(spark, sf), rows), "ranked")
-    lengths = views.contigs(spark, sf)
-    return energy.boundary_profile(ranked, lengths, _energy(spark, sf), radius=radius)
+def _mean_profile(spark, sf):
+    rows, lengths = _doc_intervals(spark, sf), views.contigs(spark, sf)
+    return energy.mean_profile(
+        energy.boundary_profile(rows, lengths, _energy(spark, sf), row=None)
+    )
 
 
 def profile_rows(spark, sf):
@@ -314,19 +315,21 @@ def profile_rows(spark, sf):
 
 
 def boundary_profile(spark, sf):
-    mean = energy.mean_profile(_profile(spark, sf))
-    return _round(mean, 5, "mean_power").withColumn("offset", F.col("offset").cast("bigint"))
+    return _round(_mean_profile(spark, sf), 5, "mean_power").withColumn("offset", F.col("offset").cast("bigint"))
 
 
 def profile_matrix(spark, sf):
-    matrix = energy.profile_matrix(_profile(spark, sf, rows=10, radius=50))
+    ranked = materialize(energy.rank_rows(_doc_intervals(spark, sf), 1500), "ranked")
+    lengths = views.contigs(spark, sf)
+    matrix = energy.profile_matrix(
+        energy.boundary_profile(ranked, lengths, _energy(spark, sf), radius=50)
+    )
     matrix = _round(matrix, 5, "mean_power", "log_power")
     return matrix.withColumns({c: F.col(c).cast("bigint") for c in ("row", "offset")})
 
 
 def profile_peaks(spark, sf):
-    mean = energy.mean_profile(_profile(spark, sf))
-    peaks = energy.profile_peaks(_round(mean, 5, "mean_power"))
+    peaks = energy.profile_peaks(_round(_mean_profile(spark, sf), 5, "mean_power"))
     return peaks.withColumn("peak", F.col("peak").cast("bigint"))
 
 
