@@ -209,7 +209,7 @@ def longest_orf(spark, sf):
     return (
         views.contigs(spark, sf)
         .repartition(spark.sparkContext.defaultParallelism * 2, "seqid")
-        .select("seqid", found.alias("o"))
+        .select("seqid", orf.evaluated_once(found).alias("o"))
         .filter("o is not null")
         .select("seqid", F.col("o.start").cast("bigint").alias("start"), F.col("o.stop").cast("bigint").alias("stop"))
     )
@@ -242,7 +242,9 @@ def _forms(spark, sf):
 
 def _with_orf(forms):
     spliced = orf.splice(F.col("text"), F.col("span_start"), F.col("exons"))
-    return forms.withColumn("spliced", spliced).withColumn("orf", orf.longest_orf(F.col("spliced")))
+    return forms.select("*", orf.evaluated_once(spliced).alias("spliced")).select(
+        "*", orf.evaluated_once(orf.longest_orf(F.col("spliced"))).alias("orf")
+    )
 
 
 def transcript_orfs(spark, sf):
@@ -622,8 +624,7 @@ def gene_numbers(spark, sf):
     genes = spans.groupBy(*PLACE, "length", "a").agg(F.max("b").alias("b")).select(
         *PLACE, oriented_start(*args).alias("span_start"), oriented_end(*args).alias("span_end")
     )
-    if_minus = genes  # oriented ends of minus-strand genes are unique genomic starts
-    return search.number_genes(if_minus, contigs)
+    return search.number_genes(genes, contigs)
 
 
 # Files --------------------------------------------------------------------
