@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from genomeframe.queries import QUERIES
@@ -39,6 +40,7 @@ def main() -> None:
         started = time.time()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - started, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     result = {
         "metric": "headline_queries_total",
         "value": round(sum(seconds.values()), 3),
