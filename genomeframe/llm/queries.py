@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from genomeframe.llm import token_files
+from genomeframe.llm import pieces, token_files
 from genomeframe.llm.common import documents
 from genomeframe.session import shared_folder
 
@@ -18,6 +18,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of all documents and their decoded text, as digests."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pieces.encode_digests(docs, _tokenizer("piece_bpe_32k.model"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-ID files of all documents, read back: doc_id, start, n_tokens, ids_crc32."""
     folder = f"{shared_folder(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
@@ -27,6 +33,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_pieces": op4_pieces,
     "op8_token_files": op8_token_files,
 }
 

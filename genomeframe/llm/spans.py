@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
