@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from genomeframe.llm import pieces, token_files
+from genomeframe.llm import mixing, pieces, token_files
 from genomeframe.llm.common import documents
 from genomeframe.session import shared_folder
 
@@ -24,6 +24,11 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(docs, _tokenizer("piece_bpe_32k.model"))
 
 
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents: doc_id, size, source_size, target, taken, repetitions."""
+    return mixing.mix_report(documents(spark, sf_dir))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-ID files of all documents, read back: doc_id, start, n_tokens, ids_crc32."""
     folder = f"{shared_folder(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
@@ -34,7 +39,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pieces": op4_pieces,
+    "op6_mix": op6_mix,
     "op8_token_files": op8_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_mix": mixing.ORACLE,
+}
