@@ -6,9 +6,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from genomeframe.llm import mixing, pieces, token_files
-from genomeframe.llm.common import documents
+from genomeframe.llm import mixing, pieces, token_files, toxicity
+from genomeframe.llm.common import documents, table
 from genomeframe.session import shared_folder
 
 
@@ -37,10 +38,23 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, shards, folder, path, digests=True)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents: doc_id, held_out, score, predicted."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        (toxicity.remainder(F.col("doc_id"), 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.SCORE_LIMIT).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pieces": op4_pieces,
     "op6_mix": op6_mix,
     "op8_token_files": op8_token_files,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {
