@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genomeframe.llm import mixing, pieces, token_files, toxicity
+from genomeframe.llm import mixing, pieces, pseudonyms, token_files, toxicity
 from genomeframe.llm.common import documents, table
 from genomeframe.session import shared_folder
 
@@ -19,6 +19,15 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms for validated numbers and dates: doc_id, text, n_replaced.
+
+    The key is a parameter of the operator; this one is for the query only.
+    """
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pseudonyms.pseudonymised(docs, b"query key", count="n_replaced")
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of all documents and their decoded text, as digests."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -51,6 +60,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pseudonyms": op3_pseudonyms,
     "op4_pieces": op4_pieces,
     "op6_mix": op6_mix,
     "op8_token_files": op8_token_files,
