@@ -11,7 +11,7 @@ Kinds: card numbers and other digit runs of 13 to 19 digits (with or without
 a valid Luhn digit, which stays as it is), telephone numbers with country code,
 IPv4 addresses, social-security numbers, IBANs (check digits renewed), dates
 (ISO, day or month first with . / -; between 1900 and 2099), the digits of the
-local part of mail addresses, and hexadecimal tokens of 16 or more characters.
+local part of mail addresses, and hexadecimal tokens of 16 to 128 characters.
 Separators, lengths, letter case and leading signs stay.
 
 Cases: null texts stay null, empty ones empty; a value that fails its check
@@ -45,7 +45,7 @@ PATTERNS = {
     "ssn": r"(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))",
     "iso": r"(?P<iso>(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9]))",
     "day": r"(?P<day>(?<![0-9./-])[0-9]{1,2}(?P<sep>[./-])[0-9]{1,2}(?P=sep)(?:19|20)[0-9]{2}(?![0-9]))",
-    "hex": r"(?P<hex>\b(?=[0-9A-Fa-f]*[A-Fa-f])(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{16,}|[0-9A-F]{16,})\b)",
+    "hex": r"(?P<hex>\b(?=[0-9A-Fa-f]*[A-Fa-f])(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{16,128}|[0-9A-F]{16,128})\b)",
     "card": r"(?P<card>(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7})(?![0-9]))",
 }
 FINDER = re.compile("|".join(PATTERNS.values()), re.ASCII)
@@ -59,7 +59,7 @@ class Feistel:
         self.key = key
 
     def _round(self, domain: str, size: int, number: int, value: int, width: int) -> int:
-        message = f"{domain}|{size}|{number}|{value}".encode()
+        message = f"{domain}|{size:x}|{number}|{value:x}".encode()
         out = b""
         while len(out) * 8 < width + 64:
             out += hmac.digest(self.key, message + bytes([len(out) % 251]), hashlib.sha256)
