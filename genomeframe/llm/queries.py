@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genomeframe.llm import mixing, pieces, pseudonyms, token_files, toxicity
+from genomeframe.llm import digests, mixing, pieces, pseudonyms, token_files, toxicity
 from genomeframe.llm.common import documents, table
 from genomeframe.session import shared_folder
 
@@ -59,12 +59,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents and of their edited texts, and their likeness."""
+    return digests.edit_report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pseudonyms": op3_pseudonyms,
     "op4_pieces": op4_pieces,
     "op6_mix": op6_mix,
     "op8_token_files": op8_token_files,
     "op9_toxicity": op9_toxicity,
+    "op10_digests": op10_digests,
 }
 
 ORACLES: dict[str, str] = {
