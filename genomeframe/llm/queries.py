@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genomeframe.llm import digests, mixing, pieces, pseudonyms, token_files, toxicity
+from genomeframe.llm import digests, licences, mixing, pieces, pseudonyms, token_files, toxicity
 from genomeframe.llm.common import documents, table
 from genomeframe.session import shared_folder
 
@@ -39,6 +39,11 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best licence match of every document: doc_id, licence, dice, n_matches."""
+    return licences.scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-ID files of all documents, read back: doc_id, start, n_tokens, ids_crc32."""
     folder = f"{shared_folder(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pseudonyms": op3_pseudonyms,
     "op4_pieces": op4_pieces,
     "op6_mix": op6_mix,
+    "op7_licences": op7_licences,
     "op8_token_files": op8_token_files,
     "op9_toxicity": op9_toxicity,
     "op10_digests": op10_digests,
@@ -75,4 +81,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op6_mix": mixing.ORACLE,
+    "op7_licences": licences.ORACLE,
 }
