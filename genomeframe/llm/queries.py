@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genomeframe.llm import digests, licences, mixing, pieces, pseudonyms, token_files, toxicity
+from genomeframe.llm import digests, licences, mixing, pieces, progressive, pseudonyms, token_files, toxicity
 from genomeframe.llm.common import documents, table
 from genomeframe.session import shared_folder
 
@@ -19,6 +19,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_progressive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts stored as progressive images and read back, as digests."""
+    stored = progressive.store_media(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    return progressive.media_digests(stored)
+
+
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms for validated numbers and dates: doc_id, text, n_replaced.
 
@@ -55,7 +61,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents: doc_id, held_out, score, predicted."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    model = toxicity.train(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select(
         "doc_id",
         (toxicity.remainder(F.col("doc_id"), 4) == 2).alias("held_out"),
@@ -70,6 +76,7 @@ def op10_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_progressive": op2_progressive,
     "op3_pseudonyms": op3_pseudonyms,
     "op4_pieces": op4_pieces,
     "op6_mix": op6_mix,
