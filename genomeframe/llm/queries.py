@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genomeframe.llm import digests, licences, mixing, pieces, progressive, pseudonyms, token_files, toxicity
+from genomeframe.llm import digests, licences, mixing, order_minhash, pieces, progressive, pseudonyms, token_files, toxicity
 from genomeframe.llm.common import documents, table
 from genomeframe.session import shared_folder
 
@@ -40,6 +40,11 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(docs, _tokenizer("piece_bpe_32k.model"))
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document: doc_id, class_id."""
+    return order_minhash.classes(documents(spark, sf_dir)).select("doc_id", "class_id")
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents: doc_id, size, source_size, target, taken, repetitions."""
     return mixing.mix_report(documents(spark, sf_dir))
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_progressive": op2_progressive,
     "op3_pseudonyms": op3_pseudonyms,
     "op4_pieces": op4_pieces,
+    "op5_order_minhash": op5_order_minhash,
     "op6_mix": op6_mix,
     "op7_licences": op7_licences,
     "op8_token_files": op8_token_files,
