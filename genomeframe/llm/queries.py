@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genomeframe.llm import digests, licences, mixing, order_minhash, pieces, progressive, pseudonyms, token_files, toxicity
+from genomeframe.llm import digests, interpolation, licences, mixing, order_minhash, pieces, progressive, pseudonyms, token_files, toxicity
 from genomeframe.llm.common import documents, table
 from genomeframe.session import shared_folder
 
@@ -19,6 +19,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents by deleted interpolation."""
+    return interpolation.score(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op2_progressive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts stored as progressive images and read back, as digests."""
     stored = progressive.store_media(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
@@ -81,6 +86,7 @@ def op10_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_interpolation": op1_interpolation,
     "op2_progressive": op2_progressive,
     "op3_pseudonyms": op3_pseudonyms,
     "op4_pieces": op4_pieces,
