@@ -13,7 +13,7 @@ from genomeframe.llm.common import documents, table
 from genomeframe.session import shared_folder
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -42,7 +42,7 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of all documents and their decoded text, as digests."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return pieces.encode_digests(docs, _tokenizer("piece_bpe_32k.model"))
+    return pieces.encode_digests(docs, tokenizer("piece_bpe_32k.model"))
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-ID files of all documents, read back: doc_id, start, n_tokens, ids_crc32."""
     folder = f"{shared_folder(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
-    path = _tokenizer("byte_bpe_50k.json")
+    path = tokenizer("byte_bpe_50k.json")
     shards = token_files.write_token_files(documents(spark, sf_dir), folder, path)
     return token_files.read_token_files(spark, shards, folder, path, digests=True)
 
