@@ -30,7 +30,8 @@ TRAINING = """tr AS (
 def merged(name: str, source: str, keys: str) -> str:
     """CTEs that merge overlapping and touching intervals of ``source`` per key."""
     return f"""{name}_a AS (SELECT {keys}, start0, end0, max(end0) OVER (PARTITION BY {keys}
-  ORDER BY start0, end0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {source}),
+  ORDER BY start0, end0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+  FROM (SELECT DISTINCT {keys}, start0, end0 FROM {source})),
 {name}_b AS (SELECT *, sum(CASE WHEN reach IS NULL OR start0 > reach THEN 1 ELSE 0 END) OVER
   (PARTITION BY {keys} ORDER BY start0, end0 ROWS UNBOUNDED PRECEDING) AS island FROM {name}_a),
 {name} AS (SELECT {keys}, min(start0) AS start0, max(end0) AS end0 FROM {name}_b
@@ -198,7 +199,7 @@ ORACLES = {
     "length_caps": f"""WITH {TPAIRS},
 caps AS (SELECT 'span' AS pair, max(end0 - start0) AS longest FROM tbounds
  UNION ALL SELECT 'intron', max(end0 - start0) FROM tintrons)
-SELECT pair, longest, least(10000, greatest(2000, longest)) AS cap FROM caps""",
+SELECT pair, longest, greatest(2000, longest) AS cap FROM caps""",
     "label_bits": f"""WITH {TPAIRS},
 b AS (SELECT seqid, start0 AS pos, CASE WHEN strand = '+' THEN 1 ELSE 128 END AS bit FROM tbounds
  UNION ALL SELECT seqid, end0, CASE WHEN strand = '+' THEN 8 ELSE 16 END FROM tbounds
@@ -233,7 +234,7 @@ SELECT seqid, strand, start0, end0 FROM regions d ANTI JOIN m ON d.seqid = m.seq
         ALTERNATIVES.replace("WHERE kind = 'CDS' OR NOT p)", "WHERE kind = 'CDS')", 1)
     )
     + f" SELECT {RATES} FROM full_report",
-    "annotation_summary": f"""WITH {EXONS}, t AS (SELECT side, tid, seqid, bool_or(kind = 'CDS') AS c FROM ex GROUP BY ALL)
+    "gene_set_summary": f"""WITH {EXONS}, t AS (SELECT side, tid, seqid, bool_or(kind = 'CDS') AS c FROM ex GROUP BY ALL)
 SELECT side, count(*) AS transcripts_scored, count(*) FILTER (c) AS transcripts_with_cds,
  count(DISTINCT seqid) AS unique_seqids FROM t GROUP BY side""",
     "reciprocal_overlap": f"""WITH {SPANS},
@@ -393,7 +394,9 @@ pos0 AS (SELECT seqid, ord, length, unnest(range(length + 1)) AS pos FROM contig
 bits(strand, type, bit) AS (VALUES ('+', 0, 0), ('+', 1, 1), ('+', 2, 2), ('+', 3, 3),
  ('-', 0, 4), ('-', 1, 5), ('-', 2, 6), ('-', 3, 7)),
 good AS (SELECT id AS seqid, '+' AS strand, start AS pos, 0 AS type FROM orf
- UNION ALL SELECT id, '+', stop, 3 FROM orf),
+ UNION ALL SELECT id, '+', stop, 3 FROM orf
+ UNION ALL SELECT id, '+', start + (stop - start) // 3, 1 FROM orf
+ UNION ALL SELECT id, '+', start + (stop - start) // 3 * 2, 2 FROM orf),
 neg AS (SELECT seqid, strand, pos, type FROM pos0, bits, sd
  WHERE ('0x' || substr(md5('0:' || ord || ':' || CASE WHEN strand = '+' THEN pos ELSE length - pos END || ':' || bit), 1, 15))::BIGINT
   % stride = 0),
