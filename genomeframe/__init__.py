@@ -1 +1 @@
-"""Genome-annotation analytics as PySpark DataFrame operators."""
+"""Genome and gene-model analytics as PySpark DataFrame operators."""

@@ -11,7 +11,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def exons(spark: SparkSession, folder: str) -> DataFrame:
-    """Two annotations of the same loci: side 1 shifts some ends and drops nothing."""
+    """Two sets of gene models of the same loci: side 1 shifts some ends and drops nothing."""
     rows = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("tid"),
         F.expr("l_orderkey div 2").alias("gid"),

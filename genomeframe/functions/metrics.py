@@ -10,13 +10,6 @@ def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
-def log_loss(score: Column, target: Column) -> Column:
-    """Logistic loss that does not overflow for large scores."""
-    return (
-        F.greatest(score, F.lit(0.0)) - target * score + F.log1p(F.exp(-F.abs(score)))
-    )
-
-
 def with_rates(counts):
     """Add reference, prediction, precision, recall and f1 to tp/fp/fn rows.
 

@@ -1,4 +1,4 @@
-"""Agreement of two annotations: side 0 is the reference, side 1 the prediction."""
+"""Agreement of two sets of gene models: side 0 is the reference, side 1 the prediction."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from genomeframe.operators.intervals import (
     merge_intervals,
     overlapping,
 )
-from genomeframe.operators.scan import HOT_ROWS, bounded_groups
+from genomeframe.operators.scan import BIN_BITS
 from genomeframe.operators.transcripts import (
     CHAIN,
     TRANSCRIPT,
@@ -83,31 +83,27 @@ def exact_counts(items: DataFrame) -> DataFrame:
     )
 
 
-def alternative_regions(chains: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def alternative_regions(chains: DataFrame, bins: int | None = BIN_BITS) -> DataFrame:
     """Merged envelopes of the alternative chains of both sides."""
-    return merge_intervals(alternative_chains(chains), PLACE, hot_rows)
+    return merge_intervals(alternative_chains(chains), PLACE, bins)
 
 
-def compare_annotations(exons: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def compare_gene_sets(exons: DataFrame, bins: int | None = BIN_BITS) -> DataFrame:
     """The nine-metric report of side 1 against side 0.
 
-    Spans and chains feed several branches, so they are written once. One count
-    per transcript and one per contig strand tell every later scan whether it
-    needs bins: a place has at most two coordinates per span.
+    Spans and chains feed several branches, so they are written once.
     """
     spark = exons.sparkSession
-    spans = materialize(scoring_spans(exons, hot_rows), "spans")
-    by_transcript = bounded_groups(spans, TRANSCRIPT, hot_rows)
-    by_place = bounded_groups(spans, PLACE, hot_rows // 2)
-    introns = introns_of(spans, TRANSCRIPT, by_transcript)
+    spans = materialize(scoring_spans(exons, bins), "spans")
+    introns = introns_of(spans, TRANSCRIPT, bins)
     chains = materialize(chains_of(spans), "chains")
     start0, end0 = F.col("start0"), F.col("end0")
     low, high = start0 + 1, end0
     alternatives = overlapping(
         chains.select("side", *CHAIN).distinct(),
-        alternative_regions(chains, by_place),
+        alternative_regions(chains, bins),
         PLACE,
-        by_place,
+        bins,
     )
     items = (
         _items(spans, ("exon-segment", start0, end0, False))
@@ -129,7 +125,7 @@ def compare_annotations(exons: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame
         )
         .unionByName(_items(alternatives, ("alternative-isoform", start0, end0, True)))
     )
-    bases = covered_length(spans, "side", PLACE, by_place).select(
+    bases = covered_length(spans, "side", PLACE, bins).select(
         F.lit("nt").alias("metric"),
         F.col("shared").alias("tp"),
         (F.col("covered1") - F.col("shared")).alias("fp"),

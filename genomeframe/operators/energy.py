@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from genomeframe.operators.scan import HOT_ROWS, running_sum
-from genomeframe.operators.tiles import attach_tiles
+from genomeframe.operators.scan import BIN_BITS, running_sum
+from genomeframe.operators.tiles import attach_tiles, spread
 
 # Morlet scales, central frequency, cut-off and base encoding.
 SCALES = (2, 3, 4)
@@ -87,7 +87,33 @@ def energy_tiles(tiles: DataFrame, with_halo: bool = False) -> DataFrame:
             ]
             yield batch
 
-    return tiles.mapInPandas(add_power, schema)
+    return spread(tiles).mapInPandas(add_power, schema)
+
+
+def energy_summary(tiles: DataFrame) -> DataFrame:
+    """Per contig ``n``, ``mean_power`` and ``max_power``: one row leaves each tile."""
+
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cores = [
+                _power(b)[left : left + core]
+                for b, left, core in zip(batch["bases"], batch["left"], batch["core"])
+            ]
+            yield pd.DataFrame(
+                {
+                    "seqid": batch["seqid"],
+                    "n": [len(c) for c in cores],
+                    "total": [c.sum() for c in cores],
+                    "most": [c.max() for c in cores],
+                }
+            )
+
+    parts = spread(tiles).mapInPandas(summarise, "seqid string, n bigint, total double, most double")
+    return parts.groupBy("seqid").agg(
+        F.sum("n").alias("n"),
+        (F.sum("total") / F.sum("n")).alias("mean_power"),
+        F.max("most").alias("max_power"),
+    )
 
 
 def energy_rows(with_power: DataFrame) -> DataFrame:
@@ -98,7 +124,7 @@ def energy_rows(with_power: DataFrame) -> DataFrame:
 
 
 def rank_rows(
-    intervals: DataFrame, rows: int, hot_rows: int | None = HOT_ROWS
+    intervals: DataFrame, rows: int, bins: int | None = BIN_BITS
 ) -> DataFrame:
     """Sort intervals by (length, seqid, start, end, strand), cut into at most ``rows`` bins.
 
@@ -109,7 +135,7 @@ def rank_rows(
     group = ["_size", "seqid"]
     sized = intervals.withColumn("_size", F.col("end0") - F.col("start0"))
     at_start = running_sum(
-        sized.groupBy(*group, "start0").agg(F.count("*").alias("_n")), group, "start0", ["_n"], hot_rows
+        sized.groupBy(*group, "start0").agg(F.count("*").alias("_n")), group, "start0", ["_n"], bins
     )
     counts = sized.groupBy(*group).agg(F.count("*").alias("_m"))
     ahead = Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)
@@ -276,25 +302,17 @@ def region_energy(
     with_power: DataFrame,
     flank: int,
     pixels: int = 1600,
-    limit: int = 100_000,
 ) -> DataFrame:
     """``log1p`` of area-resampled energy per region and oriented bin.
 
     ``regions`` has ``region, seqid, strand, start0, end0``. Each base spreads
-    its energy over the fractional bins it covers. Regions over ``limit`` bases
-    with flanks are refused.
+    its energy over the fractional bins it covers, whatever the region's size.
     """
     spans = (
         regions.join(lengths.select("seqid", "length"), "seqid")
         .withColumn("low", F.greatest(F.col("start0") - flank, F.lit(0)))
         .withColumn("high", F.least(F.col("end0") + flank, F.col("length")))
         .withColumn("size", F.col("high") - F.col("low"))
-        .withColumn(
-            "low",
-            F.when(F.col("size") > limit, F.raise_error(F.lit(f"region over {limit} bases")))
-            .otherwise(F.col("low"))
-            .cast("bigint"),
-        )
     )
     keep = ["region", "strand", "low", "high", "size"]
     parts = attach_tiles(spans, with_power, "power", "low", "high", keep)

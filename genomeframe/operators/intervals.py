@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from genomeframe.operators.scan import (
     BIN,
-    HOT_ROWS,
+    BIN_BITS,
     Binned,
     bins_after,
     bins_before,
@@ -27,7 +27,7 @@ PLACE = ["seqid", "strand"]
 
 
 def _with_reach(
-    df: DataFrame, keys: Sequence[str], hot_rows: int | None, strict: bool = False
+    df: DataFrame, keys: Sequence[str], bins: int | None, strict: bool = False
 ) -> Binned:
     """Rows with ``reach``, the largest end among the rows before.
 
@@ -39,7 +39,7 @@ def _with_reach(
         keys,
         "start0",
         reduce=[F.max("end0").alias("end0")],
-        hot_rows=hot_rows,
+        bins=bins,
     )
     local = inside_bin(keys, "start0", "end0").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.greatest(F.max("end0").over(local), F.col("_reach_before"))
@@ -55,7 +55,7 @@ def _with_reach(
 
 
 def merge_intervals(
-    df: DataFrame, keys: Sequence[str] = PLACE, hot_rows: int | None = HOT_ROWS
+    df: DataFrame, keys: Sequence[str] = PLACE, bins: int | None = BIN_BITS
 ) -> DataFrame:
     """Union of intervals per key; overlapping and touching intervals merge.
 
@@ -63,7 +63,7 @@ def merge_intervals(
     heads and the last end of the key decide the result.
     """
     head_start = F.when(F.col("head"), F.col("start0"))
-    scanned = _with_reach(df, keys, hot_rows).carry(
+    scanned = _with_reach(df, keys, bins).carry(
         [
             F.min_by("reach", head_start).alias("_first_reach"),
             F.max("end0").alias("_bin_end"),
@@ -84,7 +84,7 @@ def merge_intervals(
 
 
 def assign_islands(
-    df: DataFrame, keys: Sequence[str] = PLACE, hot_rows: int | None = HOT_ROWS
+    df: DataFrame, keys: Sequence[str] = PLACE, bins: int | None = BIN_BITS
 ) -> DataFrame:
     """Add ``island``: start of the cluster of overlapping intervals a row belongs to.
 
@@ -93,7 +93,7 @@ def assign_islands(
     local = inside_bin(keys, "start0", "end0").rowsBetween(Window.unboundedPreceding, 0)
     head = F.when(F.col("head"), F.col("start0"))
     islands = (
-        _with_reach(df, keys, hot_rows, strict=True)
+        _with_reach(df, keys, bins, strict=True)
         .carry(
             [F.max(head).alias("_bin_head")],
             [F.max("_bin_head").over(bins_before(keys)).alias("_head_before")],
@@ -107,14 +107,14 @@ def assign_islands(
 
 
 def interval_gaps(
-    df: DataFrame, keys: Sequence[str], hot_rows: int | None = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], bins: int | None = BIN_BITS
 ) -> DataFrame:
     """Non-empty gaps between consecutive intervals of a key, as ``[end0, next start0)``.
 
     Hot keys must have distinct starts (merged intervals have).
     """
     placed = place_in_bins(
-        df.select(*keys, "start0", "end0"), keys, "start0", hot_rows=hot_rows
+        df.select(*keys, "start0", "end0"), keys, "start0", bins=bins
     )
     following = F.coalesce(
         F.lead("start0").over(inside_bin(keys, "start0", "end0")), F.col("_start_after")
@@ -135,14 +135,14 @@ def distinct_intervals(df: DataFrame, keys: Sequence[str] = PLACE) -> DataFrame:
 
 
 def _nearest_merged(
-    df: DataFrame, merged: DataFrame, keys: Sequence[str], hot_rows: int | None
+    df: DataFrame, merged: DataFrame, keys: Sequence[str], bins: int | None
 ) -> DataFrame:
     """``df`` plus ``_region``: the last merged interval starting before the row ends."""
     points = df.select(*keys, (F.col("end0") - 1).alias("_last0"))
     anchors = merged.select(
         *keys, F.col("start0").alias("_last0"), F.struct("start0", "end0").alias("_region")
     )
-    found = latest_at_or_before(points, anchors, keys, "_last0", "_region", hot_rows)
+    found = latest_at_or_before(points, anchors, keys, "_last0", "_region", bins)
     return df.withColumn("_last0", F.col("end0") - 1).join(found, [*keys, "_last0"])
 
 
@@ -154,27 +154,27 @@ def overlapping(
     df: DataFrame,
     merged: DataFrame,
     keys: Sequence[str] = PLACE,
-    hot_rows: int | None = HOT_ROWS,
+    bins: int | None = BIN_BITS,
 ) -> DataFrame:
     """Rows that share at least one base with a merged interval (semi join)."""
-    return _nearest_merged(df, merged, keys, hot_rows).filter(_touches()).select(*df.columns)
+    return _nearest_merged(df, merged, keys, bins).filter(_touches()).select(*df.columns)
 
 
 def not_overlapping(
     df: DataFrame,
     merged: DataFrame,
     keys: Sequence[str] = PLACE,
-    hot_rows: int | None = HOT_ROWS,
+    bins: int | None = BIN_BITS,
 ) -> DataFrame:
     """Rows that share no base with any merged interval (anti join)."""
-    return _nearest_merged(df, merged, keys, hot_rows).filter(~_touches()).select(*df.columns)
+    return _nearest_merged(df, merged, keys, bins).filter(~_touches()).select(*df.columns)
 
 
 def covered_length(
     df: DataFrame,
     side: str,
     keys: Sequence[str] = PLACE,
-    hot_rows: int | None = HOT_ROWS,
+    bins: int | None = BIN_BITS,
 ) -> DataFrame:
     """Base pairs covered by side 0, side 1 and both, as one row.
 
@@ -202,7 +202,7 @@ def covered_length(
         .agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
         .filter("d0 <> 0 or d1 <> 0")
     )
-    depth = running_sum(net, keys, "pos", ["d0", "d1"], hot_rows)
+    depth = running_sum(net, keys, "pos", ["d0", "d1"], bins)
     after = [F.col(f"d{s}_sum") > 0 for s in (0, 1)]
     before = [F.col(f"d{s}_sum") > F.col(f"d{s}") for s in (0, 1)]
 
@@ -218,7 +218,7 @@ def covered_length(
 
 
 def reciprocal_overlap(
-    a: DataFrame, b: DataFrame, keys: Sequence[str], hot_rows: int | None = HOT_ROWS
+    a: DataFrame, b: DataFrame, keys: Sequence[str], bins: int | None = BIN_BITS
 ) -> DataFrame:
     """Keys whose two forms share at least 75 % of their bases both ways.
 
@@ -243,7 +243,7 @@ def reciprocal_overlap(
             F.sum(F.when(F.col("side") == 1, F.col("e.step")).otherwise(0)).alias("d1"),
         )
     )
-    depth = running_sum(net, keys, "pos", ["d0", "d1"], hot_rows)
+    depth = running_sum(net, keys, "pos", ["d0", "d1"], bins)
     now = (F.col("d0_sum") > 0) & (F.col("d1_sum") > 0)
     was = (F.col("d0_sum") > F.col("d0")) & (F.col("d1_sum") > F.col("d1"))
     shared = F.sum((was.cast("bigint") - now.cast("bigint")) * F.col("pos"))

@@ -1,12 +1,11 @@
 """Ordered scans along a coordinate that never put a hot key into one task.
 
 A window partitioned by contig sorts the contig in one task, and one contig may
-hold a third of all rows. Each scan therefore first counts rows per key (map-side
-combined). Keys with at most ``hot_rows`` rows use the plain window. The rows of
-larger (hot) keys are reduced to one per coordinate and scanned per
-``(key, bin)``, a bin being ``2**BIN_BITS`` coordinates wide; what the other
-bins of the key contribute is joined back, and the per-key window sees one row
-per bin only. Rows of ordinary keys carry a null bin.
+hold a third of all rows. Each scan therefore reduces the rows to one per
+coordinate and scans them per ``(key, bin)``, a bin being ``2**BIN_BITS``
+coordinates wide; what the other bins of the key contribute is joined back, and
+the per-key window sees one row per bin only. A caller whose groups are bounded
+(each derives from a bounded span) passes ``bins=None`` and gets the plain window.
 """
 
 from __future__ import annotations
@@ -18,45 +17,21 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BIN_BITS = 16
-HOT_ROWS = 1 << 20
 BIN = "_bin"
 
 
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], hot_rows: int | None = HOT_ROWS
-) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows, or None if there are none.
-
-    At most ``rows / hot_rows`` keys, so the list is safe to broadcast.
-    ``hot_rows=None`` skips the count: the caller has bounded the groups, by an
-    earlier count or because each row derives from a bounded span.
-    """
-    if hot_rows is None:
-        return None
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    hot = counts.filter(F.col("_rows") > hot_rows).select(*keys)
-    return None if hot.isEmpty() else hot
-
-
-def bounded_groups(
-    df: DataFrame, keys: Sequence[str], hot_rows: int | None = HOT_ROWS
-) -> int | None:
-    """None if no key is hot, else ``hot_rows``: one count serving several scans."""
-    return None if hot_keys(df, keys, hot_rows) is None else hot_rows
-
-
 @dataclass(frozen=True)
 class Binned:
-    """Rows with their bin column; ``hot`` tells whether any key uses bins."""
+    """Rows with their bin column; ``hot`` tells whether bins are used."""
 
     rows: DataFrame
     keys: list[str]
     hot: bool
 
     def carry(self, summary: Sequence[Column], carried: Sequence[Column]) -> "Binned":
-        """Summarise the bins of hot keys, scan the summaries, join the result back.
+        """Summarise the bins, scan the summaries, join the result back.
 
-        Rows of ordinary keys get nulls: they have no other bins.
+        Without bins the rows get nulls: there are no other bins.
         """
         per_bin = (
             self.rows.filter(F.col(BIN).isNotNull()).groupBy(*self.keys, BIN).agg(*summary)
@@ -82,27 +57,20 @@ def place_in_bins(
     keys: Sequence[str],
     position: str,
     reduce: Sequence[Column] = (),
-    hot_rows: int | None = HOT_ROWS,
+    bins: int | None = BIN_BITS,
 ) -> Binned:
-    """Add the bin: null for ordinary keys, the coordinate bin for hot ones.
+    """Add the bin of the coordinate, or null without ``bins``.
 
-    ``reduce`` lists the aggregates that turn the rows of a hot key at one
+    ``reduce`` lists the aggregates that turn the rows of a key at one
     coordinate into one row, named like the columns they replace. Without it
     the input must already have one row per (key, coordinate).
     """
     keys = list(keys)
-    hot = hot_keys(df, keys, hot_rows)
-    no_bin = F.lit(None).cast("bigint")
-    if hot is None:
-        return Binned(df.withColumn(BIN, no_bin), keys, False)
-    hot = F.broadcast(hot)
-    hot_part = df.join(hot, keys, "left_semi")
-    if reduce:
-        hot_part = hot_part.groupBy(*keys, position).agg(*reduce)
-    cold_part = df.join(hot, keys, "left_anti").select(*hot_part.columns)
-    in_bin = F.shiftright(F.col(position).cast("bigint"), BIN_BITS)
-    rows = cold_part.withColumn(BIN, no_bin).unionByName(hot_part.withColumn(BIN, in_bin))
-    return Binned(rows, keys, True)
+    if bins is None:
+        return Binned(df.withColumn(BIN, F.lit(None).cast("bigint")), keys, False)
+    rows = df.groupBy(*keys, position).agg(*reduce) if reduce else df
+    in_bin = F.shiftright(F.col(position).cast("bigint"), bins)
+    return Binned(rows.withColumn(BIN, in_bin), keys, True)
 
 
 def inside_bin(keys: Sequence[str], *order: str | Column) -> WindowSpec:
@@ -129,12 +97,12 @@ def running_sum(
     keys: Sequence[str],
     position: str,
     values: Sequence[str],
-    hot_rows: int | None = HOT_ROWS,
+    bins: int | None = BIN_BITS,
 ) -> DataFrame:
     """Add ``<value>_sum``: inclusive prefix sums; one input row per (key, position)."""
     local = inside_bin(keys, position).rowsBetween(Window.unboundedPreceding, 0)
     before = bins_before(keys)
-    placed = place_in_bins(df, keys, position, hot_rows=hot_rows).carry(
+    placed = place_in_bins(df, keys, position, bins=bins).carry(
         [F.sum(v).alias(f"_{v}_bin") for v in values],
         [F.sum(f"_{v}_bin").over(before).alias(f"_{v}_before") for v in values],
     )
@@ -151,7 +119,7 @@ def latest_at_or_before(
     keys: Sequence[str],
     position: str,
     value: str,
-    hot_rows: int | None = HOT_ROWS,
+    bins: int | None = BIN_BITS,
 ) -> DataFrame:
     """As-of lookup: for each distinct point, ``value`` of the last anchor at or before it.
 
@@ -172,7 +140,7 @@ def latest_at_or_before(
     here = F.last(value, ignorenulls=True).over(local)
     anchored = F.when(F.col(value).isNotNull(), F.col(position))
     return (
-        place_in_bins(marks, keys, position, hot_rows=hot_rows)
+        place_in_bins(marks, keys, position, bins=bins)
         .carry(
             [F.max_by(value, anchored).alias("_last")],
             [F.last("_last", ignorenulls=True).over(bins_before(keys)).alias("_before")],

@@ -93,6 +93,11 @@ def tiles_from_pieces(
     )
 
 
+def spread(tiles: DataFrame) -> DataFrame:
+    """The tiles dealt over all tasks: contigs of one file or row group often share one."""
+    return tiles.repartition("seqid", "tile")
+
+
 def core_bases(tiles: DataFrame):
     """The tile's own bases, without the halo."""
     return F.substring(tiles["bases"], tiles["left"] + 1, tiles["core"])

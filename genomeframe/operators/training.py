@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame
@@ -27,7 +25,7 @@ def fit_classifier(
     ).first()
     positives, count = totals["positives"] or 0, totals["n"]
     if positives == 0 or positives == count:
-        raise ValueError("training annotation lacks positive or negative examples")
+        raise ValueError("training set lacks positive or negative examples")
     negatives = totals["population"] - positives
     positive_weight = negatives / positives if balanced else 1.0
     weighted = samples.withColumn(
@@ -45,18 +43,3 @@ def fit_classifier(
         tol=1e-9,
     ).fit(weighted)
     return np.append(fit.coefficients.toArray(), fit.intercept)
-
-
-def objective(samples: DataFrame, weights: np.ndarray) -> float:
-    """Unregularised weighted log-loss of a fit, for comparing fits by loss."""
-    from pyspark.ml.functions import vector_to_array
-
-    w = F.array(*(F.lit(float(x)) for x in weights[:-1]))
-    score = F.aggregate(
-        F.zip_with(vector_to_array("features"), w, lambda a, b: a * b),
-        F.lit(float(weights[-1])),
-        lambda t, v: t + v,
-    )
-    loss = F.greatest(score, F.lit(0.0)) - F.col("target") * score + F.log1p(F.exp(-F.abs(score)))
-    value = samples.agg(F.sum(F.col("weight") * loss)).first()[0]
-    return math.nan if value is None else float(value)

@@ -14,44 +14,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genomeframe.operators.intervals import interval_gaps, merge_intervals
-from genomeframe.operators.scan import HOT_ROWS, bounded_groups, hot_keys
+from genomeframe.operators.scan import BIN_BITS
 
 TRANSCRIPT = ["side", "gid", "tid", "seqid", "strand"]
 CHAIN = ["seqid", "strand", "n_spans", "start0", "end0", "hash1", "hash2"]
 
 
-def _prefer(exons: DataFrame, keys: Sequence[str], kind: str, hot_rows: int | None) -> DataFrame:
+def _prefer(exons: DataFrame, keys: Sequence[str], kind: str, bins: int | None) -> DataFrame:
     """Keep only ``kind`` rows of a transcript that has any, all rows of the others.
 
-    Ordinary transcripts share the shuffle of the merge that follows. If some
-    transcript is hot, the flag is aggregated map-side and joined back instead,
-    and a skew join can split it.
+    The flag is aggregated map-side and joined back, so a skew join can split a hot
+    transcript; without ``bins`` transcripts are bounded and share the shuffle of
+    the merge that follows.
     """
     flag = F.max(F.col("kind") == kind)
-    if hot_keys(exons, keys, hot_rows) is None:
+    if bins is None:
         flagged = exons.withColumn("_preferred", flag.over(Window.partitionBy(*keys)))
     else:
         flagged = exons.join(exons.groupBy(*keys).agg(flag.alias("_preferred")), list(keys))
     return flagged.filter((F.col("kind") == kind) | ~F.col("_preferred")).drop("_preferred")
 
 
-def scoring_spans(exons: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def scoring_spans(exons: DataFrame, bins: int | None = BIN_BITS) -> DataFrame:
     """Scored spans per transcript: any CDS hides all exons; merged."""
     wanted = exons.filter(F.col("kind").isin("CDS", "exon"))
-    known = bounded_groups(wanted, ["side", "tid"], hot_rows)
-    chosen = _prefer(wanted, ["side", "tid"], "CDS", known)
-    return merge_intervals(chosen, TRANSCRIPT, known)
+    chosen = _prefer(wanted, ["side", "tid"], "CDS", bins)
+    return merge_intervals(chosen, TRANSCRIPT, bins)
 
 
 def training_spans(
     exons: DataFrame,
     keys: Sequence[str] = ("seqid", "strand", "tid"),
-    hot_rows: int | None = HOT_ROWS,
+    bins: int | None = BIN_BITS,
 ) -> DataFrame:
     """Exons per parent for training: any exon hides the rest, else CDS without UTRs; merged."""
-    known = bounded_groups(exons, keys, hot_rows)
-    chosen = _prefer(exons, keys, "exon", known).filter(F.col("kind").isin("exon", "CDS"))
-    return merge_intervals(chosen, keys, known)
+    chosen = _prefer(exons, keys, "exon", bins).filter(F.col("kind").isin("exon", "CDS"))
+    return merge_intervals(chosen, keys, bins)
 
 
 def parents_without_exons(
@@ -83,10 +81,10 @@ def distinct_chains(chains: DataFrame) -> DataFrame:
 
 
 def introns_of(
-    spans: DataFrame, keys: Sequence[str] = TRANSCRIPT, hot_rows: int | None = HOT_ROWS
+    spans: DataFrame, keys: Sequence[str] = TRANSCRIPT, bins: int | None = BIN_BITS
 ) -> DataFrame:
     """Gaps between consecutive spans of each transcript."""
-    return interval_gaps(spans, keys, hot_rows)
+    return interval_gaps(spans, keys, bins)
 
 
 def transcript_bounds(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -135,7 +133,7 @@ def coding_only(exons: DataFrame) -> DataFrame:
     return exons.join(coding, ["side", "tid"], "left_semi")
 
 
-def annotation_summary(exons: DataFrame) -> DataFrame:
+def gene_set_summary(exons: DataFrame) -> DataFrame:
     """Scored transcripts, transcripts with CDS and contigs per side."""
     per_transcript = (
         exons.filter(F.col("kind").isin("CDS", "exon"))

@@ -1,4 +1,4 @@
-"""Train the six classifiers from a genome and an annotation."""
+"""Train the six classifiers from a genome and its gene models."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from genomeframe.operators.energy import energy_tiles
 from genomeframe.operators.intervals import distinct_intervals
 from genomeframe.operators.samples import (
     PAIR_TYPES,
+    SAMPLE_TARGET,
     SITES,
     boundary_labels,
     encode_pairs,
@@ -33,7 +34,7 @@ TRANSCRIPT = ["seqid", "strand", "tid"]
 
 
 def observed_pairs(exons: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct genomic gene spans and introns of a training annotation."""
+    """Distinct genomic gene spans and introns of the training gene models."""
     spans = materialize(training_spans(exons, TRANSCRIPT), "training-spans")
     genes = distinct_intervals(transcript_bounds(spans, TRANSCRIPT))
     introns = distinct_intervals(introns_of(spans, TRANSCRIPT))
@@ -48,11 +49,13 @@ def orient(pairs: DataFrame, contigs: DataFrame) -> DataFrame:
     )
 
 
-def site_training_rows(contigs, tiles, genes, introns, mix=spark_mix) -> DataFrame:
+def site_training_rows(
+    contigs, tiles, genes, introns, mix=spark_mix, sample_target: int = SAMPLE_TARGET
+) -> DataFrame:
     """Encoded site samples: ``type, target, weight, features``."""
     total = contigs.agg(F.sum("length")).first()[0]
     samples = site_samples(
-        contigs, boundary_labels(genes, introns), sampling_stride(total), mix
+        contigs, boundary_labels(genes, introns), sampling_stride(total, sample_target), mix
     ).join(contigs.select("seqid", "length"), "seqid")
     wide = energy_tiles(tiles, with_halo=True)
     return encode_sites(site_windows(samples, wide, "pos", ["type", "target", "weight"]))
@@ -80,17 +83,27 @@ def pair_training_rows(contigs, tiles, observed, pair: str, longest: int) -> Dat
 
 
 def train_model(
-    contigs: DataFrame, tiles: DataFrame, exons: DataFrame, iterations: int = 1000
+    contigs: DataFrame,
+    tiles: DataFrame,
+    exons: DataFrame,
+    iterations: int = 1000,
+    sample_target: int = SAMPLE_TARGET,
+    max_span: int | None = None,
+    max_intron: int | None = None,
 ) -> Model:
-    """Fit all classifiers. ``exons`` is the training view of the annotation.
+    """Fit all classifiers. ``exons`` is the training view of the gene models.
 
-    Sampled rows are written once; the number of negatives is bounded by design.
+    Sampled rows are written once. ``sample_target`` bounds the unlabelled positions
+    of the site fits; ``max_span`` and ``max_intron`` bound the pairs that are
+    learned and later predicted, and default to the longest observed ones.
     """
     genes, introns = observed_pairs(exons)
     size = F.max(F.col("end0") - F.col("start0"))
-    max_span = length_cap(genes.agg(size).first()[0])
-    max_intron = length_cap(introns.agg(size).first()[0])
-    sites = materialize(site_training_rows(contigs, tiles, genes, introns), "site-samples")
+    max_span = length_cap(genes.agg(size).first()[0], max_span)
+    max_intron = length_cap(introns.agg(size).first()[0], max_intron)
+    sites = materialize(
+        site_training_rows(contigs, tiles, genes, introns, sample_target=sample_target), "site-samples"
+    )
     inputs = {name: sites.filter(F.col("type") == n) for n, name in enumerate(SITES)}
     for name, observed, longest in (
         ("IS-IE-pair", introns, max_intron),

@@ -16,7 +16,7 @@ from genomeframe.functions.sequence import (
 )
 from genomeframe.operators import controls, energy, features, intervals, motifs, orf, samples
 from genomeframe.operators import search, tiles, transcripts
-from genomeframe.operators.comparison import alternative_regions, compare_annotations
+from genomeframe.operators.comparison import alternative_regions, compare_gene_sets
 from genomeframe.operators.intervals import PLACE
 from genomeframe.operators.transcripts import CHAIN
 from genomeframe.session import materialize, shared_folder
@@ -80,9 +80,7 @@ def length_caps(spark, sf):
         return longest.select(
             F.lit(name).alias("pair"),
             "longest",
-            F.least(
-                F.lit(samples.SAMPLE_TARGET), F.greatest(F.lit(samples.LOWEST_CAP), "longest")
-            ).alias("cap"),
+            F.greatest(F.lit(samples.LOWEST_CAP), "longest").alias("cap"),
         )
 
     return cap(transcripts.introns_of(spans, keys), "intron").unionByName(
@@ -141,20 +139,20 @@ def overlap_anti(spark, sf):
 
 
 def accuracy_report(spark, sf):
-    return _round(compare_annotations(views.exons(spark, sf)), 9, "precision", "recall", "f1")
+    return _round(compare_gene_sets(views.exons(spark, sf)), 9, "precision", "recall", "f1")
 
 
 def accuracy_tsv(spark, sf):
-    return table_sinks.metric_lines(compare_annotations(views.exons(spark, sf)), "tsv")
+    return table_sinks.metric_lines(compare_gene_sets(views.exons(spark, sf)), "tsv")
 
 
 def protein_coding_accuracy(spark, sf):
     coding = transcripts.coding_only(views.exons(spark, sf))
-    return _round(compare_annotations(coding), 9, "precision", "recall", "f1")
+    return _round(compare_gene_sets(coding), 9, "precision", "recall", "f1")
 
 
-def annotation_summary(spark, sf):
-    return transcripts.annotation_summary(views.exons(spark, sf))
+def gene_set_summary(spark, sf):
+    return transcripts.gene_set_summary(views.exons(spark, sf))
 
 
 def reciprocal_overlap(spark, sf):
@@ -268,13 +266,8 @@ def chain_refinement(spark, sf):
 
 def motif_sites(spark, sf):
     cut = tiles.tile_contigs(views.contigs(spark, sf))
-    modes = [
-        motifs.motif_sites(cut, m).select(F.lit(m).alias("mode"), "seqid", "strand", "role", "pos")
-        for m in motifs.MOTIFS
-    ]
     return (
-        modes[0]
-        .unionByName(modes[1])
+        motifs.motif_sites(cut, *motifs.MOTIFS)
         .groupBy("mode", "seqid", "strand", "role")
         .agg(F.count("*").alias("n"), F.sum("pos").alias("total"), F.max("pos").alias("last"))
     )
@@ -292,10 +285,7 @@ def _doc_intervals(spark, sf):
 
 
 def energy_per_contig(spark, sf):
-    rows = energy.energy_rows(_energy(spark, sf))
-    out = rows.groupBy("seqid").agg(
-        F.count("*").alias("n"), F.avg("power").alias("mean_power"), F.max("power").alias("max_power")
-    )
+    out = energy.energy_summary(tiles.tile_contigs(views.contigs(spark, sf)))
     return _round(out, 5, "mean_power", "max_power")
 
 
@@ -336,26 +326,26 @@ def profile_peaks(spark, sf):
 
 
 def _doc_regions(spark, sf):
-    """One region per contig: its middle half."""
+    """One region per contig: all of it."""
     return views.contigs(spark, sf).select(
         F.col("seqid").alias("region"),
         "seqid",
         F.when(F.col("ord") % 2 == 0, "+").otherwise("-").alias("strand"),
-        F.expr("length div 4").alias("start0"),
-        F.expr("length div 4 + length div 2 + 1").alias("end0"),
+        F.lit(0).cast("bigint").alias("start0"),
+        F.col("length").alias("end0"),
     )
 
 
 def region_energy(spark, sf):
     out = energy.region_energy(
-        _doc_regions(spark, sf), views.contigs(spark, sf), _energy(spark, sf), flank=100, pixels=50
+        _doc_regions(spark, sf), views.contigs(spark, sf), _energy(spark, sf), flank=energy.FLANK
     )
     return _round(out.select("region", "bin", "mean_power", "log_power"), 5, "mean_power", "log_power")
 
 
 def landmark_profile(spark, sf):
     rows = views.placed_exons(spark, sf)
-    marks = features.transcript_landmarks(rows, rows.filter("kind = 'CDS'"))
+    marks = features.transcript_landmarks(rows.filter("kind = 'exon'"), rows.filter("kind = 'CDS'"))
     out = energy.landmark_profile(marks, views.contigs(spark, sf), _energy(spark, sf))
     return _round(out, 5, "mean_power", "mean_slope").withColumn(
         "offset", F.col("offset").cast("bigint")
@@ -400,10 +390,11 @@ def splice_site_positions(spark, sf):
 
 
 def _kmers(spark, sf):
-    exons = _gene_exons(spark, sf).select("seqid", "start0", "end0", "strand").distinct()
+    rows = _gene_exons(spark, sf)
+    exons = rows.select("seqid", "start0", "end0", "strand").distinct()
     contigs = views.contigs(spark, sf)
     peaks = profile_peaks(spark, sf)
-    bounds = features.kmer_bounds(_gene_exons(spark, sf), contigs)
+    bounds = features.kmer_bounds(rows, contigs)
     return motifs.kmers_at_peaks(exons, contigs, tiles.tile_contigs(contigs), peaks, bounds)
 
 
@@ -456,10 +447,18 @@ def _orf_genes(spark, sf):
     )
 
 
+def _orf_introns(genes):
+    """The middle third of each such gene as an intron."""
+    third = F.expr("(end0 - start0) div 3")
+    return genes.select(
+        "seqid", "strand", (F.col("start0") + third).alias("start0"), (F.col("start0") + third * 2).alias("end0")
+    )
+
+
 def _site_samples(spark, sf):
     contigs = views.contigs(spark, sf).drop("bases")
     genes = materialize(_orf_genes(spark, sf), "genes")
-    labels = samples.boundary_labels(genes, genes.limit(0))
+    labels = samples.boundary_labels(genes, _orf_introns(genes))
     total = contigs.agg(F.sum("length")).first()[0]
     return samples.site_samples(contigs, labels, samples.sampling_stride(total), samples.md5_mix)
 
@@ -666,7 +665,7 @@ def gff3_roundtrip(spark, sf):
     )
     path = _folder(spark, "gff3")
     rows.write.text(path)
-    return gff3.scoring_annotation(gff3.read_features(spark, path)).rows
+    return gff3.scoring_view(gff3.read_features(spark, path)).rows
 
 
 def bed_roundtrip(spark, sf):
@@ -699,7 +698,7 @@ QUERIES = {
         accuracy_report,
         accuracy_tsv,
         protein_coding_accuracy,
-        annotation_summary,
+        gene_set_summary,
         reciprocal_overlap,
         base_counts,
         revcomp,
