@@ -462,10 +462,13 @@ dr AS (SELECT tr.*, {CONTROL_DRAW.format(what='contig')} % total AS at,
   CASE WHEN {CONTROL_DRAW.format(what='strand')} % 2 = 0 THEN '+' ELSE '-' END AS cstrand,
   {CONTROL_DRAW.format(what='start')} AS d FROM tr, tot),
 pl AS (SELECT dr.*, cid, d % greatest(length - size + 1, 1) AS cs0 FROM dr ASOF JOIN cs ON dr.at >= cs.at WHERE length >= size),
-hit AS (SELECT pl.*, cs0 + size AS ce0, mk.end0 AS mend FROM pl ASOF LEFT JOIN mk ON pl.cid = mk.seqid AND pl.cs0 + pl.size - 1 >= mk.start0)
-SELECT seqid AS item_seqid, start0 AS item_start0, end0 AS item_end0, strand AS item_strand, CAST(attempt AS INTEGER) AS attempt,
- cid AS seqid, cs0 AS start0, ce0 AS end0, cstrand AS strand FROM hit WHERE mend IS NULL OR mend <= cs0
-QUALIFY row_number() OVER (PARTITION BY seqid, start0, end0, strand ORDER BY attempt) = 1""",
+hit AS (SELECT pl.*, cs0 + size AS ce0, mk.end0 AS mend FROM pl ASOF LEFT JOIN mk ON pl.cid = mk.seqid AND pl.cs0 + pl.size - 1 >= mk.start0),
+won AS (SELECT * FROM hit WHERE mend IS NULL OR mend <= cs0
+ QUALIFY row_number() OVER (PARTITION BY seqid, start0, end0, strand ORDER BY attempt) = 1)
+SELECT iv.seqid AS item_seqid, iv.start0 AS item_start0, iv.end0 AS item_end0, iv.strand AS item_strand,
+ CAST(attempt AS INTEGER) AS attempt, cid AS seqid, cs0 AS start0, ce0 AS end0, cstrand AS strand,
+ CASE WHEN iv.end0 <= iv.start0 THEN 'no length left' WHEN attempt IS NULL THEN 'no free place in 200 attempts' END AS reason
+FROM iv LEFT JOIN won ON iv.seqid = won.seqid AND iv.start0 = won.start0 AND iv.end0 = won.end0 AND iv.strand = won.strand""",
     "site_samples": f"WITH {SAMPLES} SELECT * FROM sam",
     "class_weights": f"""WITH {SAMPLES} SELECT type, sum(weight) AS population, CAST(sum(target) AS BIGINT) AS positives,
  count(*) AS samples, round(CASE WHEN sum(target) > 0 THEN (sum(weight) - sum(target)) / sum(target) END, 6) AS positive_weight
