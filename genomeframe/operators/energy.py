@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from genomeframe.operators.scan import BIN_BITS, running_sum
+from genomeframe.operators.scan import BIN_BITS, running_sum, sum_before
 from genomeframe.operators.tiles import attach_tiles, spread
+from genomeframe.session import materialize
 
 # Morlet scales, central frequency, cut-off and base encoding.
 SCALES = (2, 3, 4)
@@ -138,23 +139,20 @@ def rank_rows(
         sized.groupBy(*group, "start0").agg(F.count("*").alias("_n")), group, "start0", ["_n"], bins
     )
     counts = sized.groupBy(*group).agg(F.count("*").alias("_m"))
-    ahead = Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *group, F.coalesce(F.sum("_m").over(ahead), F.lit(0)).alias("_group_before")
-    )
+    offsets = sum_before(counts, group, "_m", "_group_before").drop("_m")
     before = at_start.join(offsets, group).select(
         *group, "start0", (F.col("_group_before") + F.col("_n_sum") - F.col("_n")).alias("_before")
     )
     total = int(counts.agg(F.sum("_m")).first()[0] or 0)
-    bins = max(1, min(rows, total))
+    cuts = max(1, min(rows, total))
     within = Window.partitionBy(*group, "start0").orderBy("end0", "strand")
-    # Row r holds ranks from floor(r * (total / bins)) in double arithmetic; the
+    # Row r holds ranks from floor(r * (total / cuts)) in double arithmetic; the
     # last edge is the total. A rank's row is the last edge not above it.
-    step = total / bins
-    guess = F.least(F.floor(F.col("rank") / F.lit(step)), F.lit(bins - 1)).cast("bigint")
+    step = total / cuts
+    guess = F.least(F.floor(F.col("rank") / F.lit(step)), F.lit(cuts - 1)).cast("bigint")
 
     def edge(r):
-        return F.when(r >= bins, F.lit(total)).otherwise(F.floor(r * F.lit(step)))
+        return F.when(r >= cuts, F.lit(total)).otherwise(F.floor(r * F.lit(step)))
 
     return (
         sized.join(before, [*group, "start0"])
@@ -290,10 +288,46 @@ def profile_peaks(mean: DataFrame, flank: int = FLANK) -> DataFrame:
     )
 
 
+#: Cells of one counting pass, and values few enough to be sorted at once.
+CELLS, FEW = 4096, 1 << 16
+
+
+def order_statistic(values: DataFrame, column: str, rank: int) -> float:
+    """The value of the given rank (from 0), by counting in ever narrower cells.
+
+    A pass brings one row for each of at most ``CELLS`` cells to the driver, and the
+    last one the at most ``FEW`` values of the cell that holds the rank.
+    """
+    v = F.col(column)
+    low, high, count = values.agg(F.min(v), F.max(v), F.count("*")).first()
+    while low < high and count > FEW:
+        width = (high - low) / CELLS
+        cell = F.least(F.floor((v - low) / width), F.lit(CELLS - 1))
+        inside = values.filter(v.between(low, high))
+        cells = inside.groupBy(cell.alias("cell")).agg(
+            F.count("*").alias("n"), F.min(v).alias("low"), F.max(v).alias("high")
+        )
+        for r in sorted(cells.collect(), key=lambda r: r.cell):
+            if rank < r.n:
+                low, high, count = r.low, r.high, r.n
+                break
+            rank -= r.n
+    if low == high:
+        return low
+    return sorted(r[0] for r in values.filter(v.between(low, high)).select(v).collect())[rank]
+
+
 def energy_quantile(values: DataFrame, column: str, q: float = 0.995) -> DataFrame:
     """Linear-interpolation quantile of the finite values."""
-    finite = values.filter(F.col(column).isNotNull() & ~F.isnan(column))
-    return finite.agg(F.percentile(column, F.lit(q)).alias("quantile"))
+    finite = values.filter(F.col(column).isNotNull() & ~F.isnan(column)).select(F.col(column).cast("double"))
+    finite = materialize(finite, "finite")
+    spark, n = values.sparkSession, finite.count()
+    if not n:
+        return spark.createDataFrame([(None,)], "quantile double")
+    at = q * (n - 1)
+    first = order_statistic(finite, column, int(at))
+    second = order_statistic(finite, column, min(int(at) + 1, n - 1)) if at > int(at) else first
+    return spark.createDataFrame([(first + (at - int(at)) * (second - first),)], "quantile double")
 
 
 def region_energy(

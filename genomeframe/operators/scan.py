@@ -16,6 +16,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from genomeframe.session import materialize
+
 BIN_BITS = 16
 BIN = "_bin"
 
@@ -149,3 +151,21 @@ def latest_at_or_before(
         .filter("_point")
         .select(*keys, position, value)
     )
+
+
+def sum_before(df: DataFrame, order: Sequence[str | Column], value: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over all earlier rows in the given order.
+
+    The rows are range-partitioned and written with their place; a partition adds
+    the sum of the partitions before it, of which there is one row each.
+    """
+    at, part, offset = "_at", "_part", "_offset"
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(placed.withColumn(at, F.monotonically_increasing_id()), "ordered")
+    placed = placed.withColumn(part, F.shiftright(at, 33))
+    sums = placed.groupBy(part).agg(F.sum(value).alias(offset))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(part, F.coalesce(F.sum(offset).over(earlier), F.lit(0)).alias(offset))
+    inside = Window.partitionBy(part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    summed = F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col(offset)
+    return placed.join(offsets, part).withColumn(name, summed).drop(at, part, offset)

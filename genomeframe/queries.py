@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from genomeframe import driver_views as views
 from genomeframe.functions.sequence import (
+    PLAIN,
     base_code,
     iupac_reverse_complement,
     is_stop,
@@ -167,9 +168,21 @@ def reciprocal_overlap(spark, sf):
 
 
 def base_counts(spark, sf):
-    rows = tiles.base_rows(tiles.tile_contigs(views.contigs(spark, sf)))
-    return rows.groupBy("seqid", base_code(F.col("base")).alias("code")).agg(
-        F.count("*").alias("n")
+    """Bases by code: each tile counts its letters, no row per base."""
+    core = F.col("core_text")
+    found = [
+        F.struct(base_code(F.lit(b)).alias("code"), (F.length(core) - F.length(F.replace(core, F.lit(b), F.lit("")))).alias("n"))
+        for b in PLAIN
+    ]
+    others = F.length(F.translate(core, PLAIN, "")).alias("n")
+    rest = F.struct(F.lit(-1).alias("code"), others)
+    cut = tiles.tile_contigs(views.contigs(spark, sf))
+    return (
+        cut.select("seqid", tiles.core_bases(cut).alias("core_text"))
+        .select("seqid", F.explode(F.array(*found, rest)).alias("c"))
+        .groupBy("seqid", "c.code")
+        .agg(F.sum("c.n").alias("n"))
+        .filter("n > 0")
     )
 
 
