@@ -141,13 +141,24 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def _sampled(rows: DataFrame, most: int) -> DataFrame:
-    """All rows, or about ``most`` of them by a hash of the id; with a fold of two parts."""
-    n = rows.count()
+def labelled_rows(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
+    """(text, toxic, part) of all labelled documents, or of about ``sample_rows`` of them.
+
+    Labels outside the held-out fold are drawn by a hash of the id before they meet
+    the texts: the drawn ids are few (their number is the parameter), so they are
+    broadcast and no text is shuffled.
+    """
+    known = (
+        labels.filter(F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id"), 4) != 2))
+        .groupBy("doc_id")
+        .agg(F.max("toxic").cast("int").alias("toxic"))
+    )
+    n = known.count()
     pick = F.pmod(F.xxhash64(F.lit("toxicity sample"), "doc_id"), F.lit(1 << 20))
-    if n > most:
-        rows = rows.filter(pick < int((1 << 20) * most / n))
-    return rows.withColumn("part", F.pmod(F.xxhash64(F.lit("toxicity part"), "doc_id"), F.lit(2)))
+    if n > sample_rows:
+        known = known.filter(pick < int((1 << 20) * sample_rows / n))
+    known = known.withColumn("part", F.pmod(F.xxhash64(F.lit("toxicity part"), "doc_id"), F.lit(2)))
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").drop("doc_id")
 
 
 def _prefixes(folded: str) -> set[str]:
@@ -244,16 +255,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float,
 
 
 def train(
-    labelled: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
     sample_rows: int = 24_000,
     max_entries: int = 2_000,
     exceptions: tuple[str, ...] = EXCEPTIONS,
 ) -> ToxicityModel:
-    """A model from rows (doc_id, text, toxic); see the bounds above."""
-    rows = labelled.filter(F.col("toxic").isin(0, 1)).select(
-        "doc_id", "text", F.col("toxic").cast("int").alias("toxic")
-    )
-    sample = _sampled(rows, sample_rows)
+    """A model from the labels (doc_id, toxic) outside the held-out fold; see the bounds above."""
+    sample = labelled_rows(docs, labels, sample_rows)
     counts = {(r.part, r.toxic): r["count"] for r in sample.groupBy("part", "toxic").count().collect()}
     n = [[counts.get((part, label), 0) for label in (0, 1)] for part in (0, 1)]
     seen = [n[0][0] + n[1][0], n[0][1] + n[1][1]]
@@ -297,13 +306,6 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", name: str =
     return docs.mapInArrow(run, with_fields(docs.schema, (name, "double")))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the labelled documents outside the held-out fold."""
-    known = labels.select("doc_id", "toxic").filter(F.col("toxic").isNotNull()).dropDuplicates(["doc_id"])
-    mine = docs.select("doc_id", "text").filter(remainder(F.col("doc_id"), 4) != 2)
-    return mine.join(known.filter(remainder(F.col("doc_id"), 4) != 2), "doc_id")
-
-
 def without_toxic(docs: DataFrame, model: ToxicityModel, limit: float = SCORE_LIMIT) -> DataFrame:
     """The documents whose score is below ``limit``."""
     name = free_name(docs, "toxicity")
