@@ -501,3 +501,14 @@ SELECT g.seqid, strand, CASE WHEN strand = '+' THEN a ELSE g.length - b END AS s
  row_number() OVER (ORDER BY ord, CASE WHEN strand = '+' THEN 0 ELSE 1 END, a) AS gene
 FROM g JOIN contigs c ON g.seqid = c.seqid""",
 }
+
+ORACLES |= {
+    "gff3_training": """SELECT 'c' || ((l_orderkey // 2) % 16) AS seqid, '+' AS strand,
+ unnest(['a%20b+' || l_orderkey, 'o' || l_orderkey]) AS tid,
+ CASE WHEN l_returnflag = 'N' THEN 'exon' ELSE 'CDS' END AS kind, l_partkey * 50 AS start0,
+ l_partkey * 50 + CAST(l_quantity AS BIGINT) AS end0 FROM lineitem""",
+    "gff3_features": """SELECT 'x' AS id, 'a%20b+' || l_orderkey || '|o' || l_orderkey AS parents,
+ CASE WHEN l_returnflag = 'N' THEN 'exon' ELSE 'CDS' END AS kind, 'c' || ((l_orderkey // 2) % 16) AS seqid,
+ '+' AS strand, l_partkey * 50 AS start0, l_partkey * 50 + CAST(l_quantity AS BIGINT) AS end0,
+ false AS rrna, false AS repeat FROM lineitem""",
+}

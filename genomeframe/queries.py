@@ -660,8 +660,8 @@ def fasta_roundtrip(spark, sf):
     )
 
 
-def gff3_roundtrip(spark, sf):
-    """Write line items as GFF3 with encoded ids, read the scoring view back."""
+def _written_gff3(spark, sf):
+    """Line items as GFF3 rows with encoded ids, written and read again."""
     rows = views.table(spark, sf, "lineitem").select(
         F.concat_ws(
             "\t",
@@ -678,7 +678,28 @@ def gff3_roundtrip(spark, sf):
     )
     path = _folder(spark, "gff3")
     rows.write.text(path)
-    return gff3.scoring_view(gff3.read_features(spark, path)).rows
+    return gff3.read_features(spark, path)
+
+
+def gff3_roundtrip(spark, sf):
+    """The scoring view of written line items."""
+    return gff3.scoring_view(_written_gff3(spark, sf)).rows
+
+
+def gff3_training(spark, sf):
+    """The training view of written line items; a contig ends with its last one."""
+    models = _written_gff3(spark, sf)
+    contigs = models.rows.groupBy("seqid").agg(F.max("b").alias("length"))
+    return gff3.training_view(models, contigs).rows
+
+
+def gff3_features(spark, sf):
+    """The feature view of written line items."""
+    rows = gff3.feature_view(_written_gff3(spark, sf)).rows
+    return rows.select(
+        "id", F.array_join("parents", "|").alias("parents"), "kind", "seqid", "strand",
+        "start0", "end0", "rrna", "repeat",
+    )
 
 
 def bed_roundtrip(spark, sf):
@@ -758,6 +779,8 @@ QUERIES = {
         gene_numbers,
         fasta_roundtrip,
         gff3_roundtrip,
+        gff3_training,
+        gff3_features,
         bed_roundtrip,
     )
 }
