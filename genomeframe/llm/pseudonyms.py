@@ -10,7 +10,7 @@ of the round input, so formats do not share a permutation.
 Kinds: card numbers and other digit runs of 13 to 19 digits (with or without
 a valid Luhn digit, which stays as it is), telephone numbers with country code,
 IPv4 addresses, social-security numbers, IBANs (check digits renewed), dates
-(ISO, day or month first with . / -; between 1900 and 2099), the digits of the
+(ISO, day or month first with . / -; between 1900 and 2099), letters and digits of the
 local part of mail addresses, and hexadecimal tokens of 16 to 128 characters.
 Separators, lengths, letter case and leading signs stay.
 
@@ -49,6 +49,7 @@ PATTERNS = {
     "card": r"(?P<card>(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7})(?![0-9]))",
 }
 FINDER = re.compile("|".join(PATTERNS.values()), re.ASCII)
+_ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -217,7 +218,23 @@ class Pseudonymiser:
 
     def _mail(self, text: str) -> str:
         local, _, host = text.partition("@")
-        return _refilled(local, self._digits("mail", "".join(_DIGIT.findall(local)))) + "@" + host
+        return self._lettered("mail", local) + "@" + host
+
+    def _lettered(self, domain: str, text: str) -> str:
+        """Letters and digits permuted together, each place keeping its kind."""
+        alphabets = [next((a for a in _ALPHABETS if c in a), "") for c in text]
+        size, value = 1, 0
+        for c, alphabet in zip(text, alphabets):
+            if alphabet:
+                size, value = size * len(alphabet), value * len(alphabet) + alphabet.index(c)
+        form = "".join(a[0] if a else c for c, a in zip(text, alphabets))
+        value = self._permute(f"{domain}{form}", size, value)
+        out = list(text)
+        for i in range(len(text) - 1, -1, -1):
+            if alphabets[i]:
+                value, at = divmod(value, len(alphabets[i]))
+                out[i] = alphabets[i][at]
+        return "".join(out)
 
     def _hex(self, text: str) -> str:
         # tokens of digits alone are numbers, tokens of letters alone words: both stay out of the domain
@@ -247,9 +264,9 @@ class Pseudonymiser:
             count += got != match.group()
             return got
 
-        lines = text.split("\n")  # no value goes over a line end; most lines have no digit
+        lines = text.split("\n")  # no value goes over a line end; most lines have neither digit nor @
         for i, line in enumerate(lines):
-            if _DIGIT.search(line):
+            if "@" in line or _DIGIT.search(line):
                 lines[i] = FINDER.sub(one, line)
         return "\n".join(lines), count
 
