@@ -327,7 +327,7 @@ def profile_matrix(spark, sf):
     ranked = materialize(energy.rank_rows(_doc_intervals(spark, sf), 1500), "ranked")
     lengths = views.contigs(spark, sf)
     matrix = energy.profile_matrix(
-        energy.boundary_profile(ranked, lengths, _energy(spark, sf), radius=50)
+        energy.boundary_profile(ranked, lengths, _energy(spark, sf))
     )
     matrix = _round(matrix, 5, "mean_power", "log_power")
     return matrix.withColumns({c: F.col(c).cast("bigint") for c in ("row", "offset")})
