@@ -23,7 +23,6 @@ equal scores; an empty table gives no rows. Other columns are not kept.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genomeframe.llm.spans import ascii_words, joined, lower_ascii, mix, span_hashes
+from genomeframe.llm.spans import ascii_words, lower_ascii, mix, span_hashes
 from genomeframe.session import materialize
 
 TRAIN, DELETED, HELD_OUT = 0, 1, 2
