@@ -9,11 +9,12 @@ pair is a link if its edit similarity over words, 1 - distance / longer length,
 is at least ``SIMILARITY``, measured by an alignment inside the band that the
 limit allows. Classes are the connected components of the links.
 
-Members of a bucket that do not join its centre are bucketed again by that
-sketch and a further one, until no bucket has two classes left, so a centre that
-fits nobody hides no link of the others.
+Members of a bucket that do not join its centre are compared among themselves
+where they are at most ``FEW``; more are bucketed again by that sketch and two
+further ones, until none are left. So a centre that fits nobody does not hide the
+links of the others.
 
-Scale: equal texts are one node, grouped by two hashes with map-side
+Scale: equal texts are one node, grouped by a 64-bit hash with map-side
 aggregation; buckets are reduced to their smallest node the same way; the joins
 of members and centres are plain equi-joins whose hot keys Spark splits. Texts
 move only for nodes that share a bucket; each node is first aligned with the
@@ -23,13 +24,14 @@ in different classes.
 Cases: null text is an empty text, and empty texts are copies of each other;
 texts of fewer than five words are one shingle; repeated rows and null ids are
 rows of their text's class; the class id is the smallest id of its rows; an
-empty table gives no rows. Nodes are known by 64-bit hashes.
+empty table gives no rows. Texts of equal 64-bit hashes count as equal.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,10 @@ from genomeframe.llm.spans import ascii_words, joined, lower_ascii, mix, slices,
 from genomeframe.session import materialize
 
 SHINGLE, SKETCHES, PICKED, SIMILARITY = 5, 40, 2, 0.8
+#: Members without their centre that are compared pair by pair.
+FEW = 8
+#: Rows of two numbers that are broadcast: at most 4 MB.
+SMALL = 250_000
 _FACTORS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
 _SALTS = mix(_FACTORS + np.uint64(77))
 _LAST_ID = (1 << 63) - 1
@@ -156,47 +162,64 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return edit_distance(a, b, int((1 - least) * longer + 1e-9)) is not None
 
 
+def _sized(frame: DataFrame) -> DataFrame:
+    """A written table of pairs or nodes, broadcast if it has at most ``SMALL`` rows.
+
+    So the texts of others stay where they are; beyond that Spark shuffles and
+    splits skewed keys.
+    """
+    return F.broadcast(frame) if frame.limit(SMALL + 1).count() <= SMALL else frame
+
+
 def _text(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, node, check (two hashes of the text) and sketches of every row."""
+    """doc_id, node (the hash of the text) and sketches of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for _, texts in slices(batch.column(3).to_pylist()):
+            for _, texts in slices(batch.column(2).to_pylist()):
                 made += [sketches(w).view(np.int64) for w in word_hashes(texts)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(made, pa.list_(pa.int64()))],
-                ["doc_id", "node", "check", "sketches"],
+                [*batch.columns[:2], pa.array(made, pa.list_(pa.int64()))],
+                ["doc_id", "node", "sketches"],
             )
 
     text = _text(F.col("text"))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(text).alias("node"),
-        F.xxhash64(F.lit(1), text).alias("check"),
         text.alias("text"),
     )
-    return rows.mapInArrow(run, "doc_id long, node long, check long, sketches array<long>")
+    return rows.mapInArrow(run, "doc_id long, node long, sketches array<long>")
 
 
-def _edges(members: DataFrame) -> DataFrame:
-    """(a, b, votes) from each bucket (key, node) of two nodes or more: members and the smallest."""
+def _meetings(members: DataFrame) -> DataFrame:
+    """(key, node, band, b): the members of each bucket of two nodes or more, b being the smallest."""
     centres = (
         members.groupBy("key")
         .agg(F.min("node").alias("b"), F.max("node").alias("most"))
         .filter("b < most")
         .select("key", "b")
     )
-    return (
-        members.join(centres, "key")
-        .filter(F.col("node") != F.col("b"))
-        .groupBy(F.col("node").alias("a"), "b")
-        .agg(F.count("*").alias("votes"))
+    return members.join(centres, "key").filter(F.col("node") != F.col("b"))
+
+
+def _all_pairs(members: DataFrame) -> DataFrame:
+    """(a, b) for all pairs of nodes, b < a, in buckets that have at most ``FEW`` of them."""
+    both = members.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    pairs = F.flatten(
+        F.transform(
+            F.col("nodes"),
+            lambda a, i: F.transform(
+                F.slice("nodes", F.lit(1), i), lambda b: F.struct(a.alias("a"), b.alias("b"))
+            ),
+        )
     )
+    return both.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -219,10 +242,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], ["a", "b", "same"]
             )
 
+    pairs = materialize(pairs.select("a", "b"), "dedup-compared")
+    small = _sized(pairs)
+    centres = texts.join(small.select(F.col("b").alias("node")), "node", "left_semi")
     with_texts = (
-        pairs.select("a", "b")
-        .join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
-        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
+        texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
+        .join(small, "a")
+        .join(centres.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
         .select("a", "b", "a_text", "b_text")
     )
     return with_texts.mapInArrow(run, "a long, b long, same boolean").filter("same").select("a", "b")
@@ -256,6 +282,21 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _rooted(parents: DataFrame) -> DataFrame:
+    """(node, label) from one smaller neighbour (a, b) for each node: the end of its chain.
+
+    Labels are followed by doubling: as many written tables as the binary
+    logarithm of the longest chain.
+    """
+    labels = parents.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    while True:
+        further = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        step = materialize(labels.join(further, "label", "left"), "dedup-labels")
+        labels = step.select("node", F.coalesce("further", "label").alias("label"))
+        if not step.filter("further is not null").limit(1).count():
+            return labels
+
+
 def _labelled(frame: DataFrame, labels: DataFrame, *names: str) -> DataFrame:
     """``frame`` with the class of each named node column (the node itself without links)."""
     for name in names:
@@ -266,6 +307,18 @@ def _labelled(frame: DataFrame, labels: DataFrame, *names: str) -> DataFrame:
     return frame
 
 
+def _joined_classes(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after links between nodes of different classes: the classes are joined."""
+    between = _labelled(links, labels, "a", "b").select(
+        F.col("a_class").alias("a"), F.col("b_class").alias("b")
+    )
+    joined = components(between)
+    renamed = joined.select(F.col("node").alias("label"), F.col("label").alias("joined"))
+    known = labels.join(renamed, "label", "left").select("node", F.coalesce("joined", "label").alias("label"))
+    alone = joined.filter("node != label").join(labels, "node", "left_anti")
+    return materialize(known.unionByName(alone), "dedup-labels")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, node, class_id and kept.
 
@@ -273,46 +326,45 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows) that stands for the class.
     """
     rows = materialize(_sketched(docs), "dedup-sketches")
-    nodes = rows.groupBy("node", "check").agg(F.first("sketches").alias("sketches"))
-    nodes = materialize(nodes.select("node", "sketches").dropDuplicates(["node"]), "dedup-nodes")
-    members = nodes.select("node", F.posexplode("sketches").alias("band", "sketch")).select(
-        "node", "band", F.col("sketch").alias("key")
-    )
-    edges = materialize(_edges(members), "dedup-edges")
-    meeting = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    nodes = materialize(rows.groupBy("node").agg(F.first("sketches").alias("sketches")), "dedup-nodes")
+    members = nodes.select("node", F.posexplode("sketches").alias("band", "key"))
+    meetings = materialize(_meetings(members), "dedup-meetings")
+    votes = meetings.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("votes"))
+    pairs = materialize(votes, "dedup-pairs")
+    meeting = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    meeting = _sized(materialize(meeting, "dedup-meeting"))
     all_texts = docs.select(F.xxhash64(_text(F.col("text"))).alias("node"), _text(F.col("text")).alias("text"))
     texts = all_texts.join(meeting, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
     texts = materialize(texts, "dedup-texts")
 
-    best = edges.groupBy("a").agg(F.max(F.struct("votes", (-F.col("b")).alias("b"))).alias("best"))
+    best = pairs.groupBy("a").agg(F.max(F.struct("votes", (-F.col("b")).alias("b"))).alias("best"))
     first = best.select("a", (-F.col("best.b")).alias("b"))
-    links = materialize(_verified(first, texts, similarity), "dedup-found")
-    labels = components(links)
-    tried = edges.join(first, ["a", "b"], "left_anti").select("a", "b")
-    depth = 0
+    labels = _rooted(materialize(_verified(first, texts, similarity), "dedup-links"))
+    found, depth = [], 0
     while True:
-        apart = _labelled(tried, labels, "a", "b").filter("a_class != b_class").select("a", "b")
-        more = materialize(_verified(materialize(apart, "dedup-pairs"), texts, similarity), "dedup-found")
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            labels = components(links)
-        # who shares a bucket with a centre of another class goes on with a finer key
-        centres = _labelled(
-            members.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b < most"),
-            labels,
-            "b",
-        )
-        left = _labelled(members.join(centres.select("key", "b", "b_class"), "key"), labels, "node")
+        apart = _labelled(pairs.select("a", "b"), labels, "a", "b").filter("a_class != b_class")
+        if depth == 0:  # these have been compared
+            apart = apart.join(first, ["a", "b"], "left_anti")
+        links = materialize(_verified(apart, texts, similarity), "dedup-links")
+        found.append(links)
+        # who meets a centre of another class goes on among its like
+        linked = links.select(F.col("a").alias("node"), "b")
+        left = _labelled(meetings, labels, "node", "b").filter("node_class != b_class")
+        left = left.join(linked, ["node", "b"], "left_anti").select("key", "node", "band")
+        sizes = left.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        left = materialize(left.join(sizes, "key"), "dedup-left")
+        few, many = left.filter(F.col("n") <= FEW), left.filter(F.col("n") > FEW)
+        finer = [F.col("sketches")[(F.col("band") + 2 * depth + k) % SKETCHES] for k in (1, 2)]
+        members = many.join(nodes, "node").select("node", "band", F.xxhash64("key", *finer).alias("key"))
+        meetings = materialize(_meetings(members), "dedup-meetings")
         depth += 1
-        finer = F.col("sketches")[(F.col("band") + depth) % SKETCHES]
-        left = left.filter((F.col("node_class") != F.col("b_class"))).select("node", "band", "key")
-        members = materialize(
-            left.join(nodes, "node").select("node", "band", F.xxhash64("key", finer).alias("key")),
-            "dedup-left",
-        )
-        tried = materialize(_edges(members).select("a", "b").distinct(), "dedup-edges")
-        if depth >= SKETCHES or not tried.limit(1).count():
+        stars = meetings.select(F.col("node").alias("a"), "b")
+        pairs = materialize(stars.union(_all_pairs(few)).distinct(), "dedup-pairs")
+        if not pairs.limit(1).count():
             break
+    links = reduce(DataFrame.union, found)
+    if links.limit(1).count():
+        labels = _joined_classes(labels, links)
     named = _labelled(rows.select("doc_id", "node"), labels, "node")
     rank = F.struct(F.coalesce("doc_id", F.lit(_LAST_ID)).alias("id"), F.col("node").alias("node"))
     firsts = named.groupBy("node_class").agg(F.min("doc_id").alias("class_id"), F.min(rank).alias("first"))
