@@ -106,7 +106,7 @@ class PieceModel:
         shown = [self._shown(i, trainer.unk_surface) for i in range(len(kinds))]
         self.shown, self.shown_starts = joined(shown)
         self._compile_merges(model.pieces)
-        self.cache = SpanCache(self._fill, np.uint32, most_values=6 << 20)
+        self.cache = SpanCache(self._fill, np.uint32, most_values=4 << 20)
         if len(kinds) >= 1 << 20:
             raise ValueError("vocabularies over 2**20 pieces are not read")
 
@@ -138,7 +138,7 @@ class PieceModel:
         self.cuts = ~together[np.ix_(kind, kind)]
         rank = {i: r for r, i in enumerate(sorted(ids.values(), key=lambda i: (-pieces[i].score, i)))}
         self.first_free = self.size + len(self.extra)
-        self.of_char = np.arange(0x110000, dtype=np.int64) + self.first_free
+        self.of_char = np.arange(0x110000, dtype=np.int32) + np.int32(self.first_free)
         for c, symbol in self.symbols.items():
             self.of_char[ord(c)] = symbol
         self.of_char[ord(" ")] = self.of_char[ord(SPACE_MARK)]
@@ -298,7 +298,7 @@ class PieceModel:
     def _fill(self, spans: list[bytes]) -> tuple[np.ndarray, list[int]]:
         text = b"".join(spans).decode("utf-8", "surrogatepass")
         chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        symbols = self.of_char[chars]
+        symbols = self.of_char[chars].astype(np.int64)
         raw, bounds = joined(spans)
         starts = np.append(0, np.cumsum((raw & 0xC0) != 0x80))[bounds]
         sizes = np.diff(starts)

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -121,13 +121,13 @@ class SpanCache:
         self,
         fill: Callable[[list[bytes]], tuple[list[int] | np.ndarray, list[int]]],
         dtype,
-        slot_bits: int = 21,
-        most_values: int = 12 << 20,
+        slot_bits: int = 20,
+        most_values: int = 6 << 20,
     ):
         self.fill, self.dtype, self.most = fill, dtype, most_values
         self.slots = np.uint64((1 << slot_bits) - 1)
         self.keys = np.zeros(1 << slot_bits, dtype=np.uint64)
-        self.starts = np.zeros(1 << slot_bits, dtype=np.int64)
+        self.starts = np.zeros(1 << slot_bits, dtype=np.int32)
         self.lengths = np.zeros(1 << slot_bits, dtype=np.int32)
         self.flat = np.zeros(1 << 16, dtype=dtype)
         self.used = 0
@@ -147,7 +147,7 @@ class SpanCache:
             self.used = 0
         hashes = span_hashes(data, starts, ends)
         slot = (hashes & self.slots).astype(np.int64)
-        begin, length = self.starts[slot], self.lengths[slot].astype(np.int64)
+        begin, length = self.starts[slot].astype(np.int64), self.lengths[slot].astype(np.int64)
         missing = np.flatnonzero((self.keys[slot] != hashes) | (hashes == 0))
         if len(missing):
             keys, first, inverse = np.unique(
