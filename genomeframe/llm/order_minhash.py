@@ -9,10 +9,12 @@ pair is a link if its edit similarity over words, 1 - distance / longer length,
 is at least ``SIMILARITY``, measured by an alignment inside the band that the
 limit allows. Classes are the connected components of the links.
 
-Members of a bucket that do not join its centre are compared among themselves
-where they are at most ``FEW``; more are bucketed again by that sketch and two
-further ones, until none are left. So a centre that fits nobody does not hide the
-links of the others.
+Members of a bucket that do not join its centre are compared among themselves,
+whatever their number: blocks of a bucket meet in tasks, where word counts rule
+out most pairs without their texts (each edit changes one word, so the counts of
+similar texts differ by a bounded number). The nearest are aligned first; the rest
+follows in rounds, until all pairs of different classes have been aligned. So a
+centre that fits nobody does not hide the links of the others.
 
 Scale: equal texts are one node, grouped by a 64-bit hash with map-side
 aggregation; buckets are reduced to their smallest node the same way; the joins
@@ -31,7 +33,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ from genomeframe.llm.spans import ascii_words, joined, lower_ascii, mix, slices,
 from genomeframe.session import materialize
 
 SHINGLE, SKETCHES, PICKED, SIMILARITY = 5, 40, 2, 0.8
-#: Members without their centre that are compared pair by pair.
-FEW = 8
+#: Members of a bucket in a block; cells of hashed word counts; pairs a member gives in the first round.
+BLOCK, CELLS, NEAREST = 1_000, 256, 8
 #: Rows of two numbers that are broadcast: at most 4 MB.
 SMALL = 250_000
 _FACTORS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
@@ -198,7 +199,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
 
 
 def _meetings(members: DataFrame) -> DataFrame:
-    """(key, node, band, b): the members of each bucket of two nodes or more, b being the smallest."""
+    """(key, node, b): the members of each bucket of two nodes or more, b being the smallest."""
     centres = (
         members.groupBy("key")
         .agg(F.min("node").alias("b"), F.max("node").alias("most"))
@@ -208,18 +209,102 @@ def _meetings(members: DataFrame) -> DataFrame:
     return members.join(centres, "key").filter(F.col("node") != F.col("b"))
 
 
-def _all_pairs(members: DataFrame) -> DataFrame:
-    """(a, b) for all pairs of nodes, b < a, in buckets that have at most ``FEW`` of them."""
-    both = members.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    pairs = F.flatten(
-        F.transform(
-            F.col("nodes"),
-            lambda a, i: F.transform(
-                F.slice("nodes", F.lit(1), i), lambda b: F.struct(a.alias("a"), b.alias("b"))
-            ),
-        )
+def word_counts(words: np.ndarray) -> bytes:
+    """How often words fall in each of ``CELLS`` cells, at most 255."""
+    cells = (words >> np.uint64(32)).astype(np.int64) % CELLS
+    return np.minimum(np.bincount(cells, minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """(node, words, counts) of the texts: the number of words, and their counts by cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, counts = [], []
+            for _, some in slices(batch.column(1).to_pylist()):
+                for words in word_hashes(some):
+                    sizes.append(len(words))
+                    counts.append(word_counts(words))
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "words", "counts"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, words long, counts binary")
+
+
+def near_pairs(
+    numbers: np.ndarray, counts: np.ndarray, least: float, width: int
+) -> tuple[list[np.ndarray], bool]:
+    """Pairs (two rows of positions) that can be similar, and whether some were left out.
+
+    ``numbers`` has columns words, class and block. Only pairs of different classes
+    count, and of different blocks where there are two. Each member gives at most
+    ``width`` pairs with members that are not shorter, by nearest counts.
+    """
+    order = np.argsort(numbers[:, 0], kind="stable")
+    words, label, block = numbers[order].T
+    counts = counts[order].astype(np.int16)
+    across = block.min() != block.max()
+    most = ((1 - least) * words + 1e-9).astype(np.int64)
+    ends = np.searchsorted(words - most, words, side="right")
+    found, more = [], False
+    for x in range(len(order) - 1):
+        far = label[x + 1 : ends[x]] != label[x]
+        if across:
+            far &= block[x + 1 : ends[x]] != block[x]
+        at = np.flatnonzero(far) + x + 1
+        if not len(at):
+            continue
+        differ = np.abs(counts[at] - counts[x]).sum(axis=1, dtype=np.int64)
+        fit = np.flatnonzero(differ <= 2 * most[at] - (words[at] - words[x]))
+        if len(fit) > width:
+            fit, more = fit[np.argsort(differ[fit], kind="stable")[:width]], True
+        if len(fit):
+            found.append(np.stack([np.full(len(fit), order[x]), order[at[fit]]]))
+    return found, more
+
+
+def _likely(members: DataFrame, least: float, width: int) -> DataFrame:
+    """(a, b, more): pairs of members of a bucket and different classes that can be similar.
+
+    ``members`` has key, n (the members of the bucket), node, node_class, words and
+    counts. Two blocks of a bucket meet in one task; ``more`` marks tasks that left pairs out.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = (
+        members.withColumn("block", F.pmod("node", blocks))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        .withColumn("low", F.least("block", "other"))
+        .withColumn("high", F.greatest("block", "other"))
+        .select("key", "low", "high", "words", "node_class", "block", "node", "counts")
+        .repartition("key", "low", "high")
+        .sortWithinPartitions("key", "low", "high")
     )
-    return both.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 7), dtype=np.int64)
+        held_counts = np.zeros((0, CELLS), dtype=np.uint8)
+
+        def give(numbers: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            pairs, more = near_pairs(numbers[:, 3:6], counts, least, width)
+            if pairs:
+                ends = numbers[:, 6][np.concatenate(pairs, axis=1)]
+                columns = [ends.max(axis=0), ends.min(axis=0), np.full(ends.shape[1], more)]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["a", "b", "more"])
+
+        for batch in batches:
+            numbers = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)])
+            counts = np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype=np.uint8)
+            held = np.concatenate([held, numbers])
+            held_counts = np.concatenate([held_counts, counts.reshape(-1, CELLS)])
+            cuts = np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(axis=1)) + 1
+            for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
+                yield from give(held[a:b], held_counts[a:b])
+            if len(cuts):
+                held, held_counts = held[cuts[-1] :], held_counts[cuts[-1] :]
+        if len(held):
+            yield from give(held, held_counts)
+
+    return dealt.mapInArrow(run, "a long, b long, more boolean")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -319,6 +404,22 @@ def _joined_classes(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(known.unionByName(alone), "dedup-labels")
 
 
+def _linked(labels: DataFrame, links: DataFrame) -> DataFrame:
+    return _joined_classes(labels, links) if links.limit(1).count() else labels
+
+
+def _left(meetings: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, node_class, n): members of another class than their centre, where classes differ."""
+    left = _labelled(meetings.select("key", "node", "b"), labels, "node", "b").filter("node_class != b_class")
+    mixed = (
+        left.groupBy("key")
+        .agg(F.count("*").alias("n"), F.min("node_class").alias("low"), F.max("node_class").alias("high"))
+        .filter("low < high")
+        .select("key", "n")
+    )
+    return materialize(left.join(mixed, "key").select("key", "node", "node_class", "n"), "dedup-left")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, node, class_id and kept.
 
@@ -327,7 +428,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     rows = materialize(_sketched(docs), "dedup-sketches")
     nodes = materialize(rows.groupBy("node").agg(F.first("sketches").alias("sketches")), "dedup-nodes")
-    members = nodes.select("node", F.posexplode("sketches").alias("band", "key"))
+    members = nodes.select("node", F.explode("sketches").alias("key"))
     meetings = materialize(_meetings(members), "dedup-meetings")
     votes = meetings.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("votes"))
     pairs = materialize(votes, "dedup-pairs")
@@ -340,31 +441,19 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     best = pairs.groupBy("a").agg(F.max(F.struct("votes", (-F.col("b")).alias("b"))).alias("best"))
     first = best.select("a", (-F.col("best.b")).alias("b"))
     labels = _rooted(materialize(_verified(first, texts, similarity), "dedup-links"))
-    found, depth = [], 0
+    apart = _labelled(pairs.select("a", "b"), labels, "a", "b").filter("a_class != b_class")
+    apart = apart.join(first, ["a", "b"], "left_anti")  # these have been compared
+    labels = _linked(labels, materialize(_verified(apart, texts, similarity), "dedup-links"))
+    compared, width = pairs.select("a", "b"), NEAREST
     while True:
-        apart = _labelled(pairs.select("a", "b"), labels, "a", "b").filter("a_class != b_class")
-        if depth == 0:  # these have been compared
-            apart = apart.join(first, ["a", "b"], "left_anti")
-        links = materialize(_verified(apart, texts, similarity), "dedup-links")
-        found.append(links)
-        # who meets a centre of another class goes on among its like
-        linked = links.select(F.col("a").alias("node"), "b")
-        left = _labelled(meetings, labels, "node", "b").filter("node_class != b_class")
-        left = left.join(linked, ["node", "b"], "left_anti").select("key", "node", "band")
-        sizes = left.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        left = materialize(left.join(sizes, "key"), "dedup-left")
-        few, many = left.filter(F.col("n") <= FEW), left.filter(F.col("n") > FEW)
-        finer = [F.col("sketches")[(F.col("band") + 2 * depth + k) % SKETCHES] for k in (1, 2)]
-        members = many.join(nodes, "node").select("node", "band", F.xxhash64("key", *finer).alias("key"))
-        meetings = materialize(_meetings(members), "dedup-meetings")
-        depth += 1
-        stars = meetings.select(F.col("node").alias("a"), "b")
-        pairs = materialize(stars.union(_all_pairs(few)).distinct(), "dedup-pairs")
-        if not pairs.limit(1).count():
+        left = _left(meetings, labels)
+        counts = _counted(texts.join(left.select("node").distinct(), "node", "left_semi"))
+        likely = materialize(_likely(left.join(counts, "node"), similarity, width), "dedup-likely")
+        fresh = likely.select("a", "b").distinct().join(compared, ["a", "b"], "left_anti")
+        labels = _linked(labels, materialize(_verified(fresh, texts, similarity), "dedup-links"))
+        if not likely.filter("more").limit(1).count():
             break
-    links = reduce(DataFrame.union, found)
-    if links.limit(1).count():
-        labels = _joined_classes(labels, links)
+        compared, width = compared.union(likely.select("a", "b")), 8 * width
     named = _labelled(rows.select("doc_id", "node"), labels, "node")
     rank = F.struct(F.coalesce("doc_id", F.lit(_LAST_ID)).alias("id"), F.col("node").alias("node"))
     firsts = named.groupBy("node_class").agg(F.min("doc_id").alias("class_id"), F.min(rank).alias("first"))

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from genomeframe.llm import (
     digests,
@@ -436,6 +437,51 @@ def test_classes_against_all_pairs(spark):
     assert sorted(kept) == sorted(set(want))
 
 
+def _classes(spark, monkeypatch, words, keys):
+    """Classes of texts (word lists) that share just the given sketches, the rest being their own."""
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+    rows = [(i, [*k, *range(1000 * i + 1000, 1000 * i + 1040 - len(k))]) for i, k in enumerate(keys)]
+    found = docs.select("doc_id", F.xxhash64("text").alias("node")).join(
+        spark.createDataFrame(rows, "doc_id long, sketches array<long>"), "doc_id"
+    )
+    monkeypatch.setattr(order_minhash, "_sketched", lambda _: found)
+    return {r.doc_id: r.class_id for r in order_minhash.classes(docs).collect()}
+
+
+@pytest.mark.parametrize("block", [1_000, 7])
+def test_crowded_bucket_keeps_every_link(spark, monkeypatch, block):
+    monkeypatch.setattr(order_minhash, "BLOCK", block)
+    pairs = [[f"w{k}_{i}" for i in range(40)] for k in range(20)]
+    words = [p for k, p in enumerate(pairs)] + [p[:20] + [f"e{k}"] + p[21:] for k, p in enumerate(pairs)]
+    got = _classes(spark, monkeypatch, words, [[5]] * 40)
+    assert got == {i: i % 20 for i in range(40)}
+
+
+def test_rounds_go_on_until_all_have_been_compared(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "NEAREST", 1)
+    # the words of all are the same, so counts tell nothing; only 0 and 29 are in the same order
+    rnd = random.Random(3)
+    words = [rnd.sample([f"w{i}" for i in range(40)], 40) for _ in range(29)]
+    words.append([*words[0][1:], words[0][0]])
+    got = _classes(spark, monkeypatch, words, [[5]] * 30)
+    assert got == {i: i % 29 for i in range(30)}
+
+
+def test_counts_never_rule_out_a_similar_pair():
+    rnd = random.Random(11)
+    for _ in range(200):
+        one = [f"w{int(rnd.expovariate(0.1))}" for _ in range(rnd.randint(1, 400))]
+        other = list(one)
+        for _ in range(rnd.randint(0, len(one) // 4 + 1)):
+            at = rnd.randrange(len(other) + 1)
+            other[at : at + rnd.randint(0, 1)] = ["new"] * rnd.randint(0, 1)
+        a, b = order_minhash.word_hashes([" ".join(one).encode(), " ".join(other).encode()])
+        numbers = np.array([[len(a), 1, 0], [len(b), 2, 0]])
+        counts = np.array([list(order_minhash.word_counts(w)) for w in (a, b)], dtype=np.uint8)
+        if order_minhash.similar(a, b):
+            assert order_minhash.near_pairs(numbers, counts, 0.8, 1)[0]
+
+
 # Mixing --------------------------------------------------------------------
 
 
