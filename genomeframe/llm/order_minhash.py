@@ -9,12 +9,12 @@ pair is a link if its edit similarity over words, 1 - distance / longer length,
 is at least ``SIMILARITY``, measured by an alignment inside the band that the
 limit allows. Classes are the connected components of the links.
 
-Members of a bucket that do not join its centre are compared among themselves,
-whatever their number: blocks of a bucket meet in tasks, where word counts rule
+Other members of a bucket are compared among themselves where they are of different
+classes, also with those that joined the centre, whatever their number: blocks of a bucket meet in tasks, where word counts rule
 out most pairs without their texts (each edit changes one word, so the counts of
 similar texts differ by a bounded number). The nearest are aligned first; the rest
-follows in rounds, until all pairs of different classes have been aligned. So a
-centre that fits nobody does not hide the links of the others.
+follows in rounds, until all pairs of different classes have been aligned. So the
+choice of the centre does not hide a link.
 
 Scale: equal texts are one node, grouped by a 64-bit hash with map-side
 aggregation; buckets are reduced to their smallest node the same way; the joins
@@ -238,7 +238,8 @@ def near_pairs(
 
     ``numbers`` has columns words, class and block. Only pairs of different classes
     count, and of different blocks where there are two. Each member gives at most
-    ``width`` pairs with members that are not shorter, by nearest counts.
+    ``width`` pairs with members that are not shorter, by nearest counts, and is in
+    at most ``width`` pairs of shorter ones.
     """
     order = np.argsort(numbers[:, 0], kind="stable")
     words, label, block = numbers[order].T
@@ -246,6 +247,7 @@ def near_pairs(
     across = block.min() != block.max()
     most = ((1 - least) * words + 1e-9).astype(np.int64)
     ends = np.searchsorted(words - most, words, side="right")
+    taken = np.zeros(len(order), dtype=np.int64)
     found, more = [], False
     for x in range(len(order) - 1):
         far = label[x + 1 : ends[x]] != label[x]
@@ -256,8 +258,10 @@ def near_pairs(
             continue
         differ = np.abs(counts[at] - counts[x]).sum(axis=1, dtype=np.int64)
         fit = np.flatnonzero(differ <= 2 * most[at] - (words[at] - words[x]))
-        if len(fit) > width:
-            fit, more = fit[np.argsort(differ[fit], kind="stable")[:width]], True
+        free = fit[taken[at[fit]] < width]
+        free = free[np.argsort(differ[free], kind="stable")[:width]]
+        fit, more = free, more or len(free) < len(fit)
+        taken[at[fit]] += 1
         if len(fit):
             found.append(np.stack([np.full(len(fit), order[x]), order[at[fit]]]))
     return found, more
@@ -409,8 +413,8 @@ def _linked(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _left(meetings: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, node_class, n): members of another class than their centre, where classes differ."""
-    left = _labelled(meetings.select("key", "node", "b"), labels, "node", "b").filter("node_class != b_class")
+    """(key, node, node_class, n): the members besides the centre of buckets where these differ in class."""
+    left = _labelled(meetings.select("key", "node"), labels, "node")
     mixed = (
         left.groupBy("key")
         .agg(F.count("*").alias("n"), F.min("node_class").alias("low"), F.max("node_class").alias("high"))

@@ -457,6 +457,18 @@ def test_crowded_bucket_keeps_every_link(spark, monkeypatch, block):
     assert got == {i: i % 20 for i in range(40)}
 
 
+def test_link_through_a_member_of_the_centres_class(spark, monkeypatch):
+    # chains of edits with the smallest hash at one end: its end is like the middle only
+    words, want = [], {}
+    for k in range(12):
+        start = [f"w{k}_{i}" for i in range(40)]
+        middle = [f"e{k}_{i}" for i in range(6)] + start[6:]
+        end = middle[:34] + [f"f{k}_{i}" for i in range(6)]
+        words += [start, middle, end]
+    keys = [[i // 3] for i in range(36)]
+    assert _classes(spark, monkeypatch, words, keys) == {i: i // 3 * 3 for i in range(36)}
+
+
 def test_rounds_go_on_until_all_have_been_compared(spark, monkeypatch):
     monkeypatch.setattr(order_minhash, "NEAREST", 1)
     # the words of all are the same, so counts tell nothing; only 0 and 29 are in the same order
