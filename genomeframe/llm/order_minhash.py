@@ -1,9 +1,11 @@
 """Near-duplicates by order MinHash, verified by banded alignment.
 
-A text is its sequence of five-word shingles (words lower-cased in ASCII), each
-labelled with its occurrence number. Each of ``SKETCHES`` hash functions picks
-the ``PICKED`` smallest labelled shingles and keeps them in text order, so two
-texts share a sketch when they share shingles *and* their order. Texts that share
+A text is its sequence of shingles (words lower-cased in ASCII), each labelled with
+its occurrence number. Each hash function picks the ``PICKED`` smallest labelled
+shingles and keeps them in text order, so two texts share a sketch when they share
+shingles *and* their order. There are 40 sketches of five-word shingles; 32 of
+two-word ones, which edits spread over the whole text leave in place; and, for
+texts of at most ``SHORT`` words, 16 of single words. Texts that share
 a sketch meet at the smallest text of that bucket (a star, never all pairs); a
 pair is a link if its edit similarity over words, 1 - distance / longer length,
 is at least ``SIMILARITY``, measured by an alignment inside the band that the
@@ -24,7 +26,7 @@ centre it meets most often, and further pairs only where both ends are still
 in different classes.
 
 Cases: null text is an empty text, and empty texts are copies of each other;
-texts of fewer than five words are one shingle; repeated rows and null ids are
+texts of fewer words than a shingle are one shingle; repeated rows and null ids are
 rows of their text's class; the class id is the smallest id of its rows; an
 empty table gives no rows. Texts of equal 64-bit hashes count as equal.
 """
@@ -42,12 +44,15 @@ from pyspark.sql import functions as F
 from genomeframe.llm.spans import ascii_words, joined, lower_ascii, mix, slices, span_hashes
 from genomeframe.session import materialize
 
-SHINGLE, SKETCHES, PICKED, SIMILARITY = 5, 40, 2, 0.8
+SHINGLE, PICKED, SIMILARITY = 5, 2, 0.8
+#: Words of a shingle, and sketches of such shingles; the last only for texts of ``SHORT`` words at most.
+SKETCHES = ((SHINGLE, 40), (2, 32), (1, 16))
+SHORT = 20
 #: Members of a bucket in a block; cells of hashed word counts; pairs a member gives in the first round.
 BLOCK, CELLS, NEAREST = 1_000, 256, 8
 #: Rows of two numbers that are broadcast: at most 4 MB.
 SMALL = 250_000
-_FACTORS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
+_FACTORS = mix(np.arange(1, sum(n for _, n in SKETCHES) + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
 _SALTS = mix(_FACTORS + np.uint64(77))
 _LAST_ID = (1 << 63) - 1
 _TOP = np.uint64((1 << 64) - 1)
@@ -63,13 +68,13 @@ def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
     return [hashes[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
 
 
-def labelled_shingles(words: np.ndarray) -> np.ndarray:
-    """Hashes of the shingles, labelled with how often each came before."""
-    n = max(1, len(words) - SHINGLE + 1)
+def labelled_shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the shingles of ``size`` words, labelled with how often each came before."""
+    n = max(1, len(words) - size + 1)
     if not len(words):
         return words
     out = np.zeros(n, dtype=np.uint64)
-    for j in range(min(SHINGLE, len(words))):
+    for j in range(min(size, len(words))):
         out += words[j : j + n] * _PLACES[j]
     out = mix(out)
     order = np.argsort(out, kind="stable")
@@ -85,23 +90,30 @@ def labelled_shingles(words: np.ndarray) -> np.ndarray:
 
 def sketches(words: np.ndarray) -> np.ndarray:
     """One 64-bit value for each hash function (none for a text without words)."""
-    s = labelled_shingles(words)
-    if not len(s):
-        return s
+    made, first = [words[:0]], 0
+    for size, n in SKETCHES:
+        if len(words) and (size > 1 or len(words) <= SHORT):
+            made.append(_sketches(labelled_shingles(words, size), first, first + n))
+        first += n
+    return np.concatenate(made)
+
+
+def _sketches(s: np.ndarray, first: int, end: int) -> np.ndarray:
+    """The values of the hash functions ``first`` to ``end`` for labelled shingles."""
     step = max(1, 2_000_000 // len(s))
-    picked = np.empty((SKETCHES, min(PICKED, len(s))), dtype=np.int64)
-    for a in range(0, SKETCHES, step):
-        b = min(a + step, SKETCHES)
+    picked = np.empty((end - first, min(PICKED, len(s))), dtype=np.int64)
+    for a in range(first, end, step):
+        b = min(a + step, end)
         values = (s[None, :] ^ _SALTS[a:b, None]) * _FACTORS[a:b, None]
         rows = np.arange(b - a)
         for k in range(picked.shape[1]):
-            picked[a:b, k] = at = values.argmin(axis=1)
+            picked[a - first : b - first, k] = at = values.argmin(axis=1)
             values[rows, at] = _TOP
     picked.sort(axis=1)
-    out = np.zeros(SKETCHES, dtype=np.uint64)
+    out = np.zeros(end - first, dtype=np.uint64)
     for k in range(picked.shape[1]):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + s[picked[:, k]])
-    return mix(out + _SALTS)
+    return mix(out + _SALTS[first:end])
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:

@@ -469,6 +469,19 @@ def test_link_through_a_member_of_the_centres_class(spark, monkeypatch):
     assert _classes(spark, monkeypatch, words, keys) == {i: i // 3 * 3 for i in range(36)}
 
 
+@pytest.mark.parametrize("n", [5, 6, 8, 10, 30, 60, 300])
+def test_sketches_meet_at_the_limit(n):
+    rnd, met = random.Random(n), 0
+    for k in range(100):
+        one = np.array([rnd.getrandbits(63) for _ in range(n)], dtype=np.uint64)
+        edits = int(0.2 * n + 1e-9)
+        at = rnd.sample(range(n), edits) if k % 2 else [n * (2 * i + 1) // (2 * edits) for i in range(edits)]
+        other = one.copy()
+        other[at] = [rnd.getrandbits(63) for _ in at]
+        met += bool((order_minhash.sketches(one) == order_minhash.sketches(other)).any())
+    assert met >= 97
+
+
 def test_rounds_go_on_until_all_have_been_compared(spark, monkeypatch):
     monkeypatch.setattr(order_minhash, "NEAREST", 1)
     # the words of all are the same, so counts tell nothing; only 0 and 29 are in the same order
