@@ -3,8 +3,9 @@
 Text is folded (letter case, accents, homoglyphs, digit and sign substitutions)
 and cut to words; lexicon entries are word beginnings, so inflected forms match.
 The lexicon and its weights are learned from labelled documents: the log-odds of
-an entry, kept where its association with the label passes a significance bound
-over all candidates. A document's score is a logistic function of its total
+an entry, kept where its odds are over twice the base odds (so any share of toxic
+rows will do) and its association with the label passes a significance bound over
+all candidates. A document's score is a logistic function of its total
 weight, that weight per word, and the number of distinct entries; words inside
 exception phrases do not count.
 
@@ -200,7 +201,7 @@ def _candidates(rows: DataFrame, share: float, most: int) -> list[tuple]:
         clean > 0, clean * F.log((1 - rate) / (1 - share))
     ).otherwise(0.0)
     best = (
-        counted.filter((toxic >= 3) & (rate > 2 * share))
+        counted.filter((toxic >= 3) & (toxic * (1 - share) > 2 * share * clean))
         .select("entry", *names, gain.alias("gain"))
         .orderBy(F.desc("gain"), F.desc(F.length("entry")), "entry")
         .limit(most)
@@ -215,7 +216,7 @@ def _lexicon(
     share = toxic / (toxic + clean)
     rated = []
     for entry, c, t in candidates:
-        if t >= 3 and t > 2 * share * (t + c):
+        if t >= 3 and t * clean > 2 * c * toxic:
             rate = t / (t + c)
             gain = t * math.log(rate / share) + (c * math.log((1 - rate) / (1 - share)) if c else 0.0)
             weight = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))

@@ -593,6 +593,21 @@ def test_toxicity_on_held_out_rows(spark):
     assert (toxic >= 0.3).mean() > 0.85 and (clean >= 0.3).mean() < 0.02
 
 
+@pytest.mark.parametrize("share", [0.12, 0.5, 0.8])
+def test_toxicity_with_any_share_of_toxic_rows(spark, share):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(1200):
+        toxic = int(rnd.random() < share)
+        words = [f"plain{chr(97 + rnd.randrange(26))}" for _ in range(30)]
+        words[3] = "grubble" if toxic else words[3]
+        rows.append((i, " ".join(words), toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    kept = {r.doc_id for r in toxicity.without_toxic(docs, model).collect()}
+    assert model.weights and kept == {i for i, _, toxic in rows if not toxic}
+
+
 def test_folding_and_exceptions():
     model = toxicity.ToxicityModel({"idiot": 5.0, "trash": 5.0}, (-4.0, 1.0, 1.0, 1.0))
     automaton = model.automaton()
