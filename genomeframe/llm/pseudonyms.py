@@ -10,13 +10,15 @@ of the round input, so formats do not share a permutation.
 Kinds: card numbers and other digit runs of 13 to 19 digits (with or without
 a valid Luhn digit, which stays as it is), telephone numbers with country code,
 IPv4 addresses, social-security numbers, IBANs (check digits renewed), dates
-(ISO, day or month first with . / -; between 1900 and 2099), letters and digits of the
+(ISO, year first with . or /, day or month first with . / -; between 1900 and 2099), letters and digits of the
 local part of mail addresses, and hexadecimal tokens of 16 to 128 characters.
 Separators, lengths, letter case and leading signs stay.
 
 Cases: null texts stay null, empty ones empty; a value that fails its check
 (an impossible date, an address part over 255) is left as it is; repeated rows
-get equal results; other columns pass through. A narrow pass over whole texts.
+get equal results; other columns pass through. An IBAN ends where its country's
+length says, so what follows it does not hide it, and a match that is no IBAN is
+searched for other kinds. A narrow pass over whole texts.
 """
 
 from __future__ import annotations
@@ -44,11 +46,26 @@ PATTERNS = {
     "ip": r"(?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9]))",
     "ssn": r"(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))",
     "iso": r"(?P<iso>(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9]))",
+    "year": r"(?P<year>(?<![0-9./-])(?:19|20)[0-9]{2}(?P<ysep>[./])[0-9]{2}(?P=ysep)[0-9]{2}(?![0-9]))",
     "day": r"(?P<day>(?<![0-9./-])[0-9]{1,2}(?P<sep>[./-])[0-9]{1,2}(?P=sep)(?:19|20)[0-9]{2}(?![0-9]))",
     "hex": r"(?P<hex>\b(?=[0-9A-Fa-f]*[A-Fa-f])(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{16,128}|[0-9A-F]{16,128})\b)",
-    "card": r"(?P<card>(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7})(?![0-9]))",
+    "card": r"(?P<card>(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9]))",
 }
 FINDER = re.compile("|".join(PATTERNS.values()), re.ASCII)
+#: What is searched where a match of the IBAN pattern is none.
+OTHERS = re.compile("|".join(p for k, p in PATTERNS.items() if k != "iban"), re.ASCII)
+#: Lengths of IBANs by country.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+        27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _DIGIT = re.compile(r"[0-9]")
 
@@ -165,6 +182,13 @@ class Pseudonymiser:
         except ValueError:
             return text
 
+    def _year(self, text: str) -> str:
+        try:
+            made = self._date(datetime.date.fromisoformat(re.sub("[./]", "-", text)))
+        except ValueError:
+            return text
+        return made.isoformat().replace("-", text[4])
+
     def _day(self, text: str) -> str:
         sep = re.search("[./-]", text).group()
         a, b, year = map(int, text.split(sep))
@@ -200,11 +224,24 @@ class Pseudonymiser:
         form = "{:02d}" if padded else "{}"
         return sep.join([form.format(parts[0]), form.format(parts[1]), str(year)])
 
+    @staticmethod
+    def _iban_part(text: str) -> str:
+        """The beginning of a match that is an IBAN (nothing if none is).
+
+        Other countries than those of ``IBAN_LENGTHS`` and other lengths: the longest
+        whole groups that pass the check.
+        """
+        ends = [m.start() for m in re.finditer(r" |$", text)]
+        size = IBAN_LENGTHS.get(text[:2])
+        for end in sorted(ends, key=lambda e: (len(text[:e].replace(" ", "")) != size, -e)):
+            plain = text[:end].replace(" ", "")
+            if 15 <= len(plain) <= 34:
+                if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+                    return text[:end]
+        return ""
+
     def _iban(self, text: str) -> str:
         plain = text.replace(" ", "")
-        number = int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4]))
-        if number % 97 != 1 or not 15 <= len(plain) <= 34:
-            return text
         body = plain[4:]
         places = [i for i, c in enumerate(body) if c.isdigit()]
         made = self._digits(f"iban{plain[:2]}", "".join(body[i] for i in places))
@@ -257,17 +294,30 @@ class Pseudonymiser:
         """The text with pseudonyms, and how many values were replaced."""
         count = 0
 
-        def one(match: re.Match) -> str:
+        def line_of(line: str) -> str:
             nonlocal count
-            kind = next(k for k in self.kinds if match[k] is not None)
-            got = self.value(kind, match.group())
-            count += got != match.group()
-            return got
+            out, done, at = [], 0, 0
+            while match := FINDER.search(line, at):
+                found = match.group()
+                if match["iban"] is not None:
+                    found = self._iban_part(found)
+                    if not found:  # the place may begin something else, and so may the rest
+                        at = match.start() + 4
+                        match = OTHERS.match(line, match.start())
+                        if not match:
+                            continue
+                        found = match.group()
+                kind = next(k for k in self.kinds if k in match.groupdict() and match[k] is not None)
+                got = self.value(kind, found)
+                count += got != found
+                out += [line[done : match.start()], got]
+                done = at = match.start() + len(found)
+            return "".join([*out, line[done:]])
 
         lines = text.split("\n")  # no value goes over a line end; most lines have neither digit nor @
         for i, line in enumerate(lines):
             if "@" in line or _DIGIT.search(line):
-                lines[i] = FINDER.sub(one, line)
+                lines[i] = line_of(line)
         return "\n".join(lines), count
 
 

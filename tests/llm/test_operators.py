@@ -319,6 +319,21 @@ def test_pseudonyms_change_and_come_back(text):
     assert pseudonyms.Pseudonymiser(b"k", back=True).text(made)[0] == text
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "ES91 2100 0418 4502 0005 1332 EUR", "AT61 1904 3002 3457 3201 1234 5678", "IBAN: ES9121000418450200051332 EUR",
+        "AB12 4111 1111 1111 1111", "3782 822463 10005", "3056-930902-5904", "2024/03/05", "2024.03.05",
+    ],
+)
+def test_values_beside_others_do_not_stay(text):
+    there, back = pseudonyms.Pseudonymiser(b"k"), pseudonyms.Pseudonymiser(b"k", back=True)
+    made, count = there.text(text)
+    assert count == 1 and made != text and back.text(made)[0] == text
+    assert made.endswith(" EUR") or not text.endswith(" EUR")
+    assert there.text("2024/13/05") == ("2024/13/05", 0)
+
+
 def test_checks_stay_valid_and_invalid_values_stay():
     worker = pseudonyms.Pseudonymiser(b"k")
     made = worker.text("4111111111111111")[0]
