@@ -8,7 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genomeframe.llm import digests, interpolation, licences, mixing, order_minhash, pieces, progressive, pseudonyms, token_files, toxicity
+from genomeframe.llm import (
+    conversations,
+    decontamination,
+    digests,
+    interpolation,
+    licences,
+    mixing,
+    order_minhash,
+    pieces,
+    progressive,
+    pseudonyms,
+    spelling,
+    token_files,
+    toxicity,
+)
 from genomeframe.llm.common import documents, table
 from genomeframe.session import shared_folder
 
@@ -85,6 +99,22 @@ def op10_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.edit_report(documents(spark, sf_dir))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents: word, n, n_near, form, form_n, root."""
+    runs = spelling.letter_runs(documents(spark, sf_dir), spelling.SHORTEST)
+    return spelling.variants(spelling.vocabulary(spelling.misspelt(runs)))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    return decontamination.report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged and repaired: conv_id, fault counts, cost, audit, repaired_sha256."""
+    return conversations.report(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interpolation": op1_interpolation,
     "op2_progressive": op2_progressive,
@@ -96,9 +126,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_toxicity": op9_toxicity,
     "op10_digests": op10_digests,
+    "op11_spelling": op11_spelling,
+    "op12_decontamination": op12_decontamination,
+    "op13_conversations": op13_conversations,
 }
 
 ORACLES: dict[str, str] = {
     "op6_mix": mixing.ORACLE,
     "op7_licences": licences.ORACLE,
+    "op12_decontamination": decontamination.ORACLE,
 }
