@@ -103,7 +103,6 @@ def compare_gene_sets(exons: DataFrame, bins: int | None = BIN_BITS) -> DataFram
         chains.select("side", *CHAIN).distinct(),
         alternative_regions(chains, bins),
         PLACE,
-        bins,
     )
     items = (
         _items(spans, ("exon-segment", start0, end0, False))
@@ -125,7 +124,7 @@ def compare_gene_sets(exons: DataFrame, bins: int | None = BIN_BITS) -> DataFram
         )
         .unionByName(_items(alternatives, ("alternative-isoform", start0, end0, True)))
     )
-    bases = covered_length(spans, "side", PLACE, bins).select(
+    bases = covered_length(spans, "side", PLACE).select(
         F.lit("nt").alias("metric"),
         F.col("shared").alias("tp"),
         (F.col("covered1") - F.col("shared")).alias("fp"),

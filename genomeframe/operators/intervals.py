@@ -11,120 +11,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from genomeframe.operators.scan import (
-    BIN,
-    BIN_BITS,
-    Binned,
-    bins_after,
-    bins_before,
-    inside_bin,
-    latest_at_or_before,
-    place_in_bins,
-    running_sum,
-)
+from genomeframe.operators import ordered
+from genomeframe.operators.scan import BIN_BITS, running_sum
 
 PLACE = ["seqid", "strand"]
 
 
-def _with_reach(
-    df: DataFrame, keys: Sequence[str], bins: int | None, strict: bool = False
-) -> Binned:
-    """Rows with ``reach``, the largest end among the rows before.
-
-    ``head`` marks starts no earlier interval reaches (or, if ``strict``, at
-    most touches).
-    """
-    placed = place_in_bins(
-        df.select(*keys, "start0", "end0"),
-        keys,
-        "start0",
-        reduce=[F.max("end0").alias("end0")],
-        bins=bins,
-    )
-    local = inside_bin(keys, "start0", "end0").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.greatest(F.max("end0").over(local), F.col("_reach_before"))
-    apart = F.col("start0") >= F.col("reach") if strict else F.col("start0") > F.col("reach")
-    return (
-        placed.carry(
-            [F.max("end0").alias("_bin_end")],
-            [F.max("_bin_end").over(bins_before(keys)).alias("_reach_before")],
-        )
-        .with_columns({"reach": reach})
-        .with_columns({"head": F.col("reach").isNull() | apart})
-    )
-
-
 def merge_intervals(
     df: DataFrame, keys: Sequence[str] = PLACE, bins: int | None = BIN_BITS
 ) -> DataFrame:
     """Union of intervals per key; overlapping and touching intervals merge.
 
-    An island ends where the reach stood just before the next island, so the
-    heads and the last end of the key decide the result.
+    Without ``bins`` each key is small and merged by windows over its rows.
     """
-    head_start = F.when(F.col("head"), F.col("start0"))
-    scanned = _with_reach(df, keys, bins).carry(
-        [
-            F.min_by("reach", head_start).alias("_first_reach"),
-            F.max("end0").alias("_bin_end"),
-        ],
-        [
-            F.last("_first_reach", ignorenulls=True).over(bins_after(keys)).alias("_reach_after"),
-            F.max("_bin_end").over(Window.partitionBy(*keys)).alias("_key_end"),
-        ],
-    )
-    here_end = F.max("end0").over(Window.partitionBy(*keys, BIN))
-    following = F.lead("reach").over(inside_bin(keys, "start0"))
+    if bins is not None:
+        return ordered.islands(df, keys)
+    by_start = Window.partitionBy(*keys).orderBy("start0", "end0")
+    reach = F.max("end0").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    head = F.coalesce(F.col("start0") > reach, F.lit(True)).cast("int")
     return (
-        scanned.rows.withColumn("_here_end", here_end)
-        .filter("head")
-        .withColumn("end0", F.coalesce(following, "_reach_after", "_key_end", "_here_end"))
-        .select(*keys, "start0", "end0")
-    )
-
-
-def assign_islands(
-    df: DataFrame, keys: Sequence[str] = PLACE, bins: int | None = BIN_BITS
-) -> DataFrame:
-    """Add ``island``: start of the cluster of overlapping intervals a row belongs to.
-
-    Intervals that only touch are in different islands.
-    """
-    local = inside_bin(keys, "start0", "end0").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.when(F.col("head"), F.col("start0"))
-    islands = (
-        _with_reach(df, keys, bins, strict=True)
-        .carry(
-            [F.max(head).alias("_bin_head")],
-            [F.max("_bin_head").over(bins_before(keys)).alias("_head_before")],
-        )
-        .rows.select(
-            *keys, "start0", F.coalesce(F.max(head).over(local), "_head_before").alias("island")
-        )
-        .distinct()
+        df.select(*keys, "start0", "end0")
+        .withColumn("_head", head)
+        .withColumn("_island", F.sum("_head").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*keys, "_island")
+        .agg(F.min("start0").alias("start0"), F.max("end0").alias("end0"))
+        .drop("_island")
     )
-    return df.join(islands, [*keys, "start0"])
 
 
 def interval_gaps(
     df: DataFrame, keys: Sequence[str], bins: int | None = BIN_BITS
 ) -> DataFrame:
-    """Non-empty gaps between consecutive intervals of a key, as ``[end0, next start0)``.
-
-    Hot keys must have distinct starts (merged intervals have).
-    """
-    placed = place_in_bins(
-        df.select(*keys, "start0", "end0"), keys, "start0", bins=bins
-    )
-    following = F.coalesce(
-        F.lead("start0").over(inside_bin(keys, "start0", "end0")), F.col("_start_after")
-    )
+    """Non-empty gaps between consecutive intervals of a key, as ``[end0, next start0)``."""
+    if bins is not None:
+        return ordered.gaps(df, keys)
+    following = F.lead("start0").over(Window.partitionBy(*keys).orderBy("start0", "end0"))
     return (
-        placed.carry(
-            [F.min("start0").alias("_first")],
-            [F.last("_first").over(bins_after(keys)).alias("_start_after")],
-        )
-        .rows.withColumn("_next", following)
+        df.select(*keys, "start0", "end0")
+        .withColumn("_next", following)
         .filter(F.col("_next") > F.col("end0"))
         .select(*keys, F.col("end0").alias("start0"), F.col("_next").alias("end0"))
     )
@@ -134,54 +58,23 @@ def distinct_intervals(df: DataFrame, keys: Sequence[str] = PLACE) -> DataFrame:
     return df.select(*keys, "start0", "end0").distinct()
 
 
-def _nearest_merged(
-    df: DataFrame, merged: DataFrame, keys: Sequence[str], bins: int | None
-) -> DataFrame:
-    """``df`` plus ``_region``: the last merged interval starting before the row ends."""
-    points = df.select(*keys, (F.col("end0") - 1).alias("_last0"))
-    anchors = merged.select(
-        *keys, F.col("start0").alias("_last0"), F.struct("start0", "end0").alias("_region")
-    )
-    found = latest_at_or_before(points, anchors, keys, "_last0", "_region", bins)
-    return df.withColumn("_last0", F.col("end0") - 1).join(found, [*keys, "_last0"])
-
-
-def _touches() -> Column:
-    return F.coalesce(F.col("_region.end0") > F.col("start0"), F.lit(False))
-
-
-def overlapping(
-    df: DataFrame,
-    merged: DataFrame,
-    keys: Sequence[str] = PLACE,
-    bins: int | None = BIN_BITS,
-) -> DataFrame:
+def overlapping(df: DataFrame, merged: DataFrame, keys: Sequence[str] = PLACE) -> DataFrame:
     """Rows that share at least one base with a merged interval (semi join)."""
-    return _nearest_merged(df, merged, keys, bins).filter(_touches()).select(*df.columns)
+    return ordered.touching(df, merged, keys)
 
 
-def not_overlapping(
-    df: DataFrame,
-    merged: DataFrame,
-    keys: Sequence[str] = PLACE,
-    bins: int | None = BIN_BITS,
-) -> DataFrame:
+def not_overlapping(df: DataFrame, merged: DataFrame, keys: Sequence[str] = PLACE) -> DataFrame:
     """Rows that share no base with any merged interval (anti join)."""
-    return _nearest_merged(df, merged, keys, bins).filter(~_touches()).select(*df.columns)
+    return ordered.touching(df, merged, keys, wanted=False)
 
 
-def covered_length(
-    df: DataFrame,
-    side: str,
-    keys: Sequence[str] = PLACE,
-    bins: int | None = BIN_BITS,
-) -> DataFrame:
+def covered_length(df: DataFrame, side: str, keys: Sequence[str] = PLACE) -> DataFrame:
     """Base pairs covered by side 0, side 1 and both, as one row.
 
-    A sweep: depth changes per coordinate are summed, then prefix-summed per
-    side. A covered stretch contributes ``end - start``, so adding ``position``
-    where coverage stops and subtracting it where coverage begins gives the
-    length without pairing the two.
+    A sweep: depth changes are prefix-summed per side. A covered stretch contributes
+    ``end - start``, so adding ``position`` where coverage stops and subtracting it where
+    coverage begins gives the length without pairing the two; changes at one
+    position may come in any order, since what they add between them is nothing.
     """
     on_side = [F.when(F.col(side) == s, 1).otherwise(0) for s in (0, 1)]
     changes = df.select(
@@ -197,12 +90,7 @@ def covered_length(
             )
         ).alias("change"),
     ).select(*keys, "change.*")
-    net = (
-        changes.groupBy(*keys, "pos")
-        .agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
-        .filter("d0 <> 0 or d1 <> 0")
-    )
-    depth = running_sum(net, keys, "pos", ["d0", "d1"], bins)
+    depth = ordered.prefix_sums(changes, keys, "pos", ["d0", "d1"])
     after = [F.col(f"d{s}_sum") > 0 for s in (0, 1)]
     before = [F.col(f"d{s}_sum") > F.col(f"d{s}") for s in (0, 1)]
 
@@ -235,15 +123,12 @@ def reciprocal_overlap(
             F.struct(F.col("end0").alias("pos"), F.lit(-1).alias("step")),
         )
     )
-    net = (
-        both.select(*keys, "side", edge.alias("e"))
-        .groupBy(*keys, F.col("e.pos").alias("pos"))
-        .agg(
-            F.sum(F.when(F.col("side") == 0, F.col("e.step")).otherwise(0)).alias("d0"),
-            F.sum(F.when(F.col("side") == 1, F.col("e.step")).otherwise(0)).alias("d1"),
-        )
+    edges = both.select(*keys, "side", edge.alias("e")).select(
+        *keys,
+        F.col("e.pos").alias("pos"),
+        *(F.when(F.col("side") == s, F.col("e.step")).otherwise(0).alias(f"d{s}") for s in (0, 1)),
     )
-    depth = running_sum(net, keys, "pos", ["d0", "d1"], bins)
+    depth = running_sum(edges, keys, "pos", ["d0", "d1"], bins)
     now = (F.col("d0_sum") > 0) & (F.col("d1_sum") > 0)
     was = (F.col("d0_sum") > F.col("d0")) & (F.col("d1_sum") > F.col("d1"))
     shared = F.sum((was.cast("bigint") - now.cast("bigint")) * F.col("pos"))

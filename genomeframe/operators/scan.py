@@ -16,6 +16,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from genomeframe.operators import ordered
 from genomeframe.session import materialize
 
 BIN_BITS = 16
@@ -101,18 +102,14 @@ def running_sum(
     values: Sequence[str],
     bins: int | None = BIN_BITS,
 ) -> DataFrame:
-    """Add ``<value>_sum``: inclusive prefix sums; one input row per (key, position)."""
-    local = inside_bin(keys, position).rowsBetween(Window.unboundedPreceding, 0)
-    before = bins_before(keys)
-    placed = place_in_bins(df, keys, position, bins=bins).carry(
-        [F.sum(v).alias(f"_{v}_bin") for v in values],
-        [F.sum(f"_{v}_bin").over(before).alias(f"_{v}_before") for v in values],
-    )
-    sums = {
-        f"{v}_sum": F.sum(v).over(local) + F.coalesce(f"_{v}_before", F.lit(0))
-        for v in values
-    }
-    return placed.rows.withColumns(sums).drop(BIN, *(f"_{v}_before" for v in values))
+    """Add ``<value>_sum``: inclusive prefix sums; one input row per (key, position).
+
+    Without ``bins`` each key is small and summed by a window.
+    """
+    if bins is not None:
+        return ordered.prefix_sums(df, keys, position, values)
+    so_far = Window.partitionBy(*keys).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({f"{v}_sum": F.sum(v).over(so_far) for v in values})
 
 
 def latest_at_or_before(

@@ -15,7 +15,7 @@ from genomeframe.functions.sequence import (
     oriented_start,
     reverse_complement,
 )
-from genomeframe.operators import controls, energy, features, intervals, motifs, orf, samples
+from genomeframe.operators import chains as chain_search, controls, energy, features, intervals, motifs, orf, samples
 from genomeframe.operators import search, tiles, transcripts
 from genomeframe.operators.comparison import alternative_regions, compare_gene_sets
 from genomeframe.operators.intervals import PLACE
@@ -578,13 +578,18 @@ def predicted_gff3(spark, sf):
 # Search over scored points -----------------------------------------------
 
 
-def _span_pair(limit):
-    return F.lit(1.0) - (F.col("end0") - F.col("start0")) / F.lit(float(limit))
+def _length_pair(limit, scale):
+    """A pair logit that falls with the length, and its length term."""
+
+    def term(size):
+        return (F.lit(1.0) - size / F.lit(float(limit))) * scale
+
+    return term(F.col("end0") - F.col("start0")), term
 
 
 def _spans(spark, sf):
     rows = materialize(views.points(spark, sf), "points")
-    return rows, search.candidate_spans(rows, SPAN_LIMIT, _span_pair(SPAN_LIMIT))
+    return rows, search.candidate_spans(rows, SPAN_LIMIT, *_length_pair(SPAN_LIMIT, 1.0))
 
 
 def span_candidates(spark, sf):
@@ -593,16 +598,16 @@ def span_candidates(spark, sf):
 
 def best_chain(spark, sf):
     """Number of chosen spans and total score per contig strand."""
-    chosen = search.best_chain(_spans(spark, sf)[1])
+    chosen = chain_search.best_chain(_spans(spark, sf)[1])
     out = chosen.groupBy(*PLACE).agg(F.sum("score").alias("score"))
     return _round(out, 6, "score")
 
 
 def _introns(spark, sf):
     rows, candidates = _spans(spark, sf)
-    spans = materialize(search.best_chain(candidates), "best-spans")
+    spans = materialize(chain_search.best_chain(candidates), "best-spans")
     inner = search.sites_in_spans(rows, spans)
-    return spans, search.candidate_introns(inner, INTRON_LIMIT, -_span_pair(INTRON_LIMIT) / 4)
+    return spans, search.candidate_introns(inner, INTRON_LIMIT, *_length_pair(INTRON_LIMIT, -0.25))
 
 
 def intron_candidates(spark, sf):
