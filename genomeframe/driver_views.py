@@ -87,6 +87,19 @@ def placed_exons(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as repeats of up to 40 bases on the document contigs."""
+    docs = contigs(spark, folder).select("seqid", "length")
+    n_docs = table(spark, folder, "documents").count()
+    rows = table(spark, folder, "orders").select(
+        (F.col("o_custkey") % n_docs).cast("string").alias("seqid"), (F.col("o_orderkey") * 31).alias("at")
+    )
+    start = F.col("at") % F.col("length")
+    return rows.join(docs, "seqid").select(
+        "seqid", start.alias("start0"), F.least(start + 40, "length").alias("end0")
+    )
+
+
 def features(spark: SparkSession, folder: str) -> DataFrame:
     """Genes (customers), transcripts (orders; low priority ones are rRNA), exons (line items)."""
     parents = lambda c: F.array(F.concat(F.lit(c[0]), F.col(c[1])))
@@ -140,3 +153,25 @@ def points(spark: SparkSession, folder: str) -> DataFrame:
         .agg(F.max("logit").alias("logit"))
         .withColumn("part", F.lit(0.0))
     )
+
+
+def dense_points(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as scored points, close together on both strands of 16 contigs."""
+    rows = table(spark, folder, "lineitem").select(
+        F.expr("cast(l_orderkey % 16 as string)").alias("seqid"),
+        F.expr("if((l_orderkey div 16) % 2 = 0, '+', '-')").alias("strand"),
+        F.expr("l_partkey * 10 + l_linenumber").alias("pos"),
+        F.expr("cast((l_orderkey + l_linenumber) % 4 as int)").alias("kind"),
+        F.expr("(l_quantity + l_discount * 100) / 20 + l_extendedprice / 1000000").alias("logit"),
+        F.expr("((l_suppkey % 13) - 8) / 4.0D").alias("part"),
+    )
+    return rows.groupBy("seqid", "strand", "pos", "kind").agg(
+        F.max("logit").alias("logit"), F.max("part").alias("part")
+    )
+
+
+def dense_spans(spark: SparkSession, folder: str, size: int, step: int) -> DataFrame:
+    """A span of ``size`` at every ``step`` positions that hold dense points."""
+    place = dense_points(spark, folder).select("seqid", "strand", F.expr(f"pos div {step}").alias("n")).distinct()
+    start = (F.col("n") * step).cast("bigint")
+    return place.select("seqid", "strand", start.alias("start0"), (start + size).alias("end0"))

@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -330,6 +331,20 @@ def energy_quantile(values: DataFrame, column: str, q: float = 0.995) -> DataFra
     return spark.createDataFrame([(first + (at - int(at)) * (second - first),)], "quantile double")
 
 
+def bin_sums(power: np.ndarray, at: int, width: float, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bins that the bases from ``at`` on touch, and how much energy they bring to each.
+
+    With prefix sums a bin of any width costs two lookups between bases.
+    """
+    upto = np.append(0.0, np.cumsum(power))
+    first, last = int(at / width), min(int((at + len(power)) / width), bins - 1)
+    numbers = np.arange(first, last + 1)
+    edges = np.append(numbers, last + 1) * width - at
+    edges[-1] = max(edges[-1], len(power)) if last == bins - 1 else edges[-1]
+    sums = np.diff(np.interp(np.clip(edges, 0, len(power)), np.arange(len(upto)), upto))
+    return numbers, sums
+
+
 def region_energy(
     regions: DataFrame,
     lengths: DataFrame,
@@ -340,7 +355,8 @@ def region_energy(
     """``log1p`` of area-resampled energy per region and oriented bin.
 
     ``regions`` has ``region, seqid, strand, start0, end0``. Each base spreads
-    its energy over the fractional bins it covers, whatever the region's size.
+    its energy over the fractional bins it covers, whatever the region's size. A part
+    of a region in one tile gives a row for each bin it touches, from prefix sums.
     """
     spans = (
         regions.join(lengths.select("seqid", "length"), "seqid")
@@ -350,24 +366,35 @@ def region_energy(
     )
     keep = ["region", "strand", "low", "high", "size"]
     parts = attach_tiles(spans, with_power, "power", "low", "high", keep)
-    width = F.col("size") / F.least(F.lit(pixels), F.col("size"))
-    pos = F.col("part_start") + F.col("i")
-    at = F.when(F.col("strand") == "+", pos - F.col("low")).otherwise(F.col("high") - 1 - pos)
-    last_bin = F.least(F.lit(pixels), F.col("size")) - 1
-    bins = F.sequence(
-        F.floor(F.col("at") / F.col("width")).cast("bigint"),
-        F.least(F.floor((F.col("at") + 1) / F.col("width")).cast("bigint"), last_bin.cast("bigint")),
-    )
-    overlap = F.least(F.col("at") + 1, (F.col("bin") + 1) * F.col("width")) - F.greatest(
-        F.col("at").cast("double"), F.col("bin") * F.col("width")
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                rows = batch.slice(start, 500)
+                regions_, bins, amounts = [], [], []
+                columns = (rows.column(i).to_pylist() for i in range(1, 6))
+                power = rows.column(6)
+                for k, (strand, low, high, size, first) in enumerate(zip(*columns)):
+                    own = power[k].values.to_numpy(zero_copy_only=False).astype(float)
+                    if strand != "+":
+                        own, at = own[::-1], high - first - len(own)
+                    else:
+                        at = first - low
+                    n = min(pixels, size)
+                    numbers, found = bin_sums(own, at, size / n, n)
+                    regions_.append(np.full(len(numbers), k))
+                    bins.append(numbers)
+                    amounts.append(found / (size / n))
+                if regions_:
+                    at = pa.array(np.concatenate(regions_))
+                    columns = [rows.column(0).take(at), pa.array(np.concatenate(bins)), pa.array(np.concatenate(amounts))]
+                    yield pa.RecordBatch.from_arrays(columns, ["region", "bin", "amount"])
+
+    kind = dict(regions.dtypes)["region"]
+    summed = parts.select(*keep, "part_start", "part").mapInArrow(run, f"region {kind}, bin long, amount double")
     return (
-        parts.select("*", F.posexplode("part").alias("i", "power"))
-        .select("region", "size", "power", at.alias("at"), width.alias("width"))
-        .withColumn("bin", F.explode(bins))
-        .withColumn("overlap", F.greatest(overlap, F.lit(0.0)))
-        .groupBy("region", "bin")
-        .agg((F.sum(F.col("power") * F.col("overlap")) / F.first("width")).alias("mean_power"))
+        summed.groupBy("region", "bin")
+        .agg(F.sum("amount").alias("mean_power"))
         .withColumn("log_power", F.log1p("mean_power"))
     )
 

@@ -193,16 +193,18 @@ class _Sums:
         yield marked(row, self.part, self.segment == 0, TAIL, **sums)
 
 
-def prefix_sums(df: DataFrame, keys: Sequence[str], position: str, names: Sequence[str]) -> DataFrame:
+def prefix_sums(
+    df: DataFrame, keys: Sequence[str], position: str | Sequence[str], names: Sequence[str]
+) -> DataFrame:
     """Add ``<name>_sum``: inclusive prefix sums along each key; rows at one position in any order.
 
-    Rows with a null position are left out.
+    ``position`` may be several columns. Rows with a null one are left out.
     """
+    order = [position] if isinstance(position, str) else list(position)
     real = {c: kind in ("float", "double") for c, kind in df.dtypes}
     schema = result_schema(df, *(f"{c}_sum {'double' if real[c] else 'long'}" for c in names))
-    written = scan(
-        df.filter(F.col(position).isNotNull()), keys, [position], lambda part: _Sums(part, names), schema, "sums"
-    )
+    placed = df.dropna(subset=order)
+    written = scan(placed, keys, order, lambda part: _Sums(part, names), schema, "sums")
     known = states(written, keys, *(f"{c}_sum" for c in names))
     rows = written.filter(F.col(MARK) == ROW)
     for c in names:

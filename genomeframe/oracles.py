@@ -411,7 +411,7 @@ cand AS (SELECT a.seqid, a.strand, a.pos AS start0, b.pos AS end0,
  FROM pts a JOIN pts b ON a.seqid = b.seqid AND a.kind = 0 AND b.kind = 3 AND b.pos > a.pos AND b.pos - a.pos <= 200000
  WHERE 1.0 - (b.pos - a.pos) / 200000.0::DOUBLE >= 0)"""
 
-CONTROL_DRAW = "('0x' || substr(md5('42:{what}:' || seqid || ':' || start0 || ':' || end0 || ':' || strand || ':' || attempt), 1, 15))::BIGINT"
+CONTROL_DRAW = "('0x' || substr(md5('42:{what}:' || seqid || ':' || start0 || ':' || end0 || ':' || strand || ':' || replicate), 1, 15))::BIGINT"
 
 ORACLES |= {
     "energy_per_contig": f"""WITH {CONTIGS}, {ENERGY} SELECT seqid, count(*) AS n,
@@ -435,8 +435,12 @@ SELECT seqid, strand, start0, end0, rank, row FROM k ASOF JOIN e ON k.rank >= e.
  UNION ALL SELECT 'first-last-end', seqid, start0, end0, strand FROM x WHERE islast AND n > 1)""",
     "kmer_bounds": f"WITH {KBOUNDS} SELECT * FROM kb",
     "exclusion_masks": f"""WITH {GENES}, gi AS (SELECT seqid, start0, end0 FROM gx UNION ALL SELECT seqid, start0, end0 FROM gin),
-{merged('m1', 'gx', 'seqid')}, {merged('m2', 'gi', 'seqid')}
-SELECT *, 'exons' AS mask FROM m1 UNION ALL SELECT *, 'exons+introns' FROM m2""",
+rp AS (SELECT seqid, place % length AS start0, least(place % length + 40, length) AS end0 FROM
+  (SELECT CAST(o_custkey % (SELECT count(*) FROM documents) AS VARCHAR) AS id, o_orderkey * 31 AS place FROM orders) JOIN contigs ON id = seqid),
+gr AS (SELECT seqid, start0, end0 FROM gx UNION ALL SELECT * FROM rp), gir AS (SELECT * FROM gi UNION ALL SELECT * FROM rp),
+{merged('m1', 'gx', 'seqid')}, {merged('m2', 'gi', 'seqid')}, {merged('m3', 'gr', 'seqid')}, {merged('m4', 'gir', 'seqid')}
+SELECT *, 'exons' AS mask FROM m1 UNION ALL SELECT *, 'exons+introns' FROM m2
+UNION ALL SELECT *, 'exons+repeats' FROM m3 UNION ALL SELECT *, 'exons+introns+repeats' FROM m4""",
     "splice_site_positions": f"""WITH {GENES}, p AS (
  SELECT seqid, unnest([fs, fs + 1, le - 2, le - 1]) AS pos FROM (SELECT DISTINCT seqid, tid, fs, le FROM x)
  UNION ALL SELECT seqid, pos FROM (SELECT seqid, start0, end0, unnest([start0, start0 + 1, end0 - 2, end0 - 1]) AS pos FROM gin)
@@ -455,19 +459,23 @@ SELECT boundary, "column", base, n, round(p * least(greatest(2.0 - entropy, 0.0)
 SELECT boundary, '>' || header || chr(10) || kmer AS fasta, boundary || chr(9) || header || chr(9) || peak AS distance FROM h""",
     "matched_controls": f"""WITH {PLACED}, iv AS (SELECT DISTINCT seqid, strand, start0, end0 FROM placed),
 {merged('mk', 'iv', 'seqid')},
-cs AS (SELECT seqid AS cid, length, CAST(coalesce(sum(length) OVER (ORDER BY seqid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM contigs),
-tot AS (SELECT CAST(sum(length) AS BIGINT) AS total FROM contigs),
-tr AS (SELECT *, end0 - start0 AS size FROM (SELECT *, unnest(range(1, 201)) AS attempt FROM iv)),
-dr AS (SELECT tr.*, {CONTROL_DRAW.format(what='contig')} % total AS at,
-  CASE WHEN {CONTROL_DRAW.format(what='strand')} % 2 = 0 THEN '+' ELSE '-' END AS cstrand,
-  {CONTROL_DRAW.format(what='start')} AS d FROM tr, tot),
-pl AS (SELECT dr.*, cid, d % greatest(length - size + 1, 1) AS cs0 FROM dr ASOF JOIN cs ON dr.at >= cs.at WHERE length >= size),
-hit AS (SELECT pl.*, cs0 + size AS ce0, mk.end0 AS mend FROM pl ASOF LEFT JOIN mk ON pl.cid = mk.seqid AND pl.cs0 + pl.size - 1 >= mk.start0),
-won AS (SELECT * FROM hit WHERE mend IS NULL OR mend <= cs0
- QUALIFY row_number() OVER (PARTITION BY seqid, start0, end0, strand ORDER BY attempt) = 1)
+cl AS (SELECT seqid, CAST(length AS BIGINT) AS length FROM contigs),
+edge AS (SELECT mk.seqid, mk.start0, least(mk.end0, length) AS end0 FROM mk JOIN cl ON mk.seqid = cl.seqid WHERE mk.start0 < length
+ UNION ALL SELECT seqid, unnest([0, length]) AS start0, start0 AS end0 FROM cl),
+gap AS (SELECT seqid, end0 AS start0, following - end0 AS room FROM (SELECT *, lead(start0) OVER
+  (PARTITION BY seqid ORDER BY start0, end0) AS following FROM edge) WHERE following > end0),
+size AS (SELECT DISTINCT end0 - start0 AS size FROM iv WHERE end0 > start0),
+fit AS (SELECT size, gap.*, CAST(sum(room - size + 1) OVER (PARTITION BY size ORDER BY room DESC, seqid, start0
+  ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM size JOIN gap ON room >= size),
+all_ AS (SELECT size, max(upto) AS places FROM fit GROUP BY size),
+item AS (SELECT iv.*, size, {CONTROL_DRAW.format(what='place')} % places AS nth,
+  CASE WHEN {CONTROL_DRAW.format(what='strand')} % 2 = 0 THEN '+' ELSE '-' END AS cstrand
+  FROM (SELECT *, 1 AS replicate FROM iv) iv JOIN all_ ON end0 - start0 = size),
+won AS (SELECT item.seqid, item.start0, item.end0, item.strand, item.cstrand, fit.seqid AS cid,
+  fit.start0 + nth - (upto - (room - item.size + 1)) AS cs0, item.size FROM item ASOF JOIN fit ON item.size = fit.size AND item.nth < fit.upto)
 SELECT iv.seqid AS item_seqid, iv.start0 AS item_start0, iv.end0 AS item_end0, iv.strand AS item_strand,
- CAST(attempt AS INTEGER) AS attempt, cid AS seqid, cs0 AS start0, ce0 AS end0, cstrand AS strand,
- CASE WHEN iv.end0 <= iv.start0 THEN 'no length left' WHEN attempt IS NULL THEN 'no free place in 200 attempts' END AS reason
+ 1 AS replicate, cid AS seqid, cs0 AS start0, cs0 + size AS end0, cstrand AS strand,
+ CASE WHEN iv.end0 <= iv.start0 THEN 'no length left' WHEN cid IS NULL THEN 'no free place' END AS reason
 FROM iv LEFT JOIN won ON iv.seqid = won.seqid AND iv.start0 = won.start0 AND iv.end0 = won.end0 AND iv.strand = won.strand""",
     "site_samples": f"WITH {SAMPLES} SELECT * FROM sam",
     "class_weights": f"""WITH {SAMPLES} SELECT type, sum(weight) AS population, CAST(sum(target) AS BIGINT) AS positives,
@@ -512,3 +520,103 @@ ORACLES |= {
  '+' AS strand, l_partkey * 50 AS start0, l_partkey * 50 + CAST(l_quantity AS BIGINT) AS end0,
  false AS rrna, false AS repeat FROM lineitem""",
 }
+
+DENSE = """dp AS (SELECT CAST(l_orderkey % 16 AS VARCHAR) AS seqid, CASE WHEN (l_orderkey // 16) % 2 = 0 THEN '+' ELSE '-' END AS strand,
+  l_partkey * 10 + l_linenumber AS pos, CAST((l_orderkey + l_linenumber) % 4 AS INTEGER) AS kind,
+  max((l_quantity + l_discount * 100) / 20 + l_extendedprice / 1000000) AS logit,
+  max(((l_suppkey % 13) - 8) / 4.0::DOUBLE) AS part FROM lineitem GROUP BY ALL)"""
+DENSE_SPANS = f"""{DENSE},
+dc AS (SELECT a.seqid, a.strand, a.pos AS start0, b.pos AS end0, a.part + b.part + (1.0::DOUBLE - (b.pos - a.pos) / 400.0::DOUBLE) AS pair,
+  a.logit + b.logit AS sites FROM dp a JOIN dp b ON a.seqid = b.seqid AND a.strand = b.strand AND a.kind = 0 AND b.kind = 3
+  AND b.pos > a.pos AND b.pos - a.pos <= 400 WHERE pair >= 0)"""
+DENSE_INTRONS = f"""{DENSE},
+ds AS (SELECT DISTINCT seqid, strand, pos // 500 * 500 AS span_start, pos // 500 * 500 + 250 AS span_end FROM dp),
+din AS (SELECT ds.*, pos, kind, logit, part FROM dp JOIN ds ON dp.seqid = ds.seqid AND dp.strand = ds.strand
+  AND pos > span_start AND pos < span_end AND kind IN (1, 2)),
+di AS (SELECT a.seqid, a.strand, a.span_start, a.span_end, a.pos AS start0, b.pos AS end0,
+  a.logit + b.logit + (a.part + b.part + (1.0::DOUBLE - (b.pos - a.pos) / 250.0::DOUBLE) * -0.25) AS score
+  FROM din a JOIN din b ON a.seqid = b.seqid AND a.strand = b.strand AND a.span_start = b.span_start
+  AND a.kind = 1 AND b.kind = 2 AND b.pos - a.pos BETWEEN 20 AND 250 WHERE score > 0)"""
+
+ORACLES |= {
+    "dense_span_candidates": f"""WITH {DENSE_SPANS} SELECT seqid, strand, count(*) AS n, CAST(sum(start0) AS BIGINT) AS starts,
+ CAST(sum(end0) AS BIGINT) AS ends, round(sum(sites + pair), 4) AS score FROM dc GROUP BY seqid, strand""",
+    # best[k + 1] is the best total of the first k candidates by end; a candidate adds to the best of those that end before it
+    "dense_best_chain": f"""WITH RECURSIVE {DENSE_SPANS},
+o AS (SELECT *, sites + pair AS score, row_number() OVER (PARTITION BY seqid, strand ORDER BY end0, start0) AS i,
+  count(*) OVER (PARTITION BY seqid, strand ORDER BY end0) AS upto FROM dc WHERE sites + pair > 0),
+e AS (SELECT seqid, strand, end0, max(upto) AS upto FROM o GROUP BY ALL),
+q AS (SELECT o.seqid, o.strand, i, score, coalesce(e.upto, 0) AS before FROM o ASOF LEFT JOIN e
+  ON o.seqid = e.seqid AND o.strand = e.strand AND o.start0 >= e.end0),
+g AS (SELECT seqid, strand, list(score ORDER BY i) AS scores, list(before ORDER BY i) AS befores FROM q GROUP BY ALL),
+walk AS (SELECT seqid, strand, scores, befores, 0 AS i, [0.0::DOUBLE] AS best FROM g
+ UNION ALL SELECT seqid, strand, scores, befores, i + 1,
+  list_append(best, greatest(best[i + 1], best[befores[i + 1] + 1] + scores[i + 1])) FROM walk WHERE i < len(scores))
+SELECT seqid, strand, round(best[i + 1], 4) AS score FROM walk WHERE i = len(scores)""",
+    "intron_candidates": f"""WITH {DENSE_INTRONS}
+SELECT seqid, strand, span_start, span_end, start0, end0, round(score, 6) AS score FROM di""",
+    "top_chains": f"""WITH RECURSIVE {DENSE_INTRONS},
+n AS (SELECT *, row_number() OVER (PARTITION BY seqid, strand, span_start ORDER BY start0, end0) - 1 AS i FROM di),
+walk AS (SELECT seqid, strand, span_start, span_end, end0, i, score, 1 AS introns FROM n
+ UNION ALL SELECT n.seqid, n.strand, n.span_start, n.span_end, n.end0, n.i, w.score + n.score, introns + 1 FROM walk w JOIN n
+  ON n.seqid = w.seqid AND n.strand = w.strand AND n.span_start = w.span_start AND n.start0 > w.end0),
+kept AS (SELECT *, row_number() OVER (PARTITION BY seqid, strand, span_start, i ORDER BY score DESC) AS k FROM walk QUALIFY k <= 8),
+near AS (SELECT *, max(score) OVER (PARTITION BY seqid, strand, span_start) AS top FROM kept),
+form AS (SELECT *, row_number() OVER (PARTITION BY seqid, strand, span_start ORDER BY score DESC, i, k) - 1 AS rank FROM near
+ WHERE score >= top - 8)
+SELECT ds.seqid, ds.strand, ds.span_start, ds.span_end, coalesce(rank, 0) AS rank, round(coalesce(score, 0), 6) AS score,
+ CAST(coalesce(introns, 0) + 1 AS BIGINT) AS n_exons FROM ds LEFT JOIN form ON ds.seqid = form.seqid AND ds.strand = form.strand
+ AND ds.span_start = form.span_start""",
+}
+
+ORACLES["bedgraph_roundtrip"] = f"""WITH {DENSE}, p AS (SELECT seqid, strand, kind, logit,
+ pos - CASE WHEN kind = 3 THEN 1 ELSE 0 END AS x FROM dp),
+g AS (SELECT *, CASE WHEN strand = '+' THEN x ELSE 3000000 - 1 - x END AS start0 FROM p)
+SELECT CASE kind WHEN 0 THEN 'GS' WHEN 1 THEN 'IS' WHEN 2 THEN 'IE' ELSE 'GE' END AS kind,
+ CASE WHEN strand = '+' THEN 'plus' ELSE 'minus' END AS track, seqid, start0, start0 + 1 AS end0,
+ format('{{:.6g}}', 1 / (1 + exp(-logit))) AS value, true AS sorted FROM g WHERE start0 >= 0 AND start0 < 3000000"""
+
+# every base's share of the bins that it touches
+ORACLES["region_energy"] = f"""WITH {CONTIGS}, {ENERGY},
+r AS (SELECT pw.seqid AS region, power, least(1600, length) AS n, length / least(1600, length)::DOUBLE AS width,
+  CASE WHEN ord % 2 = 0 THEN pos ELSE length - 1 - pos END AS x FROM pw JOIN contigs c ON pw.seqid = c.seqid),
+b AS (SELECT *, unnest(range(CAST(floor(x / width) AS BIGINT), least(CAST(floor((x + 1) / width) AS BIGINT), n - 1) + 1)) AS bin FROM r),
+s AS (SELECT region, bin, sum(power * greatest(least(x + 1, (bin + 1) * width) - greatest(x, bin * width), 0) / width) AS mean_power
+  FROM b GROUP BY region, bin)
+SELECT region, bin, round(mean_power, 5) AS mean_power, round(ln(1 + mean_power), 5) AS log_power FROM s"""
+
+ORACLES["dense_pair_samples"] = f"""WITH {DENSE},
+ds AS (SELECT DISTINCT seqid, strand, pos // 500 * 500 AS s, pos // 500 * 500 + 250 AS e FROM dp),
+k AS (SELECT *, row_number() OVER (PARTITION BY seqid, strand ORDER BY s, e) AS i FROM ds),
+c AS (SELECT a.seqid, a.strand, a.s, b.e FROM k a JOIN k b ON a.seqid = b.seqid AND a.strand = b.strand AND abs(a.i - b.i) <= 4
+ UNION SELECT seqid, strand, s + o, e FROM (SELECT *, unnest(range(-64, 65)) AS o FROM ds)
+ UNION SELECT seqid, strand, s, e + o FROM (SELECT *, unnest(range(-64, 65)) AS o FROM ds))
+SELECT c.seqid, c.strand, count(*) AS n, count(ds.s) AS positives, CAST(sum(c.s) AS BIGINT) AS starts, CAST(sum(c.e) AS BIGINT) AS ends
+FROM c LEFT JOIN ds ON c.seqid = ds.seqid AND c.strand = ds.strand AND c.s = ds.s AND c.e = ds.e
+WHERE c.s >= 0 AND c.e <= 3000000 AND c.e - c.s BETWEEN 20 AND 2000 GROUP BY c.seqid, c.strand"""
+
+LANDMARKS = f"""{PLACED},
+lx AS (SELECT DISTINCT tid, seqid, strand, CASE WHEN strand = '+' THEN start0 ELSE -end0 END AS s,
+  CASE WHEN strand = '+' THEN end0 ELSE -start0 END AS e FROM placed WHERE kind = 'exon'),
+lk AS (SELECT *, row_number() OVER (PARTITION BY tid, seqid, strand ORDER BY s, e) AS up,
+  row_number() OVER (PARTITION BY tid, seqid, strand ORDER BY s DESC, e DESC) AS down FROM lx),
+lc AS (SELECT tid, seqid, strand, CASE WHEN strand = '+' THEN start0 ELSE -end0 END AS s,
+  CASE WHEN strand = '+' THEN end0 ELSE -start0 END AS e FROM placed SEMI JOIN lx USING (tid, seqid, strand) WHERE kind = 'CDS'),
+ld AS (SELECT *, row_number() OVER (PARTITION BY tid, seqid, strand ORDER BY s, e) AS up,
+  row_number() OVER (PARTITION BY tid, seqid, strand ORDER BY s DESC, e DESC) AS down FROM lc),
+lm AS (SELECT tid, seqid, strand, 'Start' AS landmark, s AS place FROM ld WHERE up = 1
+ UNION ALL SELECT tid, seqid, strand, 'Stop', e - 1 FROM ld WHERE down = 1
+ UNION ALL SELECT a.tid, a.seqid, a.strand, 'IS', a.e FROM lk a JOIN lk b ON a.tid = b.tid AND a.seqid = b.seqid AND a.strand = b.strand
+  AND a.up = 1 AND b.up = 2 WHERE a.e < b.s
+ UNION ALL SELECT a.tid, a.seqid, a.strand, 'IE', b.s - 1 FROM lk a JOIN lk b ON a.tid = b.tid AND a.seqid = b.seqid AND a.strand = b.strand
+  AND a.down = 2 AND b.down = 1 WHERE a.e <= b.s - 1)"""
+
+ORACLES["landmark_profile"] = f"""WITH {LANDMARKS}, {ENERGY},
+pwl AS (SELECT *, lag(power) OVER w AS l, lead(power) OVER w AS r FROM pw WINDOW w AS (PARTITION BY seqid ORDER BY pos)),
+mk AS (SELECT seqid, strand, landmark, CASE WHEN strand = '+' THEN place ELSE -place - 1 END AS pos FROM lm),
+at_ AS (SELECT *, unnest(range(-15, 16)) AS d FROM mk),
+hit AS (SELECT landmark, CASE WHEN strand = '+' THEN d ELSE -d END AS "offset", power,
+  CASE WHEN l IS NULL AND r IS NULL THEN 0 ELSE (coalesce(r, power) - coalesce(l, power)) / ((l IS NOT NULL)::INT + (r IS NOT NULL)::INT) END
+   * CASE WHEN strand = '+' THEN 1 ELSE -1 END AS slope
+  FROM at_ JOIN pwl ON pwl.seqid = at_.seqid AND pwl.pos = at_.pos + d)
+SELECT landmark, "offset", round(avg(power), 5) AS mean_power, round(avg(slope), 5) AS mean_slope, count(*) AS n FROM hit GROUP BY ALL"""

@@ -25,7 +25,7 @@ from genomeframe.operators.samples import (
     site_windows,
     spark_mix,
 )
-from genomeframe.operators.training import fit_classifier
+from genomeframe.operators.training import MAX_ITERATIONS, fit_classifier, loss
 from genomeframe.operators.transcripts import introns_of, training_spans, transcript_bounds
 from genomeframe.session import materialize
 from genomeframe.sources.model import Model
@@ -82,20 +82,17 @@ def pair_training_rows(contigs, tiles, observed, pair: str, longest: int) -> Dat
     )
 
 
-def train_model(
+def training_sets(
     contigs: DataFrame,
     tiles: DataFrame,
     exons: DataFrame,
-    iterations: int = 1000,
     sample_target: int = SAMPLE_TARGET,
     max_span: int | None = None,
     max_intron: int | None = None,
-) -> Model:
-    """Fit all classifiers. ``exons`` is the training view of the gene models.
+) -> tuple[dict[str, DataFrame], int, int]:
+    """Written samples of each classifier (``target, weight, features``), and the longest intron and span.
 
-    Sampled rows are written once. ``sample_target`` bounds the unlabelled positions
-    of the site fits; ``max_span`` and ``max_intron`` bound the pairs that are
-    learned and later predicted, and default to the longest observed ones.
+    Site samples are balanced: each positive weighs as much as negatives over positives.
     """
     genes, introns = observed_pairs(exons)
     size = F.max(F.col("end0") - F.col("start0"))
@@ -111,10 +108,29 @@ def train_model(
     ):
         rows = pair_training_rows(contigs, tiles, observed, name, longest)
         inputs[name] = materialize(rows, "pair-samples")
+    return inputs, max_intron, max_span
+
+
+def train_model(
+    contigs: DataFrame,
+    tiles: DataFrame,
+    exons: DataFrame,
+    iterations: int = MAX_ITERATIONS,
+    sample_target: int = SAMPLE_TARGET,
+    max_span: int | None = None,
+    max_intron: int | None = None,
+) -> Model:
+    """Fit all classifiers. ``exons`` is the training view of the gene models.
+
+    Sampled rows are written once. ``sample_target`` bounds the unlabelled positions
+    of the site fits; ``max_span`` and ``max_intron`` bound the pairs that are
+    learned and later predicted, and default to the longest observed ones.
+    """
+    inputs, max_intron, max_span = training_sets(contigs, tiles, exons, sample_target, max_span, max_intron)
     return Model(fit_all(inputs, iterations), max_intron, max_span)
 
 
-def fit_all(inputs: dict[str, DataFrame], iterations: int) -> dict[str, np.ndarray]:
+def fit_all(inputs: dict[str, DataFrame], iterations: int = MAX_ITERATIONS) -> dict[str, np.ndarray]:
     """Fit the classifiers side by side: their many small jobs share the executors."""
 
     def fit(name: str) -> np.ndarray:
@@ -122,3 +138,15 @@ def fit_all(inputs: dict[str, DataFrame], iterations: int) -> dict[str, np.ndarr
 
     with ThreadPoolExecutor(len(inputs)) as pool:
         return dict(zip(inputs, pool.map(fit, inputs)))
+
+
+def losses(inputs: dict[str, DataFrame], model: Model) -> DataFrame:
+    """(classifier, weights, samples, loss, constant_loss): the mean log-loss, balanced as in the
+    fit, of a model on its samples and of the best constant."""
+    found = None
+    for name, samples in inputs.items():
+        made = loss(samples, model.weights[name], balanced=name in SITES).select(
+            F.lit(name).alias("classifier"), F.lit(len(model.weights[name])).alias("weights"), "*"
+        )
+        found = made if found is None else found.unionByName(made)
+    return found

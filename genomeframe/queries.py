@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genomeframe import driver_views as views
@@ -15,7 +17,7 @@ from genomeframe.functions.sequence import (
     oriented_start,
     reverse_complement,
 )
-from genomeframe.operators import chains as chain_search, controls, energy, features, intervals, motifs, orf, samples
+from genomeframe.operators import chains as chain_search, controls, energy, features, frames, intervals, motifs, orf, samples
 from genomeframe.operators import search, tiles, transcripts
 from genomeframe.operators.comparison import alternative_regions, compare_gene_sets
 from genomeframe.operators.intervals import PLACE
@@ -23,9 +25,12 @@ from genomeframe.operators.transcripts import CHAIN
 from genomeframe.session import materialize, shared_folder
 from genomeframe.sinks import bedgraph, gff3 as gff3_sink, tables as table_sinks
 from genomeframe.sources import bed, fasta, gff3
+from genomeframe.sources.model import Model, read_model
 
 SPAN_LIMIT = 200_000
-INTRON_LIMIT = 100_000
+DENSE_SPAN, DENSE_INTRON = 400, 250
+TRACK_LENGTH = 3_000_000
+INTRON_CAP = 2_000
 
 
 def _round(df: DataFrame, places: int, *columns: str) -> DataFrame:
@@ -216,14 +221,7 @@ def contig_tiles(spark, sf):
 
 
 def longest_orf(spark, sf):
-    found = orf.longest_orf(F.col("bases"))
-    return (
-        views.contigs(spark, sf)
-        .repartition(spark.sparkContext.defaultParallelism * 2, "seqid")
-        .select("seqid", orf.evaluated_once(found).alias("o"))
-        .filter("o is not null")
-        .select("seqid", F.col("o.start").cast("bigint").alias("start"), F.col("o.stop").cast("bigint").alias("stop"))
-    )
+    return frames.longest_frames(tiles.tile_contigs(views.contigs(spark, sf)))
 
 
 def _forms(spark, sf):
@@ -392,10 +390,15 @@ def kmer_bounds(spark, sf):
 def exclusion_masks(spark, sf):
     exons = _gene_exons(spark, sf)
     gaps = features.feature_introns(features.transcript_exons(exons))
-    plain = features.exclusion_mask(exons).withColumn("mask", F.lit("exons"))
-    return plain.unionByName(
-        features.exclusion_mask(exons, gaps).withColumn("mask", F.lit("exons+introns"))
-    )
+    repeats = views.repeats(spark, sf)
+    masks = {
+        "exons": (exons,),
+        "exons+introns": (exons, gaps),
+        "exons+repeats": (exons, repeats),
+        "exons+introns+repeats": (exons, gaps, repeats),
+    }
+    made = [features.exclusion_mask(*parts).withColumn("mask", F.lit(name)) for name, parts in masks.items()]
+    return reduce(DataFrame.unionByName, made)
 
 
 def splice_site_positions(spark, sf):
@@ -434,11 +437,19 @@ def matched_controls(spark, sf):
 
 
 def motif_controls(spark, sf):
+    """Controls between splice motifs in both modes, one base longer, and twice each."""
     exons = _doc_intervals(spark, sf)
-    contigs = views.contigs(spark, sf)
+    contigs = views.contigs(spark, sf).select("seqid", "length")
     mask = features.exclusion_mask(exons)
-    sites = materialize(motifs.motif_sites(tiles.tile_contigs(contigs), "aggt"), "sites")
-    return controls.matched_controls(exons, contigs, mask, 42, motif="aggt", sites=sites)
+    sites = materialize(motifs.motif_sites(tiles.tile_contigs(views.contigs(spark, sf)), *motifs.MOTIFS), "sites")
+    found = None
+    for mode, offset, replicates in (("aggt", 0, 1), ("gtag", 0, 2), ("gtag", 1, 1)):
+        made = controls.matched_controls(
+            exons, contigs, mask, 42, offset, mode, sites.filter(F.col("mode") == mode), replicates
+        )
+        made = made.withColumns({"mode": F.lit(mode), "offset": F.lit(offset)})
+        found = made if found is None else found.unionByName(made)
+    return found
 
 
 def mutated_tiles(spark, sf):
@@ -495,6 +506,19 @@ def pair_samples(spark, sf):
     )
 
 
+def dense_pair_samples(spark, sf):
+    """Pairs around spans that lie close together on both strands, so neighbours' ends are swapped."""
+    observed = materialize(views.dense_spans(spark, sf, DENSE_INTRON, 2 * DENSE_INTRON), "observed")
+    contigs = observed.select("seqid").distinct().withColumn("length", F.lit(TRACK_LENGTH).cast("bigint"))
+    rows = samples.pair_samples(observed, contigs, samples.PAIR_TYPES["IS-IE-pair"], INTRON_CAP)
+    return rows.groupBy("seqid", "strand").agg(
+        F.count("*").alias("n"),
+        F.sum("target").alias("positives"),
+        F.sum("start0").alias("starts"),
+        F.sum("end0").alias("ends"),
+    )
+
+
 def _windows(spark, sf):
     contigs = views.contigs(spark, sf).select("seqid", "length", "bases")
     wide = energy.energy_tiles(tiles.tile_contigs(contigs), with_halo=True)
@@ -524,14 +548,33 @@ def encoded_sites(spark, sf):
 
 
 def train_site_model(spark, sf):
+    """Weights of the gene-start classifier, fitted to all its samples."""
     from genomeframe.operators.training import fit_classifier
 
     rows = samples.encode_sites(_windows(spark, sf)).filter("type = 0")
-    weights = fit_classifier(materialize(rows.select("target", "weight", "features"), "gs"), True, 30)
+    weights = fit_classifier(materialize(rows.select("target", "weight", "features"), "gs"), True)
     made = [("GS", i, float(w)) for i, w in enumerate(weights)]
     return spark.createDataFrame(made, "classifier string, idx int, weight double")
 
 
+def train_model(spark, sf):
+    """All six classifiers fitted with the default iterations; the model is written and read back.
+
+    Per classifier the number of its weights and samples, and the mean weighted log-loss
+    of its samples beside that of the best constant.
+    """
+    from genomeframe.plans import training
+
+    contigs = views.contigs(spark, sf)
+    cut = materialize(tiles.tile_contigs(contigs), "tiles")
+    exons = views.placed_exons(spark, sf).drop("length")
+    inputs, max_intron, max_span = training.training_sets(contigs.drop("bases"), cut, exons, max_intron=INTRON_CAP)
+    model = Model(training.fit_all(inputs), max_intron, max_span)
+    path = _folder(spark, "model")
+    table_sinks.write_model(spark, model, path)
+    return training.losses(inputs, read_model(spark, path))
+
+
 def rule_model():
     """Weights from a rule, so that scoring is reproducible without a training run."""
     import numpy as np
@@ -571,8 +614,11 @@ def predicted_isoforms(spark, sf):
 
 
 def predicted_gff3(spark, sf):
+    """The predicted genes as a written GFF3 file, read back line by line."""
     found, _ = _rule_prediction(spark, sf)
-    return gff3_sink.gff3_lines(found.isoforms)
+    path = _folder(spark, "predicted-gff3")
+    gff3_sink.write_gff3(found.isoforms, path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 # Search over scored points -----------------------------------------------
@@ -603,11 +649,36 @@ def best_chain(spark, sf):
     return _round(out, 6, "score")
 
 
+def _part_pair(limit, scale):
+    """A pair logit of both parts and a length term."""
+    _, term = _length_pair(limit, scale)
+    return F.col("start_part") + F.col("end_part") + term(F.col("end0") - F.col("start0")), term
+
+
+def _dense_spans(spark, sf):
+    rows = materialize(views.dense_points(spark, sf), "points")
+    return search.candidate_spans(rows, DENSE_SPAN, *_part_pair(DENSE_SPAN, 1.0))
+
+
+def dense_span_candidates(spark, sf):
+    """Candidates among dense points: number, ends and total score by contig strand."""
+    out = _dense_spans(spark, sf).groupBy(*PLACE).agg(
+        F.count("*").alias("n"), F.sum("start0").alias("starts"), F.sum("end0").alias("ends"),
+        F.sum("score").alias("score"),
+    )
+    return _round(out, 4, "score")
+
+
+def dense_best_chain(spark, sf):
+    """The best chain where each contig strand is about one island of overlapping candidates."""
+    chosen = chain_search.best_chain(_dense_spans(spark, sf))
+    return _round(chosen.groupBy(*PLACE).agg(F.sum("score").alias("score")), 4, "score")
+
+
 def _introns(spark, sf):
-    rows, candidates = _spans(spark, sf)
-    spans = materialize(chain_search.best_chain(candidates), "best-spans")
-    inner = search.sites_in_spans(rows, spans)
-    return spans, search.candidate_introns(inner, INTRON_LIMIT, *_length_pair(INTRON_LIMIT, -0.25))
+    spans = materialize(views.dense_spans(spark, sf, DENSE_INTRON, 2 * DENSE_INTRON), "dense-spans")
+    inner = search.sites_in_spans(materialize(views.dense_points(spark, sf), "points"), spans)
+    return spans, search.candidate_introns(inner, DENSE_INTRON, *_part_pair(DENSE_INTRON, -0.25))
 
 
 def intron_candidates(spark, sf):
@@ -616,7 +687,7 @@ def intron_candidates(spark, sf):
 
 def top_chains(spark, sf):
     spans, found = _introns(spark, sf)
-    forms = search.ranked_forms(spans, search.top_chains(found))
+    forms = search.ranked_forms(spans, search.top_chains(found, drop=search.SCORE_DROP))
     out = forms.select(
         *search.SPAN, F.col("rank").cast("bigint").alias("rank"), F.coalesce("score", F.lit(0.0)).alias("score"),
         F.size("exons").cast("bigint").alias("n_exons"),
@@ -629,6 +700,24 @@ def bedgraph_rows(spark, sf):
     return bedgraph.bedgraph_rows(rows)
 
 
+def bedgraph_roundtrip(spark, sf):
+    """Tracks of all kinds and both strands, written and read back, with each row's place in its file."""
+    points = views.dense_points(spark, sf).withColumn("length", F.lit(TRACK_LENGTH).cast("bigint"))
+    contigs = points.select("seqid", F.col("seqid").cast("int").alias("ord")).distinct()
+    path = _folder(spark, "bedgraph")
+    bedgraph.write_bedgraph(points, contigs, path)
+    field = F.split("value", "\t")
+    rows = spark.read.text(path).select(
+        "kind", "track", F.get(field, F.lit(0)).alias("seqid"), F.get(field, F.lit(1)).cast("bigint").alias("start0"),
+        F.get(field, F.lit(2)).cast("bigint").alias("end0"), F.get(field, F.lit(3)).alias("value"),
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"),
+    )
+    # within a file rows come by contig order and position
+    last = F.lag(F.struct(F.col("seqid").cast("int").alias("ord"), "start0")).over(Window.partitionBy("kind", "track", "file").orderBy("row"))
+    here = F.struct(F.col("seqid").cast("int").alias("ord"), "start0")
+    return rows.withColumn("sorted", F.coalesce(last <= here, F.lit(True))).drop("file", "row")
+
+
 def gene_numbers(spark, sf):
     """Genes are the placed transcripts' spans, numbered along contigs and strands."""
     contigs = views.contigs(spark, sf).drop("bases")
@@ -770,17 +859,22 @@ QUERIES = {
         site_samples,
         class_weights,
         pair_samples,
+        dense_pair_samples,
         site_features,
         encoded_sites,
         train_site_model,
+        train_model,
         score_sites,
         predicted_isoforms,
         predicted_gff3,
         span_candidates,
         best_chain,
+        dense_span_candidates,
+        dense_best_chain,
         intron_candidates,
         top_chains,
         bedgraph_rows,
+        bedgraph_roundtrip,
         gene_numbers,
         fasta_roundtrip,
         gff3_roundtrip,

@@ -54,9 +54,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return written
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write a table to the shared folder in buckets of ``key``, as many as there are shuffle partitions.
+
+    Joins and aggregations by the key read it where it is; only the other side is shuffled.
+    """
+    spark = df.sparkSession
+    number = uuid.uuid4().hex
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{number}"
+    table = f"{name.replace('-', '_')}_{number}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    written = spark.table(table)
+    written.written_path, written.table_name = path, table
+    return written
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` returned and nothing reads any more."""
+    """Delete tables that ``materialize`` or ``bucketed`` returned and nothing reads any more."""
     for df in tables:
+        if getattr(df, "table_name", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.table_name}")
         gateway = df.sparkSession.sparkContext._jvm
         path = gateway.org.apache.hadoop.fs.Path(df.written_path)
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -1,8 +1,9 @@
 """FASTA files as contigs and tiles.
 
-Lines keep their order through (split, row), headers and offsets are carried
-across bins of lines, and tiles are assembled from line pieces: a contig of any
-size is read by many tasks and never becomes one row.
+Files are read in byte ranges, also inside lines; headers and offsets are carried
+across bins of pieces, and tiles are assembled from them: a contig of any
+size, on one line or many, is read by many tasks and never becomes one row. Stores that tasks
+can not open by themselves are read by lines.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from genomeframe.functions.sequence import clean_bases
 from genomeframe.operators.tiles import tiles_from_pieces
 from genomeframe.session import materialize
+from genomeframe.sources.byte_ranges import RANGE_BYTES, fasta_pieces, without_header_rests
 from genomeframe.sources.text import file_window, line_bins, ordered_lines, require_valid
 
 
@@ -27,7 +29,7 @@ class Genome(NamedTuple):
 
 
 def read_fasta(
-    spark: SparkSession, paths: str | list[str], strict: bool = True
+    spark: SparkSession, paths: str | list[str], strict: bool = True, range_bytes: int = RANGE_BYTES
 ) -> Genome:
     """Read FASTA, plain or gzip-compressed; ``ord`` numbers records in file order.
 
@@ -35,16 +37,18 @@ def read_fasta(
     empty sequences, data before the first header, no records. ``strict``
     raises on them.
     """
-    lines = line_bins(ordered_lines(spark, paths)).select(
+    pieces = fasta_pieces(spark, paths, range_bytes)
+    if pieces is None:
+        lines = ordered_lines(spark, paths).withColumn("header", F.col("value").startswith(">"))
+    else:
+        lines = without_header_rests(materialize(pieces, "fasta-ranges"))
+    lines = line_bins(lines).select(
         "file",
         "bin",
         "row",
-        F.col("value").startswith(">").alias("header"),
-        F.when(
-            F.col("value").startswith(">"),
-            F.regexp_extract("value", r"^>\s*(\S*)", 1),
-        ).alias("name"),
-        F.when(~F.col("value").startswith(">"), clean_bases(F.col("value"))).alias("bases"),
+        "header",
+        F.when(F.col("header"), F.regexp_extract("value", r"^>\s*(\S*)", 1)).alias("name"),
+        F.when(~F.col("header"), clean_bases(F.col("value"))).alias("bases"),
     )
     size = F.coalesce(F.length("bases"), F.lit(0)).cast("bigint")
     lines = materialize(lines.withColumn("size", size), "fasta-lines")

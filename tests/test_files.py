@@ -1,15 +1,19 @@
 """Readers and writers on small own files, order statistics and global prefix sums."""
 
+import collections
+import gzip
+import io
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from genomeframe.operators import controls, energy, features, scan
+from genomeframe.operators import controls, energy, features, motifs, scan, tiles
 from genomeframe.queries import rule_model
 from genomeframe.sinks import tables as sinks
-from genomeframe.sources import gff3
+from genomeframe.sources import byte_ranges, fasta, gff3
 from genomeframe.sources.model import FEATURES, read_model
 
 GFF3 = """##gff-version 3
@@ -96,17 +100,138 @@ def test_sum_before(spark):
     assert {r.k: r.before for r in got} == want
 
 
+def random_fasta(rng, newline):
+    """Text, and its records as (id, bases): headers of any length, one-line and wrapped records."""
+    records, lines = [], []
+    for i in range(rng.randint(1, 6)):
+        bases = "".join(rng.choice("ACGTN") for _ in range(rng.choice([1, 5, 40, 300])))
+        name = f"r{i}"
+        lines.append(f">{' ' * rng.randint(0, 2)}{name}{rng.choice(['', ' some > text', ' ' + 'x' * 90])}")
+        width = rng.choice([3, 7, 400])
+        body = [bases[a : a + width] for a in range(0, len(bases), width)]
+        lines += [b.lower() if rng.random() < 0.3 else b for b in body] + [""] * rng.randint(0, 1)
+        records.append((name, bases))
+    return newline.join(lines) + newline * rng.randint(0, 1), records
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_byte_ranges_find_their_borders(newline):
+    """Ranges of any size give the records, also where borders lie inside headers and line ends."""
+    rng = random.Random(4)
+    for _ in range(150):
+        text, records = random_fasta(rng, newline)
+        data, size = text.encode(), rng.choice([1, 2, 3, 7, 30, 200, 10_000])
+        found, in_header = [], False
+        for a in range(0, len(data), size):
+            part = byte_ranges.ByteRange("f", a, min(a + size, len(data)))
+            rows = [r for b in byte_ranges.read_range(io.BytesIO(data), part, rng.choice([1, 5, 64])) for r in b.to_pylist()]
+            assert [r["row"] for r in rows] == [*range(len(rows) - 1), -1]
+            for r in rows[:-1]:
+                if r["header"]:
+                    found.append([re.match(r">\s*(\S*)", r["value"])[1], ""])
+                elif not (r["fragment"] and in_header):
+                    found[-1][1] += r["value"].upper()
+            in_header = in_header if rows[-1]["in_header"] is None else rows[-1]["in_header"]
+        assert [tuple(f) for f in found] == records
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_one_line_records_are_read_by_many_tasks(spark, tmp_path, packed):
+    rng = random.Random(5)
+    bases = {c: "".join(rng.choice("ACGT") for _ in range(n)) for c, n in (("long", 90_000), ("short", 70), ("other", 40_000))}
+    text = "".join(f">{c} {'y' * 5_000}\n{b}\n" for c, b in bases.items()).encode()
+    path = tmp_path / ("a.fa.gz" if packed else "a.fa")
+    path.write_bytes(gzip.compress(text) if packed else text)
+    genome = fasta.read_fasta(spark, str(path), range_bytes=4_096)
+    assert [tuple(r) for r in genome.contigs.orderBy("ord").collect()] == [(c, i, len(b)) for i, (c, b) in enumerate(bases.items())]
+    want = tiles.tile_contigs(spark.createDataFrame(list(bases.items()), "seqid string, bases string"))
+    columns = ["seqid", "tile", "origin", "length", "left", "core", "bases"]
+    rows = lambda df: sorted(map(tuple, df.select(*columns).collect()))
+    assert rows(genome.tiles) == rows(want)
+    pieces = spark.read.format("fasta").option("range_bytes", 4_096).load(str(path))
+    ranges = pieces.select("block").distinct().count()
+    assert ranges == (1 if packed else -(-len(text) // 4_096))
+
+
+@pytest.mark.parametrize(
+    "text,problem",
+    [
+        (">\nACGT\n", "empty sequence id"),
+        (">a\n>b\nAC\n", "empty sequence: a"),
+        (">a\nA\n>a\nC\n", "duplicate sequence id: a"),
+        ("AC\n>a\nA\n", "sequence before the first header"),
+        ("\n", "no records"),
+    ],
+)
+def test_fasta_problems(spark, tmp_path, text, problem):
+    (tmp_path / "x.fa").write_text(text)
+    with pytest.raises(ValueError, match=problem):
+        fasta.read_fasta(spark, str(tmp_path / "x.fa"), range_bytes=3)
+
+
+CONTROL_ITEMS = "seqid string, start0 long, end0 long, strand string"
+
+
 def test_controls_without_a_place_are_returned(spark):
-    items = spark.createDataFrame(
-        [("c", 0, 40, "+"), ("c", 5, 15, "+")], "seqid string, start0 long, end0 long, strand string"
-    )
+    items = spark.createDataFrame([("c", 0, 40, "+"), ("c", 5, 15, "+"), ("c", 9, 9, "+")], CONTROL_ITEMS)
     contigs = spark.createDataFrame([("c", 60)], "seqid string, length long")
-    mask = features.exclusion_mask(items)
-    got = controls.matched_controls(items, contigs, mask, seed=1, attempts=8).collect()
-    assert len(got) == 2
-    for r in got:
-        if r.start0 is None:
-            assert r.reason == "no free place in 8 attempts"
-        else:
-            assert r.start0 >= 40 and r.end0 - r.start0 == r.item_end0 - r.item_start0
-    assert any(r.start0 is None for r in got)
+    mask = features.exclusion_mask(items.filter("end0 > start0"))
+    got = {r.item_end0: r for r in controls.matched_controls(items, contigs, mask, seed=1).collect()}
+    assert got[40].start0 is None and got[40].reason == "no free place"
+    assert got[9].start0 is None and got[9].reason == "no length left"
+    assert got[15].start0 >= 40 and got[15].end0 == got[15].start0 + 10 <= 60 and got[15].reason is None
+
+
+@pytest.mark.parametrize("block", [10_000, 2])
+def test_controls_are_drawn_from_all_free_places(spark, monkeypatch, block):
+    """Every free place of a length is drawn about equally often, whatever the blocks and tasks."""
+    monkeypatch.setattr(controls, "GAPS", block)
+    monkeypatch.setattr(controls, "ITEMS", 500)
+    contigs = spark.createDataFrame([("a", 30), ("b", 12), ("c", 5), ("d", 9)], "seqid string, length long")
+    mask = spark.createDataFrame([("a", 4, 9), ("a", 17, 18), ("b", 0, 3), ("d", 0, 20)], "seqid string, start0 long, end0 long")
+    blocked = {("a", p) for p in (*range(4, 9), 17)} | {("b", p) for p in range(3)} | {("d", p) for p in range(9)}
+    lengths = {"a": 30, "b": 12, "c": 5, "d": 9}
+    items = spark.createDataFrame([("a", 0, n, "+") for n in (1, 3, 5, 9, 12, 13)], CONTROL_ITEMS)
+    got = controls.matched_controls(items, contigs, mask, seed=3, replicates=600).collect()
+    assert len(got) == 6 * 600
+    for n in (1, 3, 5, 9, 12, 13):
+        free = {
+            (c, p) for c, length in lengths.items() for p in range(length - n + 1)
+            if not any((c, q) in blocked for q in range(p, p + n))
+        }
+        drawn = collections.Counter((r.seqid, r.start0) for r in got if r.item_end0 == n and r.seqid)
+        assert set(drawn) <= free and sum(drawn.values()) == (600 if free else 0)
+        if free:
+            expected = 600 / len(free)
+            assert all(abs(drawn[p] - expected) < 6 * expected**0.5 + 1 for p in free)
+
+
+def test_motif_controls_leave_only_items_without_a_place(spark, monkeypatch):
+    """With hardly any draws the places of a length are counted."""
+    monkeypatch.setattr(controls, "ROUNDS", (1,))
+    rng = random.Random(6)
+    bases = {c: "".join(rng.choice("ACGT") for _ in range(400)) for c in "ab"}
+    genome = spark.createDataFrame(list(bases.items()), "seqid string, bases string")
+    contigs = spark.createDataFrame([(c, 400) for c in bases], "seqid string, length long")
+    mask = spark.createDataFrame([("a", 0, 200), ("b", 150, 330)], "seqid string, start0 long, end0 long")
+    sizes = list(range(20, 190, 5))
+    items = spark.createDataFrame([("a", 0, n, "+") for n in sizes], CONTROL_ITEMS)
+    for mode, rule in motifs.MOTIFS.items():
+        sites = motifs.motif_sites(tiles.tile_contigs(genome), mode)
+        found = {r.item_end0: r for r in controls.matched_controls(items, contigs, mask, 5, motif=mode, sites=sites).collect()}
+        places = collections.defaultdict(set)
+        for strand in "+-":
+            starts, ends = rule[strand]
+            for c, text in bases.items():
+                at = lambda pair, shift: {i + shift for i in range(399) if text[i : i + 2] == pair}
+                lasts = at(ends, rule["end"])
+                low, high = (0, 200) if c == "a" else (150, 330)
+                for s in at(starts, rule["start"]):
+                    for n in sizes:
+                        e = s - 1 + n
+                        if e in lasts and s <= 400 and e <= 400 - rule["margin"] and not (s - 1 < high and low < e):
+                            places[n].add((c, s - 1, strand))
+        for n in sizes:
+            r = found[n]
+            assert (r.seqid is None) == (not places[n]), (mode, n)
+            assert r.seqid is None or (r.seqid, r.start0, r.strand) in places[n]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from genomeframe.functions.sequence import reverse_complement
-from genomeframe.operators import energy, orf, tiles
+from genomeframe.operators import energy, frames, orf, tiles
 
 
 def scan_orf(text):
@@ -39,6 +39,17 @@ def test_orf_cases(spark):
     assert [got[i] for i in range(len(texts))] == [scan_orf(t) for t in texts]
 
 
+@pytest.mark.parametrize("tile", [5, 64, 300])
+def test_frames_over_tiles(spark, tile):
+    """Frames that cross tiles with and without breaks, unknown bases, ties and short contigs."""
+    rng = random.Random(tile)
+    texts = ["ATGATGTAA", "ATGTAAATGTAG", "ATGNAATAA", "ATGAAA", "A", "AT", "ATG" + "AAC" * 200 + "TAG", "ATG" + "N" * 90 + "TAG"]
+    texts += ["".join(rng.choice("ACGTATGCC" + "TAAN" * (i % 2)) for _ in range(rng.randrange(1, 700))) for i in range(200)]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "seqid string, bases string")
+    got = {r.seqid: (r.start, r.stop) for r in frames.longest_frames(tiles.tile_contigs(df, tile, min(tile, 98))).collect()}
+    assert [got.get(str(i)) for i in range(len(texts))] == [scan_orf(t) for t in texts]
+
+
 def refine(text, exons):
     size = lambda form: (lambda o: o[1] - o[0] if o else 0)(scan_orf("".join(text[a:b] for a, b in form)))
     while True:
