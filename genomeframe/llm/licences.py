@@ -1,69 +1,44 @@
 """Licence scans: normalised passages against licence templates by Dice over word bigrams.
 
-A document's passages are its lines, its paragraphs (parted by empty lines) and
-its whole text. Text is normalised to lower-case ASCII letters and digits, words
-parted by single spaces. Sizes count all word bigrams (words less one), shared
-ones count once (no bigram repeats in a template), and
-Dice = 2 |both| / (|passage| + |template|). With a limit d, a passage can only
+A document's passages are its lines, its paragraphs (parted by empty lines), the
+sentences of its paragraphs and its whole text; equal passages count once. Text is normalised to
+lower-case ASCII letters and digits, words parted by single spaces, so marks of comments and line
+breaks within a notice do not matter. A licence's templates are its whole text, its paragraphs and their
+sentences. Bigrams count as often as they occur on both sides: each is labelled with how
+often it came before. Dice = 2 |both| / (|passage| + |template|). With a limit d, a passage can only
 reach a template of n bigrams if its size lies between n d / (2 - d) and
-n (2 - d) / d, so passages outside every template's bounds are dropped by their
-word count before any bigram is made, and a template outside a passage's bounds
-is not compared.
+n (2 - d) / d, and at least d / (2 - d) of its bigrams, so one more words, are in some template. Passages
+outside every template's bounds or of other words are dropped before any bigram is made, and
+a template outside a passage's bounds is not compared.
+
+The best match is the one with most shared bigrams, then the highest Dice, then the first by name: a whole
+text tells two licences apart that share paragraphs.
 
 Everything is built-in expressions in one narrow pass: no shuffle, and the
 templates are literals of fixed size.
 
 Cases: null and empty texts, and passages of fewer than two words, match
-nothing; of templates with equal Dice the first by name is given; repeated rows
-get equal results; other columns pass through.
+nothing; repeated rows get equal results; other columns pass through.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genomeframe.llm.common import free_name
+from genomeframe.llm.licence_texts import TEXTS
 
-LIMIT = 0.8
-
-#: Licence statements as they are commonly written.
-TEMPLATES = {
-    "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License.",
-    ],
-    "BSD-2-Clause": ["Released under the BSD 2-Clause License."],
-    "BSD-3-Clause": [
-        "Released under the BSD 3-Clause License.",
-        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-    ],
-    "CC-BY-4.0": [
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    ],
-    "CC-BY-NC-4.0": [
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    ],
-    "CC-BY-SA-4.0": [
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    ],
-    "CC0-1.0": ["The author has waived all copyright and related rights in this work worldwide under CC0 1.0."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "MIT": [
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction.",
-    ],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-}
+#: Least Dice of a match; bigrams of a sentence that is a template of its own.
+LIMIT, SENTENCE = 0.8, 5
+_BREAK = r"(?:\r\n|\r|\n)"
+_EMPTY = rf"{_BREAK}[ \t]*{_BREAK}"
+#: Ends of sentences; the mark stays, the space after it becomes ``_CUT``.
+_STOP, _CUT = r"([.!?;:])[ \t\r\n]+", "\x01"
 
 
 def words_of(text: str) -> list[str]:
@@ -71,9 +46,13 @@ def words_of(text: str) -> list[str]:
     return re.sub("[^a-z0-9]+", " ", text.lower()).split()
 
 
-def bigrams_of(text: str) -> set[str]:
-    words = words_of(text)
-    return {f"{a} {b}" for a, b in zip(words, words[1:])}
+def bigrams_of(text: str) -> list[str]:
+    """The bigrams of a text, each labelled with how often it came before."""
+    words, seen, out = words_of(text), Counter(), []
+    for gram in (f"{a} {b}" for a, b in zip(words, words[1:])):
+        out.append(f"{gram}#{seen[gram]}")
+        seen[gram] += 1
+    return out
 
 
 def size_bounds(n: int, limit: float) -> tuple[int, int]:
@@ -81,35 +60,31 @@ def size_bounds(n: int, limit: float) -> tuple[int, int]:
     return math.ceil(n * limit / (2 - limit) - 1e-9), math.floor(n * (2 - limit) / limit + 1e-9)
 
 
-def _statements(templates, limit: float) -> list[tuple[str, list[str], int, int]]:
-    """(name, bigrams, least and greatest passage size) of every template statement."""
-    found = []
-    for name in sorted(templates):
-        for text in templates[name]:
-            words, grams = words_of(text), bigrams_of(text)
-            if len(grams) != len(words) - 1:
-                raise ValueError(f"a bigram repeats in a template of {name}")
-            found.append((name, sorted(grams), *size_bounds(len(grams), limit)))
-    return found
-
-
-_BREAK = r"(?:\r\n|\r|\n)"
+def templates_of(texts: dict[str, list[list[str]]]) -> list[tuple[str, list[str]]]:
+    """(name, bigrams) of every distinct template: whole texts, paragraphs and their sentences."""
+    found = {}
+    for name in sorted(texts):
+        for paragraphs in texts[name]:
+            made = ["\n\n".join(paragraphs), *paragraphs]
+            grams = [bigrams_of(t) for t in made]
+            for p in paragraphs:
+                sentences = (bigrams_of(s) for s in re.sub(_STOP, rf"\1{_CUT}", p).split(_CUT))
+                grams += [g for g in sentences if len(g) >= SENTENCE]
+            for g in grams:
+                if g:
+                    found[name, tuple(g)] = list(g)
+    return [(name, grams) for (name, _), grams in found.items()]
 
 
 def _passages(text: Column) -> Column:
     whole = F.coalesce(text, F.lit(""))
-    lines = F.split(whole, _BREAK)
-    paragraphs = F.split(whole, rf"{_BREAK}[ \t]*{_BREAK}")
-    none = F.array().cast("array<string>")
-    return F.concat(
-        lines,
-        F.when(F.size(paragraphs) > 1, paragraphs).otherwise(none),
-        F.when(F.size(lines) > 1, F.array(whole)).otherwise(none),
-    )
+    paragraphs = F.split(whole, _EMPTY)
+    sentences = F.transform(paragraphs, lambda p: F.split(F.regexp_replace(p, _STOP, f"$1{_CUT}"), _CUT))
+    return F.concat(F.split(whole, _BREAK), paragraphs, F.flatten(sentences), F.array(whole))
 
 
-def _words(passage: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(F.lower(passage), "[^a-z0-9]+", " ")), " ")
+def _normalised(passage: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(passage), "[^a-z0-9]+", " "))
 
 
 def _bigrams(words: Column) -> Column:
@@ -119,39 +94,51 @@ def _bigrams(words: Column) -> Column:
     )
 
 
-def best_matches(text: Column, templates=None, limit: float = LIMIT) -> Column:
-    """For every passage that reaches a template a struct (less, name), ``less`` being -dice."""
-    statements = _statements(TEMPLATES if templates is None else templates, limit)
-    least = min(low for *_, low, _ in statements)
-    most = max(high for *_, high in statements)
-    known = sorted({g for _, grams, _, _ in statements for g in grams})
+def _labelled(grams: Column) -> Column:
+    def label(gram: Column, i: Column) -> Column:
+        before = F.filter(F.slice(grams, F.lit(1), i), lambda x: x == gram)
+        return F.concat_ws("#", gram, F.size(before))
+
+    return F.transform(grams, label)
+
+
+def best_matches(text: Column, texts=None, limit: float = LIMIT) -> Column:
+    """For every passage that reaches a template a struct (fewer, less, name) of its best one:
+    ``fewer`` is minus the shared bigrams, ``less`` minus the Dice."""
+    templates = templates_of(TEXTS if texts is None else texts)
+    bounds = [size_bounds(len(grams), limit) for _, grams in templates]
+    least, most = min(low for low, _ in bounds), max(high for _, high in bounds)
+    known = sorted({g.rpartition("#")[0] for _, grams in templates for g in grams})
+    words_known = sorted({w for g in known for w in g.split()})
+    share = limit / (2 - limit)
 
     def best(grams: Column) -> Column:
         n = F.size(grams)
         found = []
-        for name, own, low, high in statements:
-            shared = F.size(F.array_intersect(grams, F.array(*map(F.lit, own))))
+        for (name, own), (low, high) in zip(templates, bounds):
+            shared = F.size(F.array_intersect(grams, F.lit(own)))
             less = -2.0 * shared / (n + len(own))
-            found.append(
-                F.when(
-                    n.between(low, high) & (less <= -limit),
-                    F.struct(less.alias("less"), F.lit(name).alias("name")),
-                )
-            )
+            match = F.struct((-shared).alias("fewer"), less.alias("less"), F.lit(name).alias("name"))
+            found.append(F.when(n.between(low, high) & (less <= -limit), match))
         return F.array_min(F.array(*found))
 
-    words = F.transform(_passages(text), _words)
-    sized = F.filter(words, lambda w: (F.size(w) - 1).between(max(1, least), most))
-    grams = F.filter(
-        F.transform(sized, _bigrams), lambda g: F.exists(g, lambda x: x.isin(known))
+    def familiar(items: Column, of: list[str], n: Column) -> Column:
+        return F.size(F.filter(items, lambda x: x.isin(of))) >= n * F.lit(share) - 1e-9
+
+    passages = F.array_distinct(F.transform(_passages(text), _normalised))
+    words = F.transform(passages, lambda p: F.split(p, " "))
+    sized = F.filter(
+        words,
+        lambda w: (F.size(w) - 1).between(max(1, least), most) & familiar(w, words_known, F.size(w) - 1),
     )
-    return F.array_compact(F.transform(grams, best))
+    grams = F.filter(F.transform(sized, _bigrams), lambda g: familiar(g, known, F.size(g)))
+    return F.array_compact(F.transform(F.transform(grams, _labelled), best))
 
 
-def scan(docs: DataFrame, text: str = "text", templates=None, limit: float = LIMIT) -> DataFrame:
-    """``docs`` with licence and dice of the best match and n_matches, the matching passages."""
+def scan(docs: DataFrame, text: str = "text", texts=None, limit: float = LIMIT) -> DataFrame:
+    """``docs`` with licence and dice of the best match and n_matches, the distinct matching passages."""
     name = free_name(docs, "licence_matches")
-    found = docs.withColumn(name, best_matches(F.col(text), templates, limit))
+    found = docs.withColumn(name, best_matches(F.col(text), texts, limit))
     best = F.array_min(name)
     return found.withColumns(
         {
@@ -164,37 +151,39 @@ def scan(docs: DataFrame, text: str = "text", templates=None, limit: float = LIM
 
 def _values() -> str:
     rows = []
-    for k, (name, grams, low, high) in enumerate(_statements(TEMPLATES, LIMIT)):
+    for k, (name, grams) in enumerate(templates_of(TEXTS)):
+        low, high = size_bounds(len(grams), LIMIT)
         rows += [f"({k}, '{name}', {len(grams)}, {low}, {high}, '{g}')" for g in grams]
     return ", ".join(rows)
 
 
 ORACLE = rf"""
 WITH t(k, name, n, low, high, gram) AS (VALUES {_values()}),
+doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+para AS (SELECT r, unnest(regexp_split_to_array(text, '{_EMPTY}')) AS passage FROM doc),
 p AS (
-  SELECT doc_id, unnest(
-    regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n')
-    || CASE WHEN len(regexp_split_to_array(coalesce(text, ''), '(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)')) > 1
-       THEN regexp_split_to_array(coalesce(text, ''), '(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)') ELSE [] END
-    || CASE WHEN len(regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n')) > 1 THEN [coalesce(text, '')] ELSE [] END
-  ) AS passage FROM documents
+  SELECT r, unnest(regexp_split_to_array(text, '\r\n|\r|\n')) AS passage FROM doc
+  UNION ALL SELECT * FROM para
+  UNION ALL SELECT r, unnest(string_split(regexp_replace(passage, '{_STOP}', '\1' || chr(1), 'g'), chr(1))) FROM para
+  UNION ALL SELECT r, text FROM doc
 ), w AS (
-  SELECT doc_id, row_number() OVER () AS passage_id,
-    string_split(trim(regexp_replace(lower(passage), '[^a-z0-9]+', ' ', 'g')), ' ') AS words
-  FROM p
+  SELECT r, norm, string_split(norm, ' ') AS words FROM (
+    SELECT DISTINCT r, trim(regexp_replace(lower(passage), '[^a-z0-9]+', ' ', 'g')) AS norm FROM p)
 ), g AS (
-  SELECT DISTINCT doc_id, passage_id, len(words) - 1 AS size, words[i] || ' ' || words[i + 1] AS gram
+  SELECT r, norm, len(words) - 1 AS size, words[i] || ' ' || words[i + 1] AS gram
   FROM (SELECT *, unnest(range(1, len(words))) AS i FROM w
         WHERE len(words) - 1 BETWEEN (SELECT min(low) FROM t) AND (SELECT max(high) FROM t))
+), l AS (
+  SELECT r, norm, size, gram || '#' || (row_number() OVER (PARTITION BY r, norm, gram) - 1) AS gram FROM g
 ), d AS (
-  SELECT doc_id, passage_id, name, 2.0::DOUBLE * count(*) / (any_value(size) + any_value(n)) AS dice
-  FROM g JOIN t USING (gram) WHERE size BETWEEN low AND high
-  GROUP BY doc_id, passage_id, name, k
+  SELECT r, norm, name, count(*) AS shared, 2.0::DOUBLE * count(*) / (any_value(size) + any_value(n)) AS dice
+  FROM l JOIN t USING (gram) WHERE size BETWEEN low AND high
+  GROUP BY r, norm, name, k
 ), m AS (
-  SELECT doc_id, count(DISTINCT passage_id) AS n_matches, max(dice) AS dice,
-    arg_min(name, (-dice, name)) AS licence
-  FROM d WHERE dice >= {LIMIT} GROUP BY doc_id
+  SELECT r, count(DISTINCT norm) AS n_matches, arg_min(dice, (-shared, -dice, name)) AS dice,
+    arg_min(name, (-shared, -dice, name)) AS licence
+  FROM d WHERE dice >= {LIMIT} GROUP BY r
 )
 SELECT doc_id, licence, round(dice, 9) AS dice, coalesce(n_matches, 0) AS n_matches
-FROM documents LEFT JOIN m USING (doc_id)
+FROM doc LEFT JOIN m USING (r)
 """
