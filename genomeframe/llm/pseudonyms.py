@@ -7,12 +7,13 @@ The permutation is a balanced Feistel network over a numbered domain with
 HMAC-SHA-256 rounds and cycle walking; the domain number and its size are part
 of the round input, so formats do not share a permutation.
 
-Kinds: card numbers and other digit runs of 13 to 19 digits (with or without
-a valid Luhn digit, which stays as it is), telephone numbers with country code,
+Kinds: card numbers of 13 to 19 digits with a valid Luhn digit, telephone numbers with country code,
 IPv4 addresses, social-security numbers, IBANs (check digits renewed), dates
 (ISO, year first with . or /, day or month first with . / -; between 1900 and 2099), letters and digits of the
-local part of mail addresses, and hexadecimal tokens of 16 to 128 characters.
-Separators, lengths, letter case and leading signs stay.
+local part of mail addresses. Two kinds have no check and can be switched on or off (``others``):
+hexadecimal tokens of 16 to 128 characters (on), which keys and digests are, and runs of 13 to 19 digits
+without a Luhn digit (off), which stay without. Separators, lengths, letter case and leading signs stay. A date has one
+pseudonym, however it is written, so it stays linked across formats.
 
 Cases: null texts stay null, empty ones empty; a value that fails its check
 (an impossible date, an address part over 255) is left as it is; repeated rows
@@ -23,6 +24,7 @@ searched for other kinds. A narrow pass over whole texts.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import hmac
@@ -66,6 +68,8 @@ IBAN_LENGTHS = {
     }.items()
     for country in countries.split()
 }
+#: Of the two kinds that no check confirms ("hex" and "run") those that are replaced unless a caller says otherwise.
+OTHER_KINDS = frozenset({"hex"})
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _DIGIT = re.compile(r"[0-9]")
 
@@ -121,8 +125,10 @@ def _refilled(text: str, digits: str) -> str:
 class Pseudonymiser:
     """Replaces the values of a text; ``back`` undoes it with the same key."""
 
-    def __init__(self, key: bytes, back: bool = False, most_known: int = 100_000):
-        self.feistel, self.back, self.most = Feistel(key), back, most_known
+    def __init__(
+        self, key: bytes, back: bool = False, others: frozenset[str] = OTHER_KINDS, most_known: int = 100_000
+    ):
+        self.feistel, self.back, self.others, self.most = Feistel(key), back, others, most_known
         self.known: dict[tuple[str, str], str] = {}
         self.kinds: dict[str, Callable[[str], str]] = {
             k: getattr(self, f"_{k}") for k in PATTERNS
@@ -138,14 +144,14 @@ class Pseudonymiser:
     def _card(self, text: str) -> str:
         digits = re.sub("[ -]", "", text)
         body, check = digits[:-1], digits[-1]
-        valid = luhn_digit(body) == check
-        kind = "card" if valid else "run"
-        if valid:
-            made = self._digits(kind, body)
+        if luhn_digit(body) == check:
+            made = self._digits("card", body)
             return _refilled(text, made + luhn_digit(made))
+        if "run" not in self.others:
+            return text
         # a number without the check digit stays without: its last digit is told from the valid one
         shift = (int(check) - int(luhn_digit(body))) % 10 - 1
-        at = self._permute(f"{kind}{len(body)}", 9 * 10 ** len(body), int(body) * 9 + shift)
+        at = self._permute(f"run{len(body)}", 9 * 10 ** len(body), int(body) * 9 + shift)
         made, shift = f"{at // 9:0{len(body)}d}", at % 9 + 1
         return _refilled(text, made + str((int(luhn_digit(made)) + shift) % 10))
 
@@ -173,8 +179,14 @@ class Pseudonymiser:
         return f"{area:03d}-{rest // 9999 + 1:02d}-{rest % 9999 + 1:04d}"
 
     def _date(self, value: datetime.date) -> datetime.date:
-        days = (LAST_DAY - FIRST_DAY).days + 1
-        return FIRST_DAY + datetime.timedelta(self._permute("date", days, (value - FIRST_DAY).days))
+        """One permutation for all ways to write a date. The first twelve days of months keep among
+        themselves, so a day that can not be taken for a month stays one."""
+        if value.day <= 12:
+            at = ((value.year - FIRST_DAY.year) * 12 + value.month - 1) * 12 + value.day - 1
+            at = self._permute("date to 12", 144 * (LAST_DAY.year - FIRST_DAY.year + 1), at)
+            return datetime.date(FIRST_DAY.year + at // 144, at // 12 % 12 + 1, at % 12 + 1)
+        long = self._long_days()
+        return long[self._permute("date from 13", len(long), bisect.bisect_left(long, value))]
 
     def _iso(self, text: str) -> str:
         try:
@@ -196,19 +208,11 @@ class Pseudonymiser:
         for first in ("md", "dm") if sep == "/" else ("dm", "md"):
             month, day = (a, b) if first == "md" else (b, a)
             try:
-                made = datetime.date(year, month, day)
+                made = self._date(datetime.date(year, month, day))
             except ValueError:
                 continue
-            # values that read as a date either way keep that property: both parts at most 12
-            both = a <= 12 and b <= 12
-            if both:
-                at = self._permute(f"short date{sep}", 144 * 200, ((year - 1900) * 12 + a - 1) * 12 + b - 1)
-                parts = (at // 12 % 12 + 1, at % 12 + 1)
-                return self._like(text, sep, parts, at // 144 + 1900)
-            long = self._long_days()
-            at = self._permute(f"long date{sep}{first}", len(long), long.index(made))
-            parts = (long[at].month, long[at].day) if first == "md" else (long[at].day, long[at].month)
-            return self._like(text, sep, parts, long[at].year)
+            parts = (made.month, made.day) if first == "md" else (made.day, made.month)
+            return self._like(text, sep, parts, made.year)
         return text
 
     def _long_days(self) -> list[datetime.date]:
@@ -274,6 +278,8 @@ class Pseudonymiser:
         return "".join(out)
 
     def _hex(self, text: str) -> str:
+        if "hex" not in self.others:
+            return text
         # tokens of digits alone are numbers, tokens of letters alone words: both stay out of the domain
         n = len(text)
         made = text
@@ -328,16 +334,17 @@ def pseudonymised(
     count: str | None = None,
     length: str | None = None,
     back: bool = False,
+    others: frozenset[str] = OTHER_KINDS,
 ) -> DataFrame:
     """``docs`` with pseudonyms in ``text``.
 
-    ``count`` names a column for the number of replaced values; ``length`` names a
+    ``others`` are the unchecked kinds to replace, ``back`` gives the values of pseudonyms. ``count`` names a column for the number of replaced values; ``length`` names a
     column of code points that is set anew.
     """
     added = [(text, "string")] + [(n, "long") for n in (count, length) if n]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker = Pseudonymiser(key, back)
+        worker = Pseudonymiser(key, back, others)
         for batch in small_batches(batches):
             values = batch.column(batch.schema.get_field_index(text)).to_pylist()
             made = [(None, 0) if v is None else worker.text(v) for v in values]
