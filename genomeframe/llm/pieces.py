@@ -364,10 +364,19 @@ class PieceModel:
             np.append(0, np.cumsum(length))[first],
         )
 
-    def prepared(self, texts: list[bytes]) -> list[bytes]:
-        if self.plain():
-            return [b" " + t if t and self.prefix else t for t in texts]
-        return [self.normalise(t)[0] for t in texts]
+    def aligned(self, texts: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
+        """Every text normalised, and the source byte of each byte and of the end.
+
+        Where the map has no entries and spaces stay, the walk only adds the leading space, and
+        the alignment is known without it.
+        """
+        if not self.plain():
+            return [(normal, np.array(source)) for normal, source in map(self.normalise, texts)]
+        lead = 1 if self.prefix else 0
+        return [
+            (b" " * (lead if t else 0) + t, np.maximum(np.arange(len(t) + 1 + (lead if t else 0)) - (lead if t else 0), 0))
+            for t in texts
+        ]
 
     def encode_spans(self, text: str) -> list[tuple[int, int, int]]:
         """(id, first byte, end byte) of every piece of one text, in bytes of its UTF-8 form."""
@@ -429,10 +438,11 @@ def encode_documents(
 
 
 def encode_digests(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
-    """``docs`` without ``text``, with n_tokens, ids_sha256, decoded_sha256 and source_bytes.
+    """``docs`` without ``text``, with n_tokens, ids_sha256, decoded_sha256, spans_sha256 and source_bytes.
 
-    ids are hashed as little-endian unsigned 32-bit values; ``source_bytes`` is the
-    number of source bytes that the pieces' spans cover together. Texts of a
+    ids are hashed as little-endian unsigned 32-bit values, spans as the first and end
+    source byte of every piece (begin and end ids have none) in 64 bits each; ``source_bytes`` is the
+    number of source bytes that the spans cover together. Texts of a
     batch are encoded in slices, so memory follows the longest text.
     """
     kept = [f for f in docs.schema.fields if f.name.lower() != text.lower()]
@@ -444,13 +454,11 @@ def encode_digests(docs: DataFrame, model_path: str, text: str = "text") -> Data
         for batch in batches:
             at = batch.schema.get_field_index(text)
             rest = batch.select([i for i in range(batch.num_columns) if i != at])
-            counts, id_hashes, text_hashes, covered = [], [], [], []
+            counts, id_hashes, text_hashes, span_hashes_, covered = [], [], [], [], []
             for _, texts in slices(batch.column(at).to_pylist()):
-                aligned = None if model.plain() else [model.normalise(t) for t in texts]
-                normal = model.prepared(texts) if aligned is None else [a for a, _ in aligned]
-                values, upto = model.encode(normal)
-                reach = np.append(0, np.cumsum(values >> np.uint32(20), dtype=np.int64))[upto]
-                reach = np.diff(reach).tolist()
+                aligned = model.aligned(texts)
+                values, upto = model.encode([normal for normal, _ in aligned])
+                reach = np.append(0, np.cumsum(values >> np.uint32(20), dtype=np.int64))
                 ids = values & np.uint32(0xFFFFF)
                 widths = shown_widths[ids]
                 shown = take_ranges(model.shown, model.shown_starts[ids], widths).tobytes()
@@ -458,7 +466,7 @@ def encode_digests(docs: DataFrame, model_path: str, text: str = "text") -> Data
                 ids = ids.astype("<u4")
                 ends = [np.array([i], dtype="<u4").tobytes() for i in (model.begin, model.end)]
                 bounds = upto.tolist()
-                for k, raw in enumerate(texts):
+                for k in range(len(texts)):
                     a, b = bounds[k], bounds[k + 1]
                     counts.append(b - a + 2)
                     id_hashes.append(
@@ -468,15 +476,16 @@ def encode_digests(docs: DataFrame, model_path: str, text: str = "text") -> Data
                     if strip and got.startswith(b" "):
                         got = got[1:]
                     text_hashes.append(hashlib.sha256(got).hexdigest())
-                    if aligned is None:
-                        covered.append(reach[k] - (len(normal[k]) - len(raw)))
-                    else:
-                        covered.append(aligned[k][1][reach[k]] - aligned[k][1][0])
+                    source = aligned[k][1][reach[a : b + 1] - reach[a]]
+                    spans = np.stack([source[:-1], source[1:]], axis=1).astype("<i8")
+                    span_hashes_.append(hashlib.sha256(spans.tobytes()).hexdigest())
+                    covered.append(int(source[-1] - source[0]))
             yield replaced(
                 rest,
                 n_tokens=pa.array(counts, pa.int64()),
                 ids_sha256=pa.array(id_hashes, pa.string()),
                 decoded_sha256=pa.array(text_hashes, pa.string()),
+                spans_sha256=pa.array(span_hashes_, pa.string()),
                 source_bytes=pa.array(covered, pa.int64()),
             )
 
@@ -485,6 +494,7 @@ def encode_digests(docs: DataFrame, model_path: str, text: str = "text") -> Data
         ("n_tokens", "long"),
         ("ids_sha256", "string"),
         ("decoded_sha256", "string"),
+        ("spans_sha256", "string"),
         ("source_bytes", "long"),
     )
     return docs.mapInArrow(run, schema)
