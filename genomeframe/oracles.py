@@ -554,7 +554,7 @@ walk AS (SELECT seqid, strand, scores, befores, 0 AS i, [0.0::DOUBLE] AS best FR
   list_append(best, greatest(best[i + 1], best[befores[i + 1] + 1] + scores[i + 1])) FROM walk WHERE i < len(scores))
 SELECT seqid, strand, round(best[i + 1], 4) AS score FROM walk WHERE i = len(scores)""",
     "intron_candidates": f"""WITH {DENSE_INTRONS}
-SELECT seqid, strand, span_start, span_end, start0, end0, round(score, 6) AS score FROM di""",
+SELECT seqid, strand, span_start, span_end, start0, end0, round(score, 9) AS score FROM di""",
     "top_chains": f"""WITH RECURSIVE {DENSE_INTRONS},
 n AS (SELECT *, row_number() OVER (PARTITION BY seqid, strand, span_start ORDER BY start0, end0) - 1 AS i FROM di),
 walk AS (SELECT seqid, strand, span_start, span_end, end0, i, score, 1 AS introns FROM n
@@ -564,7 +564,7 @@ kept AS (SELECT *, row_number() OVER (PARTITION BY seqid, strand, span_start, i
 near AS (SELECT *, max(score) OVER (PARTITION BY seqid, strand, span_start) AS top FROM kept),
 form AS (SELECT *, row_number() OVER (PARTITION BY seqid, strand, span_start ORDER BY score DESC, i, k) - 1 AS rank FROM near
  WHERE score >= top - 8)
-SELECT ds.seqid, ds.strand, ds.span_start, ds.span_end, coalesce(rank, 0) AS rank, round(coalesce(score, 0), 6) AS score,
+SELECT ds.seqid, ds.strand, ds.span_start, ds.span_end, coalesce(rank, 0) AS rank, round(coalesce(score, 0), 9) AS score,
  CAST(coalesce(introns, 0) + 1 AS BIGINT) AS n_exons FROM ds LEFT JOIN form ON ds.seqid = form.seqid AND ds.strand = form.strand
  AND ds.span_start = form.span_start""",
 }

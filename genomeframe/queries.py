@@ -682,7 +682,7 @@ def _introns(spark, sf):
 
 
 def intron_candidates(spark, sf):
-    return _round(_introns(spark, sf)[1], 6, "score")
+    return _round(_introns(spark, sf)[1], 9, "score")
 
 
 def top_chains(spark, sf):
@@ -692,7 +692,7 @@ def top_chains(spark, sf):
         *search.SPAN, F.col("rank").cast("bigint").alias("rank"), F.coalesce("score", F.lit(0.0)).alias("score"),
         F.size("exons").cast("bigint").alias("n_exons"),
     )
-    return _round(out, 6, "score")
+    return _round(out, 9, "score")
 
 
 def bedgraph_rows(spark, sf):

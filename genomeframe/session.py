@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -71,10 +72,17 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` or ``bucketed`` returned and nothing reads any more."""
+    """Delete tables that ``materialize`` or ``bucketed`` returned and nothing reads any more.
+
+    Spark frees the shuffle files behind them once the driver's garbage collector finds
+    their datasets gone, so it is asked to look.
+    """
     for df in tables:
         if getattr(df, "table_name", None):
             df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.table_name}")
         gateway = df.sparkSession.sparkContext._jvm
         path = gateway.org.apache.hadoop.fs.Path(df.written_path)
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
