@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 L2 = 1e-5
 MAX_ITERATIONS = 1000
+#: Relative improvement at which a fit ends.
+TOLERANCE = 1e-6
 
 
 def fit_classifier(
@@ -41,7 +43,7 @@ def fit_classifier(
         elasticNetParam=0.0,
         regParam=L2 * totals["population"] / after,
         maxIter=iterations,
-        tol=1e-9,
+        tol=TOLERANCE,
     ).fit(weighted)
     return np.append(fit.coefficients.toArray(), fit.intercept)
 
