@@ -12,23 +12,24 @@ is at least ``SIMILARITY``, measured by an alignment inside the band that the
 limit allows. Classes are the connected components of the links.
 
 Other members of a bucket are compared among themselves where they are of different
-classes, also with those that joined the centre, whatever their number: blocks of a bucket meet in tasks, where word counts rule
-out most pairs without their texts (each edit changes one word, so the counts of
-similar texts differ by a bounded number). The nearest are aligned first; the rest
-follows in rounds, until all pairs of different classes have been aligned. So the
-choice of the centre does not hide a link.
-
-Scale: equal texts are one node, grouped by a 64-bit hash with map-side
-aggregation; buckets are reduced to their smallest node the same way; the joins
-of members and centres are plain equi-joins whose hot keys Spark splits. Texts
-move only for nodes that share a bucket; each node is first aligned with the
-centre it meets most often, and further pairs only where both ends are still
-in different classes.
+classes, also with those that joined the centre, whatever their number: blocks of a bucket meet in
+one task, each member with short hashes of its words. Products of word counts rule out most pairs; the
+rest is aligned there, the most promising first, skipping pairs whose classes have
+been joined meanwhile, and each pair only in one of the buckets it shares. Tasks return
+links only. So the choice of the centre does not hide a link, and no pair becomes a row.
+
+Scale: a row for each distinct text, with its word hashes, goes into a table in buckets of
+its hash once, and joins leave it there. Buckets of sketches pass sorted after one shuffle, and members leave with their centre.
+Pairs of a member and a centre are first compared by word counts (each edit changes
+one word, so the counts of similar texts differ by a bounded number), and texts move only
+for those that remain. Each node is first compared with the centre it meets most often, with
+further ones only where both ends are still in different classes. A step's tables are
+deleted when the next have been written.
 
 Cases: null text is an empty text, and empty texts are copies of each other;
 texts of fewer words than a shingle are one shingle; repeated rows and null ids are
 rows of their text's class; the class id is the smallest id of its rows; an
-empty table gives no rows. Texts of equal 64-bit hashes count as equal.
+empty table gives no rows. Texts of equal 64-bit hashes count as equal, in alignments words of equal 32-bit ones.
 """
 
 from __future__ import annotations
@@ -42,16 +43,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genomeframe.llm.spans import ascii_words, joined, lower_ascii, mix, slices, span_hashes
-from genomeframe.session import materialize
+from genomeframe.session import bucketed, discard, materialize
 
 SHINGLE, PICKED, SIMILARITY = 5, 2, 0.8
 #: Words of a shingle, and sketches of such shingles; the last only for texts of ``SHORT`` words at most.
 SKETCHES = ((SHINGLE, 40), (2, 32), (1, 16))
 SHORT = 20
-#: Members of a bucket in a block; cells of hashed word counts; pairs a member gives in the first round.
-BLOCK, CELLS, NEAREST = 1_000, 256, 8
-#: Rows of two numbers that are broadcast: at most 4 MB.
-SMALL = 250_000
+#: Members of a bucket in a block; cells of hashed word counts in a table and in a block.
+BLOCK, CELLS, FINE_CELLS = 1_000, 256, 1_024
+#: Counts of a cell that a block's product tells apart; the rest is added to the bound.
+LEVELS = 2
+#: Edits up to which an alignment follows furthest-reaching points.
+FEW_EDITS = 10
 _FACTORS = mix(np.arange(1, sum(n for _, n in SKETCHES) + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
 _SALTS = mix(_FACTORS + np.uint64(77))
 _LAST_ID = (1 << 63) - 1
@@ -119,8 +122,9 @@ def _sketches(s: np.ndarray, first: int, end: int) -> np.ndarray:
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """The number of word edits from a to b, or None if it is over ``most``.
 
-    Furthest-reaching points on the diagonals of the band of width ``most`` on
-    either side; equal beginnings and ends are cut off first.
+    Equal beginnings and ends are cut off first. Up to ``FEW_EDITS`` edits it follows furthest-reaching
+    points on the diagonals of the band; beyond, whole columns as bits, since a band that
+    wide is no narrower.
     """
     if abs(len(a) - len(b)) > most:
         return None
@@ -138,8 +142,18 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     if max(len(a), len(b)) - shared > most:
         return None  # each edit changes one word at most
     x, y = a.tolist(), b.tolist()
+    found = _few_edits(x, y, min(most, FEW_EDITS))
+    if found is None and most > FEW_EDITS:
+        found = _many_edits(x, y)
+    return found if found is not None and found <= most else None
+
+
+def _few_edits(x: list, y: list, most: int) -> int | None:
+    """The distance by furthest-reaching points, whose cost is the square of the edits."""
     n, m = len(x), len(y)
     goal = m - n
+    if abs(goal) > most:
+        return None
     reach = {0: 0}
     i = 0
     while i < n and i < m and x[i] == y[i]:
@@ -168,6 +182,25 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     return None
 
 
+def _many_edits(x: list, y: list) -> int:
+    """The distance with a column of the alignment as bits of whole numbers: a few operations a word."""
+    places: dict[int, int] = {}
+    for i, word in enumerate(x):
+        places[word] = places.get(word, 0) | 1 << i
+    full, last = (1 << len(x)) - 1, 1 << (len(x) - 1)
+    up, down, distance = full, 0, len(x)
+    for word in y:
+        match = places.get(word, 0)
+        same = (((match & up) + up) ^ up) | match | down
+        right_up = down | ~(same | up) & full
+        right_down = same & up
+        distance += ((right_up & last) != 0) - ((right_down & last) != 0)
+        right_up = right_up << 1 | 1
+        up = ((right_down << 1) | ~(same | right_up)) & full
+        down = same & right_up & full
+    return distance
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     longer = max(len(a), len(b))
     if not longer:
@@ -175,50 +208,72 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return edit_distance(a, b, int((1 - least) * longer + 1e-9)) is not None
 
 
-def _sized(frame: DataFrame) -> DataFrame:
-    """A written table of pairs or nodes, broadcast if it has at most ``SMALL`` rows.
-
-    So the texts of others stay where they are; beyond that Spark shuffles and
-    splits skewed keys.
-    """
-    return F.broadcast(frame) if frame.limit(SMALL + 1).count() <= SMALL else frame
-
-
 def _text(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
+NODE = "node long, size long, words binary, counts binary, sketches array<long>"
+
+
 def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, node (the hash of the text) and sketches of every row."""
+    """node (the hash of the text), size, words (their hashes in 32 bits), counts and sketches of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for _, texts in slices(batch.column(2).to_pylist()):
-                made += [sketches(w).view(np.int64) for w in word_hashes(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(made, pa.list_(pa.int64()))],
-                ["doc_id", "node", "sketches"],
-            )
+            for start in range(0, batch.num_rows, 2_000):
+                part = batch.slice(start, 2_000)
+                sizes, words, counts, made = [], [], [], []
+                for _, texts in slices(part.column(1).to_pylist()):
+                    for w in word_hashes(texts):
+                        sizes.append(len(w))
+                        words.append(short_hashes(w).tobytes())
+                        counts.append(word_counts(w))
+                        made.append(sketches(w).view(np.int64))
+                columns = [
+                    pa.array(sizes, pa.int64()), pa.array(words, pa.binary()), pa.array(counts, pa.binary()),
+                    pa.array(made, pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *columns], ["node", "size", "words", "counts", "sketches"]
+                )
 
     text = _text(F.col("text"))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64(text).alias("node"),
-        text.alias("text"),
-    )
-    return rows.mapInArrow(run, "doc_id long, node long, sketches array<long>")
+    return docs.select(F.xxhash64(text).alias("node"), text.alias("text")).mapInArrow(run, NODE)
+
+
+def short_hashes(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(32)).astype("<u4")
+
+
+def _nodes(docs: DataFrame) -> DataFrame:
+    """One row for each distinct text, as a table in buckets of ``node``: joins on it leave it in place."""
+    return bucketed(_sketched(docs).dropDuplicates(["node"]), "dedup-nodes", "node")
 
 
 def _meetings(members: DataFrame) -> DataFrame:
-    """(key, node, b): the members of each bucket of two nodes or more, b being the smallest."""
-    centres = (
-        members.groupBy("key")
-        .agg(F.min("node").alias("b"), F.max("node").alias("most"))
-        .filter("b < most")
-        .select("key", "b")
-    )
-    return members.join(centres, "key").filter(F.col("node") != F.col("b"))
+    """(key, node, b): the members of each bucket of two nodes or more, b being the smallest.
+
+    One shuffle: buckets pass sorted, and members leave with the first node of theirs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, centre = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node = (batch.column(i).to_numpy() for i in (0, 1))
+            new = np.append(last is None or key[0] != last, key[1:] != key[:-1])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            b = np.where(at < 0, centre, node[at])
+            later = np.flatnonzero(~new)
+            last, centre = key[-1], b[-1]
+            if len(later):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[later]), pa.array(node[later]), pa.array(b[later])], ["key", "node", "b"]
+                )
+
+    dealt = members.select("key", "node").repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(run, "key long, node long, b long")
 
 
 def word_counts(words: np.ndarray) -> bytes:
@@ -227,132 +282,179 @@ def word_counts(words: np.ndarray) -> bytes:
     return np.minimum(np.bincount(cells, minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
-def _counted(texts: DataFrame) -> DataFrame:
-    """(node, words, counts) of the texts: the number of words, and their counts by cell."""
+def may_be_similar(words: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """Whether two texts each can be similar: ``words`` and ``counts`` have two columns.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    An edit changes the counts of two cells by one at most, so the counts of similar texts differ little.
+    """
+    longer, shorter = words.max(axis=1), words.min(axis=1)
+    most = ((1 - least) * longer + 1e-9).astype(np.int64)
+    differ = np.abs(counts[:, 0].astype(np.int16) - counts[:, 1]).sum(axis=1, dtype=np.int64)
+    return differ <= 2 * most - (longer - shorter)
+
+
+def _sides(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    """a, b, and the named columns of both nodes."""
+    for x in "ab":
+        own = nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in columns))
+        pairs = pairs.join(own, x)
+    return pairs.select("a", "b", *(f"{x}_{c}" for x in "ab" for c in columns))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts are similar; words move only for pairs that word counts allow."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = np.stack([batch.column(i).to_numpy() for i in (2, 4)], axis=1)
+            cells = [np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8) for i in (3, 5)]
+            both = np.stack([c.reshape(-1, CELLS) for c in cells], axis=1)
+            yield batch.select(["a", "b"]).filter(pa.array(may_be_similar(sizes, both, least)))
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, counts = [], []
-            for _, some in slices(batch.column(1).to_pylist()):
-                for words in word_hashes(some):
-                    sizes.append(len(words))
-                    counts.append(word_counts(words))
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "words", "counts"])
-
-    return texts.select("node", "text").mapInArrow(run, "node long, words long, counts binary")
-
-
-def near_pairs(
-    numbers: np.ndarray, counts: np.ndarray, least: float, width: int
-) -> tuple[list[np.ndarray], bool]:
-    """Pairs (two rows of positions) that can be similar, and whether some were left out.
-
-    ``numbers`` has columns words, class and block. Only pairs of different classes
-    count, and of different blocks where there are two. Each member gives at most
-    ``width`` pairs with members that are not shorter, by nearest counts, and is in
-    at most ``width`` pairs of shorter ones.
+            keep = []
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                sides = (part.column(i).to_pylist() for i in (2, 3))
+                keep += [similar(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), least) for x, y in zip(*sides)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    likely = _sides(pairs.select("a", "b"), nodes, "size", "counts").mapInArrow(fit, "a long, b long")
+    likely = materialize(likely, "dedup-likely")
+    return _sides(likely, nodes, "words").mapInArrow(align, "a long, b long")
+
+
+def near_in_block(
+    words: list[np.ndarray], numbers: np.ndarray, keys: list[frozenset], key: int, least: float
+) -> list[tuple[int, int]]:
+    """Links (positions) that join classes among members of a bucket, until no two similar ones are apart.
+
+    ``numbers`` has columns class and block; pairs are of different classes and, where there
+    are two blocks, of different ones. A pair is left to the smallest bucket that both are in.
+    Products of cell counts give the most words that two texts can share; pairs with
+    enough of them are aligned, the most promising first, unless links have joined their classes.
     """
-    order = np.argsort(numbers[:, 0], kind="stable")
-    words, label, block = numbers[order].T
-    counts = counts[order].astype(np.int16)
+    sizes = np.array([len(w) for w in words])
+    order = np.argsort(sizes, kind="stable")
+    sizes = sizes[order]
+    most = ((1 - least) * sizes + 1e-9).astype(np.int64)
+    first = np.searchsorted(sizes, sizes - most)  # the shortest that a longer one can be like
+    cells = np.zeros((len(order), FINE_CELLS), dtype=np.int64)
+    for row, i in enumerate(order.tolist()):
+        cells[row] = np.bincount(words[i].astype(np.int64) % FINE_CELLS, minlength=FINE_CELLS)
+    level = np.concatenate([cells > n for n in range(LEVELS)], axis=1).astype(np.float32)
+    rest = sizes - level.sum(axis=1).astype(np.int64)
+    label, block = numbers[order].T
     across = block.min() != block.max()
-    most = ((1 - least) * words + 1e-9).astype(np.int64)
-    ends = np.searchsorted(words - most, words, side="right")
-    taken = np.zeros(len(order), dtype=np.int64)
-    found, more = [], False
-    for x in range(len(order) - 1):
-        far = label[x + 1 : ends[x]] != label[x]
+    found = []
+    step = 256
+    for a in range(0, len(order), step):
+        b = min(a + step, len(order))
+        low = int(first[a])
+        shared = (level[a:b] @ level[low:b].T).astype(np.int64) + np.minimum(rest[a:b, None], rest[None, low:b])
+        far = label[a:b, None] != label[None, low:b]
         if across:
-            far &= block[x + 1 : ends[x]] != block[x]
-        at = np.flatnonzero(far) + x + 1
-        if not len(at):
+            far &= block[a:b, None] != block[None, low:b]
+        rows, others = np.arange(a, b)[:, None], np.arange(low, b)[None, :]
+        far &= (others < rows) & (others >= first[a:b, None])
+        far &= sizes[a:b, None] - shared <= most[a:b, None]
+        x, y = np.nonzero(far)
+        found.append(np.stack([x + a, y + low, shared[x, y] - sizes[x + a]]))
+    x, y, less = np.concatenate(found, axis=1)
+    group: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in group:
+            c = group[c]
+        return c
+
+    links = []
+    for k in np.argsort(-less, kind="stable").tolist():
+        i, j = order[x[k]], order[y[k]]
+        p, q = root(int(label[x[k]])), root(int(label[y[k]]))
+        if p == q or min(keys[i] & keys[j]) != key:
             continue
-        differ = np.abs(counts[at] - counts[x]).sum(axis=1, dtype=np.int64)
-        fit = np.flatnonzero(differ <= 2 * most[at] - (words[at] - words[x]))
-        free = fit[taken[at[fit]] < width]
-        free = free[np.argsort(differ[free], kind="stable")[:width]]
-        fit, more = free, more or len(free) < len(fit)
-        taken[at[fit]] += 1
-        if len(fit):
-            found.append(np.stack([np.full(len(fit), order[x]), order[at[fit]]]))
-    return found, more
-
-
-def _likely(members: DataFrame, least: float, width: int) -> DataFrame:
-    """(a, b, more): pairs of members of a bucket and different classes that can be similar.
-
-    ``members`` has key, n (the members of the bucket), node, node_class, words and
-    counts. Two blocks of a bucket meet in one task; ``more`` marks tasks that left pairs out.
+        if similar(words[i], words[j], least):
+            group[max(p, q)] = min(p, q)
+            links.append((int(i), int(j)))
+    return links
+
+
+def _links_in_buckets(left: DataFrame, nodes: DataFrame, least: float, bits: int) -> DataFrame:
+    """(a, b, key): links between classes among the members of buckets (key, node, node_class, n).
+
+    Members travel with ``bits`` of their word hashes, once for each bucket that still holds
+    several classes. Two blocks of a bucket meet in one task, which aligns there
+    and gives only links. Fewer bits only make texts more alike, so no link is missed.
     """
+    kind = f"<u{bits // 8}"
+
+    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [np.frombuffer(w, "<u4").astype(kind).tobytes() for w in batch.column(6).to_pylist()]
+            yield batch.set_column(6, "words", pa.array(words, pa.binary()))
+
+    members = left.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    words = nodes.select("node", "words").join(members, "node")
     blocks = F.ceil(F.col("n") / BLOCK)
     dealt = (
-        members.withColumn("block", F.pmod("node", blocks))
+        left.withColumn("block", F.pmod("node", blocks))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         .withColumn("low", F.least("block", "other"))
         .withColumn("high", F.greatest("block", "other"))
-        .select("key", "low", "high", "words", "node_class", "block", "node", "counts")
+        .join(words, "node")
+        .select("key", "low", "high", "node_class", "block", "node", "words", "keys")
+    )
+    dealt = (
+        dealt.mapInArrow(shortened, dealt.schema)
         .repartition("key", "low", "high")
         .sortWithinPartitions("key", "low", "high")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 7), dtype=np.int64)
-        held_counts = np.zeros((0, CELLS), dtype=np.uint8)
-
-        def give(numbers: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            pairs, more = near_pairs(numbers[:, 3:6], counts, least, width)
-            if pairs:
-                ends = numbers[:, 6][np.concatenate(pairs, axis=1)]
-                columns = [ends.max(axis=0), ends.min(axis=0), np.full(ends.shape[1], more)]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["a", "b", "more"])
+        held: list[tuple] = []
+
+        def give() -> Iterator[pa.RecordBatch]:
+            numbers = np.array([r[3:5] for r in held], dtype=np.int64)
+            if (numbers[:, 0] == numbers[0, 0]).all():
+                return
+            words = [np.frombuffer(r[6], dtype=kind) for r in held]
+            links = near_in_block(words, numbers, [frozenset(r[7]) for r in held], held[0][0], least)
+            if links:
+                ends = np.array([[held[i][5], held[j][5]] for i, j in links], dtype=np.int64)
+                columns = [pa.array(ends.max(axis=1)), pa.array(ends.min(axis=1)), pa.array([held[0][0]] * len(links))]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "key"])
 
         for batch in batches:
-            numbers = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)])
-            counts = np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype=np.uint8)
-            held = np.concatenate([held, numbers])
-            held_counts = np.concatenate([held_counts, counts.reshape(-1, CELLS)])
-            cuts = np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(axis=1)) + 1
-            for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
-                yield from give(held[a:b], held_counts[a:b])
-            if len(cuts):
-                held, held_counts = held[cuts[-1] :], held_counts[cuts[-1] :]
-        if len(held):
-            yield from give(held, held_counts)
+            for start in range(0, batch.num_rows, 500):
+                for row in zip(*(c.to_pylist() for c in batch.slice(start, 500).columns)):
+                    if held and held[0][:3] != row[:3]:
+                        yield from give()
+                        held = []
+                    held.append(row)
+        if held:
+            yield from give()
 
-    return dealt.mapInArrow(run, "a long, b long, more boolean")
+    return dealt.mapInArrow(run, "a long, b long, key long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
+def _links_left(left: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b): the links of ``_links_in_buckets`` from 16 bits of the word hashes, each confirmed.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, last, centre = [], None, None
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                left, right = part.column(2).to_pylist(), part.column(3).to_pylist()
-                for x, y in zip(left, right):
-                    if y is not last:
-                        if y != last:
-                            centre = word_hashes([y.encode("utf-8", "surrogatepass")])[0]
-                        last = y
-                    own = word_hashes([x.encode("utf-8", "surrogatepass")])[0]
-                    keep.append(similar(own, centre, least))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], ["a", "b", "same"]
-            )
-
-    pairs = materialize(pairs.select("a", "b"), "dedup-compared")
-    small = _sized(pairs)
-    centres = texts.join(small.select(F.col("b").alias("node")), "node", "left_semi")
-    with_texts = (
-        texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
-        .join(small, "a")
-        .join(centres.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-        .select("a", "b", "a_text", "b_text")
-    )
-    return with_texts.mapInArrow(run, "a long, b long, same boolean").filter("same").select("a", "b")
+    A link that 16 bits only feign may have hidden others of its bucket; such a
+    bucket is searched again with all bits.
+    """
+    found = materialize(_links_in_buckets(left, nodes, least, 16), "dedup-found")
+    sure = materialize(_verified(found, nodes, least), "dedup-sure")
+    doubtful = found.join(sure, ["a", "b"], "left_anti").select("key").distinct()
+    doubtful = materialize(doubtful, "dedup-doubtful")
+    if not doubtful.limit(1).count():
+        return sure
+    again = left.join(doubtful, "key", "left_semi")
+    return sure.union(_links_in_buckets(again, nodes, least, 32).select("a", "b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -442,35 +544,25 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     The class id is the smallest id of the class; ``kept`` marks the row (or equal
     rows) that stands for the class.
     """
-    rows = materialize(_sketched(docs), "dedup-sketches")
-    nodes = materialize(rows.groupBy("node").agg(F.first("sketches").alias("sketches")), "dedup-nodes")
+    nodes = _nodes(docs)
     members = nodes.select("node", F.explode("sketches").alias("key"))
     meetings = materialize(_meetings(members), "dedup-meetings")
     votes = meetings.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("votes"))
     pairs = materialize(votes, "dedup-pairs")
-    meeting = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    meeting = _sized(materialize(meeting, "dedup-meeting"))
-    all_texts = docs.select(F.xxhash64(_text(F.col("text"))).alias("node"), _text(F.col("text")).alias("text"))
-    texts = all_texts.join(meeting, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    texts = materialize(texts, "dedup-texts")
 
     best = pairs.groupBy("a").agg(F.max(F.struct("votes", (-F.col("b")).alias("b"))).alias("best"))
     first = best.select("a", (-F.col("best.b")).alias("b"))
-    labels = _rooted(materialize(_verified(first, texts, similarity), "dedup-links"))
+    labels = _rooted(materialize(_verified(first, nodes, similarity), "dedup-links"))
     apart = _labelled(pairs.select("a", "b"), labels, "a", "b").filter("a_class != b_class")
     apart = apart.join(first, ["a", "b"], "left_anti")  # these have been compared
-    labels = _linked(labels, materialize(_verified(apart, texts, similarity), "dedup-links"))
-    compared, width = pairs.select("a", "b"), NEAREST
-    while True:
-        left = _left(meetings, labels)
-        counts = _counted(texts.join(left.select("node").distinct(), "node", "left_semi"))
-        likely = materialize(_likely(left.join(counts, "node"), similarity, width), "dedup-likely")
-        fresh = likely.select("a", "b").distinct().join(compared, ["a", "b"], "left_anti")
-        labels = _linked(labels, materialize(_verified(fresh, texts, similarity), "dedup-links"))
-        if not likely.filter("more").limit(1).count():
-            break
-        compared, width = compared.union(likely.select("a", "b")), 8 * width
-    named = _labelled(rows.select("doc_id", "node"), labels, "node")
+    labels = _linked(labels, materialize(_verified(apart, nodes, similarity), "dedup-links"))
+    left = _left(meetings, labels)
+    discard(meetings, pairs)
+    labels = _linked(labels, materialize(_links_left(left, nodes, similarity), "dedup-links"))
+    discard(left, nodes)
+    text = _text(F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("node"))
+    named = _labelled(rows, labels, "node")
     rank = F.struct(F.coalesce("doc_id", F.lit(_LAST_ID)).alias("id"), F.col("node").alias("node"))
     firsts = named.groupBy("node_class").agg(F.min("doc_id").alias("class_id"), F.min(rank).alias("first"))
     return named.join(firsts, "node_class").select(
@@ -479,9 +571,19 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of ``docs`` for each class: the one with its smallest id."""
-    kept = classes(docs, similarity).filter("kept").select("doc_id", "node").distinct()
-    ids = kept.select(F.coalesce("doc_id", F.lit(_LAST_ID)).alias("kept_id"), F.col("node").alias("kept_node"))
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID))
-    mark = (own == F.col("kept_id")) & (F.xxhash64(_text(F.col("text"))) == F.col("kept_node"))
-    return docs.join(ids, mark, "left_semi").dropDuplicates(["doc_id", "text"])
+    """One row of ``docs`` for each class: the one with its smallest id.
+
+    Rows are dropped by a join with those that go, the smaller side.
+    """
+    found = materialize(classes(docs, similarity), "dedup-classes")
+    ids = found.select(F.coalesce("doc_id", F.lit(_LAST_ID)).alias("its_id"), F.col("node").alias("its_node"), "kept")
+    several = ids.groupBy("its_id", "its_node").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    several = materialize(several.filter("not kept or n > 1"), "dedup-gone")
+    own, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)), F.xxhash64(_text(F.col("text")))
+    same = (own == F.col("its_id")) & (text == F.col("its_node"))
+    others = docs.join(several.hint("merge"), same, "left_anti")
+    # of rows with one id and text that stay one is taken from the few that repeat
+    repeated = several.filter("kept and n > 1")
+    if not repeated.limit(1).count():
+        return others
+    return others.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
