@@ -10,7 +10,7 @@ weight, that weight per word, and the number of distinct entries; words inside
 exception phrases do not count.
 
 Bounds: training reads at most about ``sample_rows`` labelled documents, drawn
-by a hash of the id, and keeps at most ``max_entries`` entries. The logistic curve
+by a hash of the id. The logistic curve
 is fitted on each half of the sample with the lexicon of the other half. Scoring is a narrow pass over every whole
 text.
 
@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genomeframe.llm.common import free_name, replaced, small_batches, with_fields
+from genomeframe.session import materialize
 
 #: Letters of other scripts that look like Latin ones, and signs written for letters.
 LOOKALIKES = {
@@ -166,8 +167,9 @@ def _prefixes(folded: str) -> set[str]:
     return {w[:n] for w in set(folded.split()) for n in PREFIX_LENGTHS if n <= len(w)}
 
 
-def _candidates(rows: DataFrame, share: float, most: int) -> list[tuple]:
-    """(entry, clean and toxic documents of part 0 and of part 1) of the likeliest entries."""
+def _candidates(rows: DataFrame, share: float) -> list[tuple]:
+    """(entry, clean and toxic documents of part 0 and of part 1) of the entries that toxic rows
+    have at least three times and over twice as often; the sample bounds their number."""
     names = ["clean0", "toxic0", "clean1", "toxic1"]
     schema = pa.schema([("entry", pa.string()), *((n, pa.int64()) for n in names)])
 
@@ -196,22 +198,11 @@ def _candidates(rows: DataFrame, share: float, most: int) -> list[tuple]:
         .agg(*(F.sum(n).alias(n) for n in names))
     )
     toxic, clean = F.col("toxic0") + F.col("toxic1"), F.col("clean0") + F.col("clean1")
-    rate = toxic / (toxic + clean)
-    gain = toxic * F.log(rate / share) + F.when(
-        clean > 0, clean * F.log((1 - rate) / (1 - share))
-    ).otherwise(0.0)
-    best = (
-        counted.filter((toxic >= 3) & (toxic * (1 - share) > 2 * share * clean))
-        .select("entry", *names, gain.alias("gain"))
-        .orderBy(F.desc("gain"), F.desc(F.length("entry")), "entry")
-        .limit(most)
-    )
-    return [(r.entry, *(r[n] for n in names)) for r in best.collect()]
+    found = counted.filter((toxic >= 3) & (toxic * (1 - share) > 2 * share * clean)).select("entry", *names)
+    return [tuple(r) for r in found.collect()]
 
 
-def _lexicon(
-    candidates: list[tuple[str, int, int]], clean: int, toxic: int, max_entries: int
-) -> dict[str, float]:
+def _lexicon(candidates: list[tuple[str, int, int]], clean: int, toxic: int) -> dict[str, float]:
     """Weights of the significant entries; of entries that say the same the longest stays."""
     share = toxic / (toxic + clean)
     rated = []
@@ -225,8 +216,6 @@ def _lexicon(
     chosen: dict[str, float] = {}
     spoken: dict[str, set] = {}
     for _, _, entry, counts, weight in sorted(rated):
-        if len(chosen) >= max_entries:
-            break
         if counts in spoken.get(entry, ()):
             continue  # a longer entry has the same documents
         shorter = (chosen.get(entry[:n]) for n in range(PREFIX_LENGTHS[0], len(entry)))
@@ -259,22 +248,19 @@ def train(
     docs: DataFrame,
     labels: DataFrame,
     sample_rows: int = 24_000,
-    max_entries: int = 2_000,
     exceptions: tuple[str, ...] = EXCEPTIONS,
 ) -> ToxicityModel:
     """A model from the labels (doc_id, toxic) outside the held-out fold; see the bounds above."""
-    sample = labelled_rows(docs, labels, sample_rows)
+    sample = materialize(labelled_rows(docs, labels, sample_rows), "toxicity-sample")
     counts = {(r.part, r.toxic): r["count"] for r in sample.groupBy("part", "toxic").count().collect()}
     n = [[counts.get((part, label), 0) for label in (0, 1)] for part in (0, 1)]
     seen = [n[0][0] + n[1][0], n[0][1] + n[1][1]]
     if not all(map(all, n)):
         share = math.log((seen[1] + 1e-9) / (seen[0] + 1e-9)) if sum(seen) else -60.0
         return ToxicityModel(curve=(max(-60.0, min(60.0, share)), 0.0, 0.0, 0.0))
-    found = _candidates(sample, seen[1] / sum(seen), 10 * max_entries)
-    parts = [
-        _lexicon([(r[0], r[1 + 2 * p], r[2 + 2 * p]) for r in found], *n[p], max_entries) for p in (0, 1)
-    ]
-    whole = _lexicon([(r[0], r[1] + r[3], r[2] + r[4]) for r in found], *seen, max_entries)
+    found = _candidates(sample, seen[1] / sum(seen))
+    parts = [_lexicon([(r[0], r[1 + 2 * p], r[2 + 2 * p]) for r in found], *n[p]) for p in (0, 1)]
+    whole = _lexicon([(r[0], r[1] + r[3], r[2] + r[4]) for r in found], *seen)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Features of each part by the lexicon of the other part."""
