@@ -10,10 +10,11 @@ Scale. Documents are packed into chunks of ``chunk_bytes`` of text, written once
 as compressed rows. A chunk sends each of its distinct n-grams (64-bit hashes)
 once, with its count, to the bucket of that hash; a bucket adds up its n-grams and
 answers each chunk with the totals, in the order asked. So a frequent n-gram
-costs one entry per chunk, nothing grows on the driver, no task holds more than
+costs one entry per chunk, rows are never more than the chunks' distinct n-grams, nothing grows on the driver, no task holds more than
 a chunk or a bucket, and the scores need no table of all n-grams in one place.
 For the weights, events are counted in cells of a quarter octave of both
-estimates, whose number is fixed; the iterations run over these cells.
+estimates, whose number is fixed; the iterations run over these cells, until no weight
+moves by 1e-7 or for ``rounds``.
 
 Cases: null and empty texts have the end token only; a null id counts as an
 empty text in the fold; without training documents every token is unknown;
@@ -40,6 +41,8 @@ TRAIN, DELETED, HELD_OUT = 0, 1, 2
 CONTEXTS = 33
 #: Cells of a quarter octave down to 2**-40; the last one is for zero.
 CELLS = 161
+#: Distinct words, words, deleted words and distinct words of the rest.
+FACTS = ["types", "tokens", "gone", "kept"]
 _END = np.uint64(0x5851F42D4C957F2E)
 _ONE = np.uint64(1)
 
@@ -181,7 +184,7 @@ def _asked(chunks: DataFrame, buckets: int) -> DataFrame:
 
 
 def _answered(asked: DataFrame) -> DataFrame:
-    """Rows (chunk, bucket, totals, deleted), and per bucket one of chunk -1 with V, N and deleted N."""
+    """Rows (chunk, bucket, totals, deleted), and per bucket one of chunk -1 with its ``FACTS``."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
@@ -194,8 +197,7 @@ def _answered(asked: DataFrame) -> DataFrame:
         total = np.bincount(inverse, np.where(owner == HELD_OUT, 0, counts), len(distinct)).astype(np.int64)
         gone = np.bincount(inverse, np.where(owner == DELETED, counts, 0), len(distinct)).astype(np.int64)
         single = (distinct & _ONE) == 0
-        facts = np.array([(single & (total > 0)).sum(), total[single].sum(), gone[single].sum()])
-        kept = (single & (total > gone)).sum()
+        facts = [(single & (total > 0)).sum(), total[single].sum(), gone[single].sum(), (single & (total > gone)).sum()]
         ends = np.cumsum(sizes)
         parts = [inverse[e - s : e] for e, s in zip(ends, sizes)]
         empty = _pack_counts(np.zeros(0, dtype=np.int64))
@@ -205,17 +207,19 @@ def _answered(asked: DataFrame) -> DataFrame:
                 "bucket": pa.array([bucket] * (len(chunks) + 1), pa.int64()),
                 "fold": pa.array([*folds, -1], pa.int32()),
                 "totals": pa.array(
-                    [*(_pack_counts(total[p]) for p in parts), _pack_counts(np.append(facts, kept))], pa.binary()
+                    [*(_pack_counts(total[p]) for p in parts), empty], pa.binary()
                 ),
                 "deleted": pa.array(
                     [*(_pack_counts(gone[p]) if f == DELETED else empty for p, f in zip(parts, folds)), empty],
                     pa.binary(),
                 ),
             }
+            | {name: pa.array([None] * len(chunks) + [int(n)], pa.int64()) for name, n in zip(FACTS, facts)}
         )
 
+    numbers = ", ".join(f"{name} long" for name in FACTS)
     return asked.groupBy("bucket").applyInArrow(
-        run, "chunk long, bucket long, fold int, totals binary, deleted binary"
+        run, f"chunk long, bucket long, fold int, totals binary, deleted binary, {numbers}"
     )
 
 
@@ -306,11 +310,9 @@ def score(docs: DataFrame, chunk_bytes: int = 4 << 20, bucket_bytes: int = 8 <<
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     answers = materialize(_answered(_asked(chunks, buckets)), "lm-counts")
-    facts = np.zeros(4, dtype=np.int64)
-    for row in answers.filter("chunk = -1").select("totals").toLocalIterator():  # four numbers for each bucket
-        facts += _unpack_counts(bytes(row.totals))
-    types, tokens, gone, kept = map(int, facts)
-    answers = answers.filter("chunk >= 0")
+    facts = answers.filter("chunk = -1").agg(*(F.sum(name) for name in FACTS)).first()
+    types, tokens, gone, kept = (n or 0 for n in facts)
+    answers = answers.filter("chunk >= 0").drop(*FACTS)
     weights = learn_weights(_events(chunks, answers, tokens - gone), 1 / (kept + 1))
     uniform = 1 / (types + 1)
 
