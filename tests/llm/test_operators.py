@@ -1,6 +1,7 @@
 """The operators of the training-data subpackage: brute force, round trips and awkward rows."""
 
 import collections
+import datetime
 import hashlib
 import math
 import os
@@ -73,20 +74,41 @@ def training(doc_id):
 # Deleted interpolation -----------------------------------------------------
 
 
-def brute_scores(rows):
-    """Counts and base scores by plain counting, and the mixed score under given weights."""
-    counts = collections.Counter()
+def brute_counts(rows):
+    """Counts of training words, and of pairs of a word and the one before it (the end before the first)."""
+    single, pair = collections.Counter(), collections.Counter()
     for doc_id, text in rows:
         if training(doc_id):
-            counts.update(tokens(text))
-    return counts
+            words = tokens(text)
+            single.update(words)
+            pair.update(zip([None, *words], words))
+    return single, pair
+
+
+def test_mixed_scores_against_counting(spark, texts, monkeypatch):
+    """Every document's score from plain counts, under the weights that were learned."""
+    learned, learn = [], interpolation.learn_weights
+    monkeypatch.setattr(interpolation, "learn_weights", lambda *a: learned.append(learn(*a)) or learned[-1])
+    rows = {**texts, None: "no id", 10**6: "", 10**6 + 1: "Only unknownword!"}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in interpolation.score(docs, 20_000, 30_000).collect()}
+    single, pair = brute_counts(rows.items())
+    total, distinct = sum(single.values()), len(single)
+    for doc_id, text in rows.items():
+        want, before = 0.0, None
+        for word in tokens(text):
+            seen = single[before]
+            w2, w1, w0 = learned[0][seen.bit_length()]
+            p = w2 * (pair[before, word] / seen if seen else 0) + w1 * single[word] / total + w0 / (distinct + 1)
+            want, before = want + math.log10(p), word
+        assert got[doc_id] == pytest.approx(want, rel=1e-9)
 
 
 @pytest.mark.parametrize("chunk_bytes,bucket_bytes", [(4 << 20, 8 << 20), (3_000, 1_000)])
 def test_interpolation_against_counting(spark, texts, chunk_bytes, bucket_bytes):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r for r in interpolation.score(docs, chunk_bytes, bucket_bytes).collect()}
-    counts = brute_scores(texts.items())
+    counts, _ = brute_counts(texts.items())
     total, distinct = sum(counts.values()), len(counts)
     assert len(got) == len(texts)
     for doc_id, text in texts.items():
@@ -334,6 +356,39 @@ def test_values_beside_others_do_not_stay(text):
     assert there.text("2024/13/05") == ("2024/13/05", 0)
 
 
+def test_a_date_has_one_pseudonym_in_all_formats():
+    worker = pseudonyms.Pseudonymiser(b"k")
+    for day in ("2024-03-05", "2024-03-25", "1999-12-31"):
+        y, m, d = day.split("-")
+        made = worker.text(day)[0]
+        y2, m2, d2 = made.split("-")
+        assert made != day and (int(d2) > 12) == (int(d) > 12)
+        written = {f"{m}/{d}/{y}": f"{m2}/{d2}/{y2}", f"{d}.{m}.{y}": f"{d2}.{m2}.{y2}", f"{y}/{m}/{d}": f"{y2}/{m2}/{d2}"}
+        if int(d) > 12:
+            written |= {f"{d}/{m}/{y}": f"{d2}/{m2}/{y2}", f"{m}-{d}-{y}": f"{m2}-{d2}-{y2}"}
+        for text, other in written.items():
+            assert worker.text(text)[0] == other
+
+
+def test_dates_are_permuted():
+    """All days of four years have different pseudonyms, which come back."""
+    there, back = pseudonyms.Pseudonymiser(b"k"), pseudonyms.Pseudonymiser(b"k", back=True)
+    days = [(datetime.date(2020, 1, 1) + datetime.timedelta(i)).isoformat() for i in range(4 * 365)]
+    made = [there.text(d)[0] for d in days]
+    assert len(set(made)) == len(days) and [back.text(m)[0] for m in made] == days
+
+
+def test_kinds_without_a_check_can_be_switched():
+    run, key = "9807915762804490", "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"
+    made = {k: pseudonyms.Pseudonymiser(b"k", others=frozenset(k)) for k in ((), ("run",), ("hex",))}
+    assert made[()].text(f"{run} {key}") == (f"{run} {key}", 0)
+    assert made["run",].text(run)[0] != run and made["run",].text(key) == (key, 0)
+    assert made["hex",].text(key)[0] != key and made["hex",].text(run) == (run, 0)
+    found = made["run",].text(run)[0]
+    assert pseudonyms.luhn_digit(found[:-1]) != found[-1]
+    assert pseudonyms.Pseudonymiser(b"k", back=True, others=frozenset({"run"})).text(found)[0] == run
+
+
 def test_checks_stay_valid_and_invalid_values_stay():
     worker = pseudonyms.Pseudonymiser(b"k")
     made = worker.text("4111111111111111")[0]
@@ -383,6 +438,34 @@ def test_normaliser_follows_the_compiled_map():
     assert normal == b" xfi" and source == [0, 0, 1, 1, 4]
 
 
+def test_piece_digests_are_those_of_the_library(spark, texts):
+    """The query over the whole table: ids and decoded texts of the library, spans that cover the text."""
+    import sentencepiece
+
+    path = tokenizer("piece_bpe_32k.model")
+    library, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.piece_model(path)
+    got = {r.doc_id: r for r in QUERIES["op4_pieces"](spark, FOLDER).collect()}
+    assert set(got) == set(texts)
+    for doc_id, text in texts.items():
+        row, text = got[doc_id], text or ""
+        ids = library.encode(text, add_bos=True, add_eos=True)
+        spans = np.array([s[1:] for s in model.encode_spans(text)], dtype="<i8").reshape(-1, 2)
+        assert row.n_tokens == len(ids)
+        assert row.ids_sha256 == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
+        assert row.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+        assert row.spans_sha256 == hashlib.sha256(spans.tobytes()).hexdigest()
+        assert row.source_bytes == len(text.encode())
+
+
+def test_alignment_is_one_for_all_models(texts):
+    """The alignment of a map without entries equals that of the walk."""
+    model = pieces.piece_model(tokenizer("piece_bpe_32k.model"))
+    raw = [(t or "").encode() for t in [*texts.values(), "", " ", "a", "é \U0001f600"]]
+    for (normal, source), t in zip(model.aligned(raw), raw):
+        walked = model.normalise(t)
+        assert (normal, source.tolist()) == (walked[0], list(walked[1]))
+
+
 # Near-duplicates -----------------------------------------------------------
 
 
@@ -395,7 +478,7 @@ def plain_distance(a, b):
     return row[-1]
 
 
-def test_banded_alignment_is_the_edit_distance():
+def test_banded_alignment_is_the_edit_distance(monkeypatch):
     rnd = random.Random(3)
     for _ in range(400):
         a = [rnd.randint(0, 4) for _ in range(rnd.randint(0, 14))]
@@ -404,8 +487,10 @@ def test_banded_alignment_is_the_edit_distance():
             if b:
                 b[rnd.randrange(len(b))] = 9
         most, want = rnd.randint(0, 14), plain_distance(a, b)
-        got = order_minhash.edit_distance(np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64), most)
-        assert got == (want if want <= most else None)
+        for few in (10, 0, 3):
+            monkeypatch.setattr(order_minhash, "FEW_EDITS", few)
+            got = order_minhash.edit_distance(np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64), most)
+            assert got == (want if want <= most else None)
 
 
 def test_sketches_know_order_and_occurrence():
@@ -456,9 +541,11 @@ def _classes(spark, monkeypatch, words, keys):
     """Classes of texts (word lists) that share just the given sketches, the rest being their own."""
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
     rows = [(i, [*k, *range(1000 * i + 1000, 1000 * i + 1040 - len(k))]) for i, k in enumerate(keys)]
-    found = docs.select("doc_id", F.xxhash64("text").alias("node")).join(
+    sketched = order_minhash._sketched(docs).drop("sketches")
+    own = docs.select("doc_id", F.xxhash64("text").alias("node")).join(
         spark.createDataFrame(rows, "doc_id long, sketches array<long>"), "doc_id"
     )
+    found = sketched.join(own.drop("doc_id"), "node")
     monkeypatch.setattr(order_minhash, "_sketched", lambda _: found)
     return {r.doc_id: r.class_id for r in order_minhash.classes(docs).collect()}
 
@@ -497,8 +584,7 @@ def test_sketches_meet_at_the_limit(n):
     assert met >= 97
 
 
-def test_rounds_go_on_until_all_have_been_compared(spark, monkeypatch):
-    monkeypatch.setattr(order_minhash, "NEAREST", 1)
+def test_all_pairs_of_a_bucket_are_compared(spark, monkeypatch):
     # the words of all are the same, so counts tell nothing; only 0 and 29 are in the same order
     rnd = random.Random(3)
     words = [rnd.sample([f"w{i}" for i in range(40)], 40) for _ in range(29)]
@@ -516,10 +602,81 @@ def test_counts_never_rule_out_a_similar_pair():
             at = rnd.randrange(len(other) + 1)
             other[at : at + rnd.randint(0, 1)] = ["new"] * rnd.randint(0, 1)
         a, b = order_minhash.word_hashes([" ".join(one).encode(), " ".join(other).encode()])
-        numbers = np.array([[len(a), 1, 0], [len(b), 2, 0]])
-        counts = np.array([list(order_minhash.word_counts(w)) for w in (a, b)], dtype=np.uint8)
+        sizes = np.array([[len(a), len(b)]])
+        counts = np.array([[list(order_minhash.word_counts(w)) for w in (a, b)]], dtype=np.uint8)
         if order_minhash.similar(a, b):
-            assert order_minhash.near_pairs(numbers, counts, 0.8, 1)[0]
+            assert order_minhash.may_be_similar(sizes, counts, 0.8).all()
+            numbers = np.array([[1, 0], [2, 0]])
+            assert order_minhash.near_in_block([a, b], numbers, [frozenset([3])] * 2, 3, 0.8)
+
+
+def test_links_of_a_block_join_all_classes_that_hang_together():
+    """Against all pairs, with blocks and classes, and pairs left to other buckets."""
+    rnd = random.Random(12)
+    for _ in range(60):
+        words = []
+        for _ in range(rnd.randint(2, 5)):
+            base = [rnd.getrandbits(60) for _ in range(rnd.choice([3, 12, 40]))]
+            for _ in range(rnd.randint(1, 6)):
+                other = list(base)
+                for _ in range(rnd.randint(0, len(base) // 4)):
+                    other[rnd.randrange(len(other))] = rnd.getrandbits(60)
+                words.append(np.array(other, dtype=np.uint64))
+        n = len(words)
+        numbers = np.array([[rnd.randrange(n), rnd.randrange(2)] for _ in range(n)])
+        across = len(set(numbers[:, 1].tolist())) == 2
+        keys = [frozenset([5, *rnd.sample([3, 7], rnd.randint(0, 2))]) for _ in range(n)]
+        want, got = (list(numbers[:, 0]) for _ in range(2))
+        for i in range(n):
+            for j in range(i):
+                here = min(keys[i] & keys[j]) == 5 and (not across or numbers[i, 1] != numbers[j, 1])
+                if here and order_minhash.similar(words[i], words[j]):
+                    want = [min(want[i], want[j]) if c in (want[i], want[j]) else c for c in want]
+        for i, j in order_minhash.near_in_block(words, numbers, keys, 5, 0.8):
+            assert order_minhash.similar(words[i], words[j])
+            got = [min(got[i], got[j]) if c in (got[i], got[j]) else c for c in got]
+        assert got == want
+
+
+def test_feigned_links_do_not_hide_others(spark, monkeypatch):
+    """A link that short hashes feign is not confirmed, and its bucket is searched again with all bits."""
+    search, asked = order_minhash._links_in_buckets, []
+
+    def feigned(left, nodes, least, bits):
+        asked.append(bits)
+        if bits == 32:
+            return search(left, nodes, least, bits)
+        # one link between texts that are not alike instead of all others
+        ends = left.groupBy("key").agg(F.max("node").alias("a"), F.min("node").alias("b"))
+        return ends.select("a", "b", "key")
+
+    monkeypatch.setattr(order_minhash, "_links_in_buckets", feigned)
+    words = [[f"w{k}_{i}" for i in range(40)] for k in range(12)]
+    words += [w[:38] + ["end", "end"] for w in words]
+    got = _classes(spark, monkeypatch, words, [[5]] * 24)
+    assert got == {i: i % 12 for i in range(24)} and asked == [16, 32]
+
+
+def test_a_family_does_not_multiply_rows(spark, monkeypatch):
+    """Twice the texts of a passage: about twice the rows of every table, none of pairs of its members."""
+    def rows_of(n):
+        sizes, write = {}, order_minhash.materialize
+
+        def counted(df, name):
+            made = write(df, name)
+            sizes[name] = max(made.count(), sizes.get(name, 0))
+            return made
+
+        passage = " ".join(f"p{i}" for i in range(40))
+        texts = [f"{passage} " + " ".join(f"q{k}_{i}" for i in range(22)) for k in range(n)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        with monkeypatch.context() as patch:
+            patch.setattr(order_minhash, "materialize", counted)
+            assert order_minhash.classes(docs).select("class_id").distinct().count() == n
+        return sizes
+
+    small, large = rows_of(150), rows_of(300)
+    assert all(n <= 2.6 * small[name] + 50 for name, n in large.items()), (small, large)
 
 
 # Mixing --------------------------------------------------------------------
@@ -623,6 +780,39 @@ def test_toxicity_with_any_share_of_toxic_rows(spark, share):
     assert model.weights and kept == {i for i, _, toxic in rows if not toxic}
 
 
+def test_matching_against_a_plain_search():
+    """Beginnings of words found one by one; the heaviest at a place counts, none in a phrase of exceptions."""
+    rnd = random.Random(9)
+    letters = ["a", "b", "c"]
+    for _ in range(200):
+        lexicon = {"".join(rnd.choice(letters) for _ in range(rnd.randint(1, 4))): rnd.random() + 0.1 for _ in range(6)}
+        words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 6))) for _ in range(40)]
+        spared = [" ".join(words[i : i + 2]) for i in rnd.sample(range(39), 3)]
+        model = toxicity.ToxicityModel(lexicon, exceptions=tuple(spared))
+        counted = []
+        for i, word in enumerate(words):
+            inside = any(" ".join(words[j : j + 2]) in spared for j in (i - 1, i) if 0 <= j < 39)
+            found = [(w, e) for e, w in lexicon.items() if word.startswith(e)]
+            if found and not inside:
+                counted.append(max(found))
+        total = sum(w for w, _ in counted)
+        want = (math.log1p(total), math.log1p(100 * total / len(words)), math.log1p(len({e for _, e in counted})))
+        assert toxicity.features(model.automaton(), " ".join(words)) == pytest.approx(want)
+
+
+def test_query_scores_are_those_of_the_model(spark):
+    """The query against scoring each text by itself, on the whole table."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    automaton = model.automaton()
+    want = {r.doc_id: toxicity.probability(model.curve, toxicity.features(automaton, r.text)) for r in docs.collect()}
+    got = {r.doc_id: (r.score, r.predicted, r.held_out) for r in QUERIES["op9_toxicity"](spark, FOLDER).collect()}
+    assert set(got) == set(want)
+    for doc_id, (score, predicted, held_out) in got.items():
+        assert score == pytest.approx(want[doc_id]) and predicted == (score >= 0.3)
+        assert held_out == (zlib.crc32(str(doc_id).encode()) % 4 == 2)
+
+
 def test_folding_and_exceptions():
     model = toxicity.ToxicityModel({"idiot": 5.0, "trash": 5.0}, (-4.0, 1.0, 1.0, 1.0))
     automaton = model.automaton()
@@ -647,6 +837,27 @@ def test_digest_likeness(spark, texts):
     assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.95
 
 
+def test_bucket_counts_against_a_loop():
+    """Each triplet of a sliding window of five bytes by itself."""
+    rnd = random.Random(1)
+    for size in (0, 3, 5, 6, 80):
+        data = bytes(rnd.randrange(256) for _ in range(size))
+        padded = data + bytes(max(0, 5 - size))
+        want = [0] * digests.BUCKETS
+        for at in range(4, len(padded)):
+            for (a, b), (x, y, z) in zip(digests.PAIRS, digests._SALTED):
+                h = int(x[padded[at]]) + 3 * int(y[padded[at - a]]) + 7 * int(z[padded[at - b]]) & 0xFFFF
+                h = (h ^ h >> 7) * 0x9E3B & 0xFFFF
+                want[h >> 8] += 1
+        assert digests.bucket_counts(np.frombuffer(data, dtype=np.uint8)).tolist() == want
+        # four codes of the quartile that a bucket's count lies in
+        ordered = sorted(want)
+        borders = [ordered[digests.BUCKETS * k // 4 - 1] for k in (1, 2, 3)]
+        made = digests.digest(data)
+        codes = [made[1 + i // 4] >> (6 - 2 * (i % 4)) & 3 for i in range(digests.BUCKETS)]
+        assert codes == [sum(n > b for b in borders) for n in want]
+
+
 def test_bucket_counts_do_not_depend_on_chunks(monkeypatch):
     data = np.frombuffer(os.urandom(5000), dtype=np.uint8)
     whole = digests.bucket_counts(data)
