@@ -560,14 +560,19 @@ def train_site_model(spark, sf):
 def train_model(spark, sf):
     """All six classifiers fitted with the default iterations; the model is written and read back.
 
-    Per classifier the number of its weights and samples, and the mean weighted log-loss
+    The genes are the longest reading frames of the contigs, with an intron each. Per classifier the number of its weights and samples, and the mean weighted log-loss
     of its samples beside that of the best constant.
     """
     from genomeframe.plans import training
 
     contigs = views.contigs(spark, sf)
     cut = materialize(tiles.tile_contigs(contigs), "tiles")
-    exons = views.placed_exons(spark, sf).drop("length")
+    genes = materialize(_orf_genes(spark, sf), "genes")
+    gaps = _orf_introns(genes).select("seqid", F.col("start0").alias("a"), F.col("end0").alias("b"))
+    parts = F.array(F.struct("start0", F.col("a").alias("end0")), F.struct(F.col("b").alias("start0"), "end0"))
+    exons = genes.join(gaps, "seqid").select(
+        F.col("seqid").alias("tid"), "seqid", "strand", F.lit("exon").alias("kind"), F.inline(parts)
+    )
     inputs, max_intron, max_span = training.training_sets(contigs.drop("bases"), cut, exons, max_intron=INTRON_CAP)
     model = Model(training.fit_all(inputs), max_intron, max_span)
     path = _folder(spark, "model")

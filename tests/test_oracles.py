@@ -24,6 +24,16 @@ NAMES = [
     "gene_numbers",
     "fasta_roundtrip",
     "gff3_roundtrip",
+    "introns",
+    "bp_overlap",
+    "dense_best_chain",
+    "intron_candidates",
+    "top_chains",
+    "matched_controls",
+    "exclusion_masks",
+    "longest_orf",
+    "bedgraph_roundtrip",
+    "dense_pair_samples",
 ]
 
 
