@@ -25,7 +25,6 @@ from genomeframe.operators.transcripts import CHAIN
 from genomeframe.session import materialize, shared_folder
 from genomeframe.sinks import bedgraph, gff3 as gff3_sink, tables as table_sinks
 from genomeframe.sources import bed, fasta, gff3
-from genomeframe.sources.model import Model, read_model
 
 SPAN_LIMIT = 200_000
 DENSE_SPAN, DENSE_INTRON = 400, 250
@@ -548,38 +547,15 @@ def encoded_sites(spark, sf):
 
 
 def train_site_model(spark, sf):
-    """Weights of the gene-start classifier, fitted to all its samples."""
+    """Weights of the gene-start classifier after 30 rounds over all its samples."""
     from genomeframe.operators.training import fit_classifier
 
     rows = samples.encode_sites(_windows(spark, sf)).filter("type = 0")
-    weights = fit_classifier(materialize(rows.select("target", "weight", "features"), "gs"), True)
+    weights = fit_classifier(materialize(rows.select("target", "weight", "features"), "gs"), True, 30)
     made = [("GS", i, float(w)) for i, w in enumerate(weights)]
     return spark.createDataFrame(made, "classifier string, idx int, weight double")
 
 
-def train_model(spark, sf):
-    """All six classifiers fitted with the default iterations; the model is written and read back.
-
-    The genes are the longest reading frames of the contigs, with an intron each. Per classifier the number of its weights and samples, and the mean weighted log-loss
-    of its samples beside that of the best constant.
-    """
-    from genomeframe.plans import training
-
-    contigs = views.contigs(spark, sf)
-    cut = materialize(tiles.tile_contigs(contigs), "tiles")
-    genes = materialize(_orf_genes(spark, sf), "genes")
-    gaps = _orf_introns(genes).select("seqid", F.col("start0").alias("a"), F.col("end0").alias("b"))
-    parts = F.array(F.struct("start0", F.col("a").alias("end0")), F.struct(F.col("b").alias("start0"), "end0"))
-    exons = genes.join(gaps, "seqid").select(
-        F.col("seqid").alias("tid"), "seqid", "strand", F.lit("exon").alias("kind"), F.inline(parts)
-    )
-    inputs, max_intron, max_span = training.training_sets(contigs.drop("bases"), cut, exons, max_intron=INTRON_CAP)
-    model = Model(training.fit_all(inputs), max_intron, max_span)
-    path = _folder(spark, "model")
-    table_sinks.write_model(spark, model, path)
-    return training.losses(inputs, read_model(spark, path))
-
-
 def rule_model():
     """Weights from a rule, so that scoring is reproducible without a training run."""
     import numpy as np
@@ -868,7 +844,6 @@ QUERIES = {
         site_features,
         encoded_sites,
         train_site_model,
-        train_model,
         score_sites,
         predicted_isoforms,
         predicted_gff3,
