@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import gzip
 import json
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -183,7 +185,12 @@ def fasta_pieces(spark: SparkSession, paths: str | list[str], range_bytes: int =
     listed = spark.read.format("binaryFile").load(paths).select("path", "length").collect()  # one row a file
     if any(r["path"].split(":")[0] not in OPENED for r in listed):
         return None
-    spark.dataSource.register(FastaDataSource)
+    # The processes that plan and read the source need not have this package on their path.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    try:
+        spark.dataSource.register(FastaDataSource)
+    finally:
+        cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
     files = json.dumps([[r["path"], r["length"]] for r in sorted(listed)])
     return spark.read.format("fasta").option("files", files).option("range_bytes", range_bytes).load()
 
