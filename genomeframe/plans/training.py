@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genomeframe.functions.sequence import oriented_end, oriented_start
-from genomeframe.operators.energy import energy_tiles
 from genomeframe.operators.intervals import distinct_intervals
 from genomeframe.operators.samples import (
     PAIR_TYPES,
@@ -57,8 +56,7 @@ def site_training_rows(
     samples = site_samples(
         contigs, boundary_labels(genes, introns), sampling_stride(total, sample_target), mix
     ).join(contigs.select("seqid", "length"), "seqid")
-    wide = energy_tiles(tiles, with_halo=True)
-    return encode_sites(site_windows(samples, wide, "pos", ["type", "target", "weight"]))
+    return encode_sites(site_windows(samples, tiles, "pos", ["type", "target", "weight"]))
 
 
 def pair_training_rows(contigs, tiles, observed, pair: str, longest: int) -> DataFrame:
