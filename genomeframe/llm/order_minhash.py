@@ -50,7 +50,9 @@ SHINGLE, PICKED, SIMILARITY = 5, 2, 0.8
 SKETCHES = ((SHINGLE, 40), (2, 32), (1, 16))
 SHORT = 20
 #: Members of a bucket in a block; cells of hashed word counts in a table and in a block.
-BLOCK, CELLS, FINE_CELLS = 1_000, 256, 1_024
+BLOCK, CELLS, FINE_CELLS = 2_000, 256, 1_024
+#: Bytes of members that a task deals to blocks at once.
+DEALT_BYTES = 16 << 20
 #: Counts of a cell that a block's product tells apart; the rest is added to the bound.
 LEVELS = 2
 #: Edits up to which an alignment follows furthest-reaching points.
@@ -386,30 +388,46 @@ def near_in_block(
 def _links_in_buckets(left: DataFrame, nodes: DataFrame, least: float, bits: int) -> DataFrame:
     """(a, b, key): links between classes among the members of buckets (key, node, node_class, n).
 
-    Members travel with ``bits`` of their word hashes, once for each bucket that still holds
-    several classes. Two blocks of a bucket meet in one task, which aligns there
-    and gives only links. Fewer bits only make texts more alike, so no link is missed.
+    Each node meets the list of its buckets once, so the join has a row a node whatever the size of a bucket;
+    the task then deals it, with ``bits`` of its word hashes, to the pairs of blocks of each bucket that still
+    holds several classes. Two blocks of a bucket meet in one task, which aligns there and gives only links. Fewer bits only make texts more alike, so no link is missed.
     """
     kind = f"<u{bits // 8}"
+    named = ["key", "low", "high", "node_class", "block", "node", "words", "keys"]
 
-    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [np.frombuffer(w, "<u4").astype(kind).tobytes() for w in batch.column(6).to_pylist()]
-            yield batch.set_column(6, "words", pa.array(words, pa.binary()))
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
 
-    members = left.groupBy("node").agg(F.collect_set("key").alias("keys"))
-    words = nodes.select("node", "words").join(members, "node")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    dealt = (
-        left.withColumn("block", F.pmod("node", blocks))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        .withColumn("low", F.least("block", "other"))
-        .withColumn("high", F.greatest("block", "other"))
-        .join(words, "node")
-        .select("key", "low", "high", "node_class", "block", "node", "words", "keys")
+        def give() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), [*[pa.int64()] * 6, pa.binary(), pa.list_(pa.int64())])]
+            return pa.RecordBatch.from_arrays(columns, named)
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = (c.to_pylist() for c in batch.slice(start, 500).columns)
+                for node, words, node_class, buckets in zip(*part):
+                    short = np.frombuffer(words, "<u4").astype(kind).tobytes()
+                    keys = [b["key"] for b in buckets]
+                    for b in buckets:
+                        blocks = -(-b["n"] // BLOCK)
+                        own = node % blocks
+                        for other in range(blocks):
+                            rows.append((b["key"], min(own, other), max(own, other), node_class, own, node, short, keys))
+                            size += len(short) + 8 * len(keys) + 100
+                            if size > DEALT_BYTES:
+                                yield give()
+                                rows, size = [], 0
+        if rows:
+            yield give()
+
+    members = left.groupBy("node").agg(
+        F.first("node_class").alias("node_class"), F.collect_set(F.struct("key", "n")).alias("buckets")
     )
+    schema = "key long, low long, high long, node_class long, block long, node long, words binary, keys array<long>"
     dealt = (
-        dealt.mapInArrow(shortened, dealt.schema)
+        nodes.select("node", "words")
+        .join(members, "node")
+        .mapInArrow(deal, schema)
         .repartition("key", "low", "high")
         .sortWithinPartitions("key", "low", "high")
     )

@@ -638,6 +638,21 @@ def test_links_of_a_block_join_all_classes_that_hang_together():
         assert got == want
 
 
+def test_blocks_are_dealt_after_the_join(spark, monkeypatch):
+    """Nodes meet their words once: no row is multiplied by the blocks of its bucket before a join."""
+    monkeypatch.setattr(order_minhash, "BLOCK", 3)
+    words = [[f"w{k}_{i}" for i in range(40)] for k in range(8)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words + [w[:39] for w in words])], "doc_id long, text string")
+    nodes = order_minhash._sketched(docs).cache()
+    keys = F.explode(F.array(F.lit(5).cast("long"), F.lit(6).cast("long")))
+    left = nodes.select(keys.alias("key"), "node", F.col("node").alias("node_class"), F.lit(16).cast("long").alias("n"))
+    found = order_minhash._links_in_buckets(left, nodes, 0.8, 32)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(sequence" not in plan
+    links = [tuple(sorted((r.a, r.b))) for r in found.collect()]
+    assert len(links) == len(set(links)) == 8 and {r.key for r in found.collect()} == {5}
+
+
 def test_feigned_links_do_not_hide_others(spark, monkeypatch):
     """A link that short hashes feign is not confirmed, and its bucket is searched again with all bits."""
     search, asked = order_minhash._links_in_buckets, []
