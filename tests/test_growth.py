@@ -1,5 +1,8 @@
 """Steps whose time or disk grew faster than the input: what they compute and how they are planned."""
 
+import numpy as np
+
+from genomeframe.operators import motifs, tiles
 from genomeframe.sources import gff3
 
 
@@ -7,6 +10,23 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
+def test_motif_positions_leave_a_tile_as_arrays(spark):
+    rng = np.random.default_rng(6)
+    text = "".join(rng.choice(list("ACGTN"), 700))
+    cut = tiles.tile_contigs(spark.createDataFrame([("a", text), (None, text), ("b", "GT")], "seqid string, bases string"), 128)
+    found = motifs.motif_sites(cut, *motifs.MOTIFS)
+    assert "positions" in plan(found)
+    got = sorted((r.mode, r.strand, r.role, r.pos, r.length) for r in found.collect() if r.seqid == "a")
+    want = []
+    for mode, rule in motifs.MOTIFS.items():
+        for strand in "+-":
+            for role, pair in zip(("start", "end"), rule[strand]):
+                at = [i + rule[role] for i in range(len(text) - 1) if text[i : i + 2] == pair]
+                want += [(mode, strand, role, p, 700) for p in at if role == "end" or p <= 700]
+    assert got == sorted(want)
+    assert found.filter("seqid is null").count() == len(want)
+
+
 def test_gff3_files_without_fasta_are_not_joined_by_file(spark, tmp_path):
     lines = ["##gff-version 3", "c\tt\texon\t1\t9\t.\t+\t.\tParent=x", "##FASTA", "c\tt\texon\t1\t9\t.\t+\t.\tParent=y"]
     (tmp_path / "a.gff3").write_text("\n".join(lines))
