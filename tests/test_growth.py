@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from genomeframe.operators import motifs, tiles
+from genomeframe.operators import energy, motifs, tiles
 from genomeframe.sources import gff3
 
 
@@ -10,6 +10,15 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
+def test_stretches_give_the_scores_of_windows():
+    rng = np.random.default_rng(5)
+    rows, weights = rng.normal(size=(3, 60)), rng.normal(size=(3, 9, 2))
+    table = energy.stretch_table(weights)
+    for count in (1, 15, 16, 17, 52):
+        want = [[(rows[:, i : i + 9] * weights[:, :, s]).sum() for s in (0, 1)] for i in range(count)]
+        assert np.allclose(energy.window_products(rows[:, : count + 8], count, table), want, rtol=0, atol=1e-12)
+
+
 def test_motif_positions_leave_a_tile_as_arrays(spark):
     rng = np.random.default_rng(6)
     text = "".join(rng.choice(list("ACGTN"), 700))
