@@ -36,6 +36,16 @@ def test_motif_positions_leave_a_tile_as_arrays(spark):
     assert found.filter("seqid is null").count() == len(want)
 
 
+def test_bases_meet_windows_in_one_shuffle(spark):
+    contigs = spark.createDataFrame([("a", "ACGT" * 300, 1200)], "seqid string, bases string, length bigint")
+    rows = spark.createDataFrame([("a", "+", 100, 200), ("a", "-", 500, 700)], "seqid string, strand string, start0 bigint, end0 bigint")
+    windows = energy.boundary_windows(rows.withColumn("row", rows.start0 * 0), contigs, ["row"], 50)
+    packed = energy._packed(windows, tiles.tile_contigs(contigs), ["strand", "centre", "low", "high", "copies", "row"])
+    text = plan(packed).split("== Physical Plan ==")[1]
+    assert "REPARTITION_BY_COL" not in text and "SortMergeJoin" in text
+    assert sum(len(r.packed) for r in packed.collect()) == 4
+
+
 def test_gff3_files_without_fasta_are_not_joined_by_file(spark, tmp_path):
     lines = ["##gff-version 3", "c\tt\texon\t1\t9\t.\t+\t.\tParent=x", "##FASTA", "c\tt\texon\t1\t9\t.\t+\t.\tParent=y"]
     (tmp_path / "a.gff3").write_text("\n".join(lines))
