@@ -15,11 +15,9 @@ from genomeframe.operators.intervals import (
 from genomeframe.operators.scan import BIN_BITS
 from genomeframe.operators.transcripts import (
     CHAIN,
-    TRANSCRIPT,
     alternative_chains,
-    chains_of,
-    introns_of,
-    scoring_spans,
+    linked_chains,
+    linked_spans,
     strand_choice,
 )
 from genomeframe.session import materialize
@@ -37,52 +35,39 @@ METRICS = [
     "alternative-isoform",
 ]
 
-_KEY = ["metric", "seqid", "strand", "x", "y", "n_spans", "hash1", "hash2"]
-
-
-def _items(df: DataFrame, *items: tuple[str, Column | None, Column | None, bool]) -> DataFrame:
-    """Expand each row into comparable keys ``(metric, x, y[, chain])``."""
-    structs = []
-    for metric, x, y, whole_chain in items:
-        chain = {
-            "n_spans": "bigint",
-            "hash1": "decimal(30,0)",
-            "hash2": "decimal(30,0)",
-        }
-        structs.append(
-            F.struct(
-                F.lit(metric).alias("metric"),
-                x.cast("bigint").alias("x"),
-                (F.lit(None) if y is None else y).cast("bigint").alias("y"),
-                *(
-                    (F.col(c) if whole_chain else F.lit(None)).cast(t).alias(c)
-                    for c, t in chain.items()
-                ),
-            )
+def _places(df: DataFrame, *items: tuple[str, Column, Column | None]) -> DataFrame:
+    """Each row as places ``(metric, x, size)`` to compare; ``metric`` is the number in METRICS. Null ``x`` is none."""
+    structs = [
+        F.struct(
+            F.lit(METRICS.index(metric)).cast("tinyint").alias("metric"),
+            x.cast("bigint").alias("x"),
+            (F.lit(0) if end is None else end - x).cast("bigint").alias("size"),
         )
-    return df.select(
-        "side", "seqid", "strand", F.explode(F.array(*structs)).alias("item")
-    ).select("side", "seqid", "strand", "item.*")
+        for metric, x, end in items
+    ]
+    exploded = df.select("sides", "seqid", "strand", F.explode(F.array(*structs)).alias("item"))
+    return exploded.select("sides", "seqid", "strand", "item.*").filter("x is not null")
 
 
-def exact_counts(items: DataFrame) -> DataFrame:
-    """tp/fp/fn of two sets of keys: one aggregation over the distinct keys."""
-    keys = [c for c in items.columns if c != "side"]
-    found = items.groupBy(*keys).agg(
-        F.max(F.col("side") == 0).alias("in_ref"), F.max(F.col("side") == 1).alias("in_pred")
-    )
+def _bit() -> Column:
+    """The row's side as a bit: 1 reference, 2 prediction."""
+    return F.expr("cast(shiftleft(1, cast(side as int)) as tinyint)").alias("sides")
 
-    def total(condition: Column) -> Column:
-        return F.count_if(condition)
 
-    ref, pred = F.col("in_ref"), F.col("in_pred")
+def exact_counts(found: DataFrame) -> DataFrame:
+    """tp/fp/fn by ``metric`` of distinct keys with the bits of the sides that have them."""
+    ref, pred = (F.col("sides").bitwiseAND(bit) != 0 for bit in (1, 2))
     return found.groupBy("metric").agg(
-        total(ref & pred).alias("tp"),
-        total(~ref & pred).alias("fp"),
-        total(ref & ~pred).alias("fn"),
+        F.count_if(ref & pred).alias("tp"),
+        F.count_if(~ref & pred).alias("fp"),
+        F.count_if(ref & ~pred).alias("fn"),
     )
 
 
+def _number(metric: str) -> Column:
+    return F.lit(METRICS.index(metric)).cast("tinyint").alias("metric")
+
+
 def alternative_regions(chains: DataFrame, bins: int | None = BIN_BITS) -> DataFrame:
     """Merged envelopes of the alternative chains of both sides."""
     return merge_intervals(alternative_chains(chains), PLACE, bins)
@@ -91,48 +76,40 @@ def alternative_regions(chains: DataFrame, bins: int | None = BIN_BITS) -> DataF
 def compare_gene_sets(exons: DataFrame, bins: int | None = BIN_BITS) -> DataFrame:
     """The nine-metric report of side 1 against side 0.
 
-    Spans and chains feed several branches, so they are written once.
+    Spans and forms feed several branches, so they are written once. Sides are bits, so
+    that equal keys of both sides meet before they are shuffled.
     """
     spark = exons.sparkSession
-    spans = materialize(scoring_spans(exons, bins), "spans")
-    introns = introns_of(spans, TRANSCRIPT, bins)
-    chains = materialize(chains_of(spans), "chains")
-    start0, end0 = F.col("start0"), F.col("end0")
-    low, high = start0 + 1, end0
-    alternatives = overlapping(
-        chains.select("side", *CHAIN).distinct(),
-        alternative_regions(chains, bins),
-        PLACE,
-    )
-    items = (
-        _items(spans, ("exon-segment", start0, end0, False))
-        .unionByName(
-            _items(
-                introns,
-                ("intron-segment", start0, end0, False),
-                ("donor-site", strand_choice(low, high, True), None, False),
-                ("acceptor-site", strand_choice(low, high, False), None, False),
-            )
-        )
-        .unionByName(
-            _items(
-                chains,
-                ("start-site", strand_choice(low, high, True), None, False),
-                ("stop-site", strand_choice(low, high, False), None, False),
-                ("transcript-CDS-chain", start0, end0, True),
-            )
-        )
-        .unionByName(_items(alternatives, ("alternative-isoform", start0, end0, True)))
+    spans = materialize(linked_spans(exons), "spans")
+    chains = linked_chains(spans)
+    start0, end0, next0 = F.col("start0"), F.col("end0"), F.col("next0")
+    first, last = strand_choice(start0 + 1, end0, True), strand_choice(start0 + 1, end0, False)
+    forms = materialize(chains.select(*CHAIN, _bit()).groupBy(*CHAIN).agg(F.bit_or("sides").alias("sides")), "forms")
+    alternatives = overlapping(forms, alternative_regions(chains, bins), PLACE)
+    gap = next0 > end0
+    low, high = F.when(gap, end0 + 1), F.when(gap, next0)
+    places = _places(
+        spans.withColumn("sides", _bit()),
+        ("exon-segment", start0, end0),
+        ("intron-segment", F.when(gap, end0), next0),
+        ("donor-site", strand_choice(low, high, True), None),
+        ("acceptor-site", strand_choice(low, high, False), None),
+    ).unionByName(_places(forms, ("start-site", first, None), ("stop-site", last, None)))
+    distinct = places.groupBy("metric", "seqid", "strand", "x", "size").agg(F.bit_or("sides").alias("sides"))
+    counts = (
+        exact_counts(distinct)
+        .unionByName(exact_counts(forms.select(_number("transcript-CDS-chain"), "sides")))
+        .unionByName(exact_counts(alternatives.select(_number("alternative-isoform"), "sides")))
     )
     bases = covered_length(spans, "side", PLACE).select(
-        F.lit("nt").alias("metric"),
+        _number("nt"),
         F.col("shared").alias("tp"),
         (F.col("covered1") - F.col("shared")).alias("fp"),
         (F.col("covered0") - F.col("shared")).alias("fn"),
     )
     order = spark.createDataFrame(list(enumerate(METRICS)), "rank int, metric string")
-    counts = exact_counts(items).unionByName(bases)
-    filled = order.join(F.broadcast(counts), "metric", "left").select(
+    counts = counts.unionByName(bases).withColumnRenamed("metric", "rank")
+    filled = order.join(F.broadcast(counts), "rank", "left").select(
         "rank", "metric", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("tp", "fp", "fn"))
     )
     return with_rates(filled).orderBy("rank").drop("rank")

@@ -71,10 +71,11 @@ def not_overlapping(df: DataFrame, merged: DataFrame, keys: Sequence[str] = PLAC
 def covered_length(df: DataFrame, side: str, keys: Sequence[str] = PLACE) -> DataFrame:
     """Base pairs covered by side 0, side 1 and both, as one row.
 
-    A sweep: depth changes are prefix-summed per side. A covered stretch contributes
-    ``end - start``, so adding ``position`` where coverage stops and subtracting it where
-    coverage begins gives the length without pairing the two; changes at one
-    position may come in any order, since what they add between them is nothing.
+    A sweep over depth changes. A covered stretch contributes ``end - start``, so adding
+    ``position`` where coverage stops and subtracting it where coverage begins gives the
+    length without pairing the two; changes at one position may come in any order, since
+    what they add between them is nothing. Positions are summed by depth, so no row of the
+    sweep is written (``ordered.depth_sums``).
     """
     on_side = [F.when(F.col(side) == s, 1).otherwise(0) for s in (0, 1)]
     changes = df.select(
@@ -90,18 +91,17 @@ def covered_length(df: DataFrame, side: str, keys: Sequence[str] = PLACE) -> Dat
             )
         ).alias("change"),
     ).select(*keys, "change.*")
-    depth = ordered.prefix_sums(changes, keys, "pos", ["d0", "d1"])
-    after = [F.col(f"d{s}_sum") > 0 for s in (0, 1)]
-    before = [F.col(f"d{s}_sum") > F.col(f"d{s}") for s in (0, 1)]
+    changes = ordered.met_in_batches(changes, [*keys, "pos"], ["d0", "d1"])
+    depth = ordered.depth_sums(changes, keys, "pos", ["d0", "d1"])
+    over = [F.col(f"d{s}_sum") > 0 for s in (0, 1)]
 
-    def length(was: Column, now: Column) -> Column:
-        step = was.cast("bigint") - now.cast("bigint")
-        return F.coalesce(F.sum(step * F.col("pos")), F.lit(0)).cast("bigint")
+    def length(covered: Column) -> Column:
+        return F.coalesce(F.sum(F.when(covered, F.col("length"))), F.lit(0)).cast("bigint")
 
     return depth.agg(
-        length(before[0], after[0]).alias("covered0"),
-        length(before[1], after[1]).alias("covered1"),
-        length(before[0] & before[1], after[0] & after[1]).alias("shared"),
+        length(over[0]).alias("covered0"),
+        length(over[1]).alias("covered1"),
+        length(over[0] & over[1]).alias("shared"),
     )
 
 

@@ -42,6 +42,56 @@ def scoring_spans(exons: DataFrame, bins: int | None = BIN_BITS) -> DataFrame:
     return merge_intervals(chosen, TRANSCRIPT, bins)
 
 
+def _has_cds(cds: Column) -> Column:
+    """Whether the row's side of its transcript has CDS; one bit a side is kept over the transcript.
+
+    The order is that of ``linked_spans``, so rows are sorted once.
+    """
+    bit = F.expr("shiftleft(1L, cast(side as int))")
+    by_transcript = Window.partitionBy("tid").orderBy("side", "gid", "seqid", "strand", "start0", "end0")
+    whole = by_transcript.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    bits = F.bit_or(F.when(cds, bit)).over(whole)
+    return F.coalesce(bits.bitwiseAND(bit) != 0, F.lit(False))
+
+
+def linked_spans(exons: DataFrame) -> DataFrame:
+    """``scoring_spans`` with the start of the next span, ``next0``, in one shuffle by transcript.
+
+    Windows with one sort order read a transcript's rows as a stream, which Spark spills if need
+    be, and both sides of a transcript stay in one partition. A span starts where no earlier row
+    reaches; its end is the reach before the next one. A transcript's first span also has its
+    chain (``linked_chains``).
+    """
+    rows = exons.filter(F.col("kind").isin("CDS", "exon") & F.col("side").isNotNull() & F.col("tid").isNotNull())
+    rows = rows.select(*TRANSCRIPT, "start0", "end0", (F.col("kind") == "CDS").alias("_cds"))
+    chosen = rows.withColumn("_coding", _has_cds(F.col("_cds"))).filter("_cds or not _coding")
+    transcript = Window.partitionBy("tid", "side", "gid", "seqid", "strand").orderBy("start0", "end0")
+    earlier = transcript.rowsBetween(Window.unboundedPreceding, -1)
+    whole = transcript.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = (
+        chosen.filter("start0 is not null and end0 is not null")
+        .select(*TRANSCRIPT, F.col("start0").cast("long"), F.col("end0").cast("long"))
+        .withColumns({"_reach": F.max("end0").over(earlier), "_last": F.max("end0").over(whole)})
+        .filter("_reach is null or start0 > _reach")
+    )
+    ends = F.coalesce(F.lead("_reach").over(transcript), "_last").alias("end0")
+    spans = heads.select(*TRANSCRIPT, "_reach", "_last", "start0", ends, F.lead("start0").over(transcript).alias("next0"))
+    first = F.col("_reach").isNull()
+    totals = {
+        "n_spans": F.count("*").over(whole),
+        "hash1": F.bit_xor(F.xxhash64(F.lit(1), "start0", "end0")).over(whole),
+        "hash2": F.bit_xor(F.xxhash64(F.lit(2), "start0", "end0")).over(whole),
+        "_chain_end": F.col("_last"),
+    }
+    chain = (F.when(first, F.col(c)).alias(c) for c in totals)
+    return spans.withColumns(totals).select("side", "gid", "seqid", "strand", "start0", "end0", "next0", *chain)
+
+
+def linked_chains(spans: DataFrame) -> DataFrame:
+    """The chains of ``linked_spans``: as ``chains_of``, but without ``tid`` and ``bases``, and hashes are joined by XOR."""
+    return spans.filter("n_spans is not null").drop("end0", "next0").withColumnRenamed("_chain_end", "end0")
+
+
 def training_spans(
     exons: DataFrame,
     keys: Sequence[str] = ("seqid", "strand", "tid"),
@@ -96,9 +146,9 @@ def transcript_bounds(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
 def alternative_chains(chains: DataFrame) -> DataFrame:
     """Chains of genes that have more than one distinct chain at one place."""
     gene = ["side", "gid", "seqid", "strand"]
-    forms = chains.select("gid", "side", *CHAIN).distinct()
-    several = forms.groupBy(*gene).agg(F.count("*").alias("forms")).filter("forms > 1")
-    return forms.join(several.select(*gene), gene, "left_semi").select("side", *CHAIN).distinct()
+    differ = [f(c).alias(f"{f.__name__}_{c}") for c in ("hash1", "hash2") for f in (F.min, F.max)]
+    several = chains.groupBy(*gene).agg(*differ).filter("min_hash1 <> max_hash1 or min_hash2 <> max_hash2")
+    return chains.join(several.select(*gene), gene, "left_semi").select("side", *CHAIN)
 
 
 def strand_choice(first: Column, second: Column, forward: bool) -> Column:
@@ -129,8 +179,8 @@ def site_keys(introns: DataFrame, chains: DataFrame) -> DataFrame:
 
 def coding_only(exons: DataFrame) -> DataFrame:
     """Rows of transcripts that have CDS."""
-    coding = exons.filter("kind = 'CDS'").select("side", "tid").distinct()
-    return exons.join(coding, ["side", "tid"], "left_semi")
+    named = exons.filter(F.col("side").isNotNull() & F.col("tid").isNotNull())
+    return named.withColumn("_coding", _has_cds(F.col("kind") == "CDS")).filter("_coding").drop("_coding")
 
 
 def gene_set_summary(exons: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Steps whose time or disk grew faster than the input: what they compute and how they are planned."""
 
+import random
+
 import numpy as np
 
-from genomeframe.operators import energy, motifs, tiles
+from genomeframe.operators import comparison, energy, intervals, motifs, ordered, tiles, transcripts
 from genomeframe.sources import gff3
 
 
@@ -59,3 +61,65 @@ def test_gff3_files_without_fasta_are_not_joined_by_file(spark, tmp_path):
     assert sorted(r.problem for r in view.problems.collect()) == ["feature without Parent", "invalid interval or strand"]
     # lines and files' ends of the reader's problems, of the rules on rows, and of the count
     assert plan(view.problems).split("== Initial Plan ==")[-1].count("FileScan text") <= 6
+
+
+MODELS = "side int, gid long, tid long, seqid string, strand string, kind string, start0 long, end0 long"
+
+
+def gene_models(spark, number=400):
+    """Rows of few transcripts on two contigs, nulls and copies among them."""
+    draw = random.Random(8)
+    rows = []
+    for _ in range(number):
+        tid = draw.choice([None, *range(25)])
+        start = draw.choice([None, *range(0, 300, 7)])
+        end = None if start is None or draw.random() < 0.03 else start + draw.randint(1, 20)
+        place = (None if tid is None else tid // 3, tid, draw.choice([None, "a", "a", "b"]), draw.choice(["+", "-", None]))
+        kind = draw.choices(["exon", "CDS", "gene", None], [20, 2, 2, 1])[0]
+        rows += [(side, *place, kind, start, end) for side in draw.choice([(0,), (1,), (0, 1), (0, 1, 1)])]
+    return spark.createDataFrame(rows, MODELS)
+
+
+def test_linked_spans_are_spans_introns_and_chains_in_one_shuffle(spark):
+    rows = gene_models(spark)
+    linked = transcripts.linked_spans(transcripts.coding_only(rows))
+    assert plan(linked).split("== Physical Plan ==")[1].count("Exchange") == 1
+    for exons in (rows, transcripts.coding_only(rows)):
+        place = ["side", "gid", "seqid", "strand"]
+        got = transcripts.linked_spans(exons)
+        spans = transcripts.scoring_spans(exons)
+        found = lambda df, *more: sorted(map(repr, df.select(*place, *more).collect()))
+        assert found(got, "start0", "end0") == found(spans, "start0", "end0")
+        gaps = got.filter("next0 > end0").selectExpr(*place, "end0 start0", "next0 end0")
+        assert found(gaps, "start0", "end0") == found(transcripts.introns_of(spans), "start0", "end0")
+        ends = "n_spans", "start0", "end0"
+        assert found(transcripts.linked_chains(got), *ends) == found(transcripts.chains_of(spans), *ends)
+
+
+def test_coding_rows_stay_whole(spark):
+    rows = [r for r in gene_models(spark).collect()]
+    coding = {(r.side, r.tid) for r in rows if r.kind == "CDS" and r.tid is not None}
+    want = [r for r in rows if (r.side, r.tid) in coding]
+    got = transcripts.coding_only(spark.createDataFrame(rows, MODELS)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_equal_places_of_both_sides_are_counted_once(spark):
+    rows = [r for r in gene_models(spark).collect()]
+    report = {r.metric: (r.tp, r.fp, r.fn) for r in comparison.compare_gene_sets(spark.createDataFrame(rows, MODELS)).collect()}
+    spans = transcripts.scoring_spans(spark.createDataFrame(rows, MODELS))
+    for metric, df in (("exon-segment", spans), ("intron-segment", transcripts.introns_of(spans))):
+        ref, pred = ({r[1:] for r in df.select("side", "seqid", "strand", "start0", "end0").collect() if r.side == s} for s in (0, 1))
+        assert report[metric] == (len(ref & pred), len(pred - ref), len(ref - pred))
+
+
+def test_bases_are_summed_by_depth(spark):
+    draw = random.Random(9)
+    rows = [("c", draw.choice("+-"), x := draw.randrange(9000), x + draw.randint(1, 30), i % 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "seqid string, strand string, start0 long, end0 long, side int").repartition(8)
+    base = [{(r[1], p) for r in rows if r[4] == s for p in range(r[2], r[3])} for s in (0, 1)]
+    assert tuple(intervals.covered_length(df, "side").first()) == (len(base[0]), len(base[1]), len(base[0] & base[1]))
+    changes = df.selectExpr("seqid", "strand", "explode(array(struct(start0 p, 1 d), struct(end0 p, -1 d))) c").select("seqid", "strand", "c.*")
+    depths = ordered.depth_sums(changes, ["seqid", "strand"], "p", ["d"])
+    assert depths.count() < 600  # not a row for each of 6,000 changes
+    assert depths.filter("d_sum > 0").agg({"length": "sum"}).first()[0] == len(base[0] | base[1])
