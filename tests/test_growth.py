@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from genomeframe.operators import comparison, energy, intervals, motifs, ordered, tiles, transcripts
+from genomeframe.operators import comparison, controls, energy, intervals, motifs, ordered, tiles, transcripts
 from genomeframe.sources import gff3
 
 
@@ -123,3 +123,24 @@ def test_bases_are_summed_by_depth(spark):
     depths = ordered.depth_sums(changes, ["seqid", "strand"], "p", ["d"])
     assert depths.count() < 600  # not a row for each of 6,000 changes
     assert depths.filter("d_sum > 0").agg({"length": "sum"}).first()[0] == len(base[0] | base[1])
+
+
+def test_edits_of_a_tile_take_one_pass(spark):
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(list("ACGTN\u00e9"), 900))
+    cut = tiles.tile_contigs(spark.createDataFrame([("a", text), (None, text), ("b", "GT")], "seqid string, bases string"), 300)
+    at = sorted({int(p) for p in rng.integers(0, 900, 700)})
+    positions = spark.createDataFrame([("a", p) for p in at + at] + [(None, 5), ("a", 5000)], "seqid string, pos long")
+    changed = controls.mutate_sites(cut, positions, 42, 300)
+    assert "aggregate(" not in plan(changed) and changed.schema == cut.schema
+    draws = positions.filter("seqid = 'a'").select("pos", controls.seeded_draw(42, positions.seqid, positions.pos)).collect()
+    want = list(text)
+    for pos, draw in set(map(tuple, draws)):
+        if pos < 900:
+            others = "ACGT".replace(text[pos], "")
+            want[pos] = others[draw % len(others)]
+    found = {(r.seqid, r.tile): r for r in changed.collect()}
+    for (seqid, _), r in found.items():
+        whole = {"a": "".join(want), None: text, "b": "GT"}[seqid]
+        assert r.bases == whole[r.origin - r.left :][: len(r.bases)]
+    assert len(found) == cut.count() == 7
