@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from genomeframe.operators import comparison, controls, energy, intervals, motifs, ordered, tiles, transcripts
+from genomeframe.operators import comparison, controls, energy, intervals, motifs, ordered, samples, tiles, transcripts
 from genomeframe.sources import gff3
 
 
@@ -144,3 +144,23 @@ def test_edits_of_a_tile_take_one_pass(spark):
         whole = {"a": "".join(want), None: text, "b": "GT"}[seqid]
         assert r.bases == whole[r.origin - r.left :][: len(r.bases)]
     assert len(found) == cut.count() == 7
+
+
+def test_pairs_are_shuffled_once_after_they_are_moved(spark):
+    draw = random.Random(4)
+    rows = [("a", draw.choice(["+", "-", None]), s := draw.randrange(400), s + draw.randint(1, 90)) for _ in range(30)] + [(None, "+", 1, 9)]
+    observed = spark.createDataFrame(rows + [("b", "+", 3, 20), ("a", "+", None, 20)], "seqid string, strand string, start0 long, end0 long")
+    lengths = spark.createDataFrame([("a", 450), ("b", 60), ("b", 60), ("b", 40), (None, 99)], "seqid string, length long")
+    got = samples.pair_samples(observed, lengths, 5, 100)
+    assert "LeftOuter" not in plan(got)
+    want = []
+    for place in {r[:2] for r in rows if r[0]} | {("b", "+")}:
+        own = sorted({r[2:] for r in rows if r[:2] == place}) or [(3, 20)]
+        near = {(s, own[j][1]) for i, (s, _) in enumerate(own) for j in range(max(0, i - 4), min(len(own), i + 5))}
+        if place[1] is None:
+            near = set()
+        near |= {p for s, e in own for o in range(-64, 65) for p in ((s + o, e), (s, e + o))}
+        for length in {"a": (450,), "b": (60, 60, 40)}[place[0]]:
+            valid = [(s, e) for s, e in near if s >= 0 and e <= length and 5 <= e - s <= 100]
+            want += [(*place, s, e, int(place[1] is not None and (s, e) in own)) for s, e in valid]
+    assert sorted(map(repr, (tuple(r)[:5] for r in got.collect()))) == sorted(map(repr, want))
