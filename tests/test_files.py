@@ -235,3 +235,28 @@ def test_motif_controls_leave_only_items_without_a_place(spark, monkeypatch):
             r = found[n]
             assert (r.seqid is None) == (not places[n]), (mode, n)
             assert r.seqid is None or (r.seqid, r.start0, r.strand) in places[n]
+
+
+def test_written_fasta_files_begin_with_a_header(spark, tmp_path):
+    """Contigs of several tiles, more of them than fit one file."""
+    rng = random.Random(5)
+    sizes = [1, 59, 60, 61, 16_384, 16_390, 16_440, 40_000, 49_152, 100_003]
+    rows = [(f"c{i}", i, "".join(rng.choices("ACGTN", k=n))) for i, n in enumerate(sizes)]
+    contigs = spark.createDataFrame(rows, "seqid string, ord int, bases string").repartition(4)
+    path = tmp_path / "f"
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_fasta(tiles.tile_contigs(contigs), contigs, str(path))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    texts = [p.read_text() for p in sorted(path.glob("part-*")) if p.stat().st_size]
+    assert len(texts) > 1 and all(t.startswith(">") for t in texts)
+    wrapped = lambda b: "".join(b[k : k + 60] + "\n" for k in range(0, len(b), 60))
+    assert "".join(texts) == "".join(f">{name}\n{wrapped(bases)}" for name, _, bases in rows)
+    lines = sinks.fasta_lines(tiles.tile_contigs(contigs)).orderBy("seqid", "offset").collect()
+    want = [(name, o, line) for name, _, bases in rows for o, line in
+            [(-1, f">{name}"), *((k, bases[k : k + 60]) for k in range(0, len(bases), 60))]]
+    assert [tuple(r) for r in lines] == want
+    again = fasta.read_fasta(spark, str(path))
+    assert [tuple(r) for r in again.contigs.orderBy("ord").collect()] == [(n, i, len(b)) for n, i, b in rows]
