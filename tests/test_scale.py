@@ -43,6 +43,23 @@ def test_drawn_boundaries_equal_the_column_form(spark):
     assert one == other and len(one) > 100
 
 
+def test_drawn_boundaries_of_short_contigs_are_dealt_over_all_tasks(spark):
+    """Ranges are a few bytes each: adaptive execution must not put them into one task."""
+    contigs = spark.range(400).selectExpr("cast(id as string) seqid", "cast(id as int) ord", "id % 90 length")
+    ranges = contigs.withColumn("from", F.lit(0).cast("bigint"))
+    drawn = samples._drawn_boundaries(ranges, 2, samples.md5_keys, samples.keyed_hits)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks > 1 and drawn.groupBy(F.spark_partition_id()).count().count() == tasks
+    want = set()
+    for r in contigs.collect():
+        for own in range(r.length + 1):
+            for bit in range(8):
+                if int(hashlib.md5(f"0:{r.ord}:{own}:{bit}".encode()).hexdigest()[:15], 16) % 2 == 0:
+                    want.add((r.seqid, "+-"[bit // 4], own if bit < 4 else r.length - own, bit % 4))
+    found = [tuple(r) for r in drawn.collect()]
+    assert len(found) == len(want) and set(found) == want
+
+
 def _cut(spark, lengths):
     rng = np.random.default_rng(3)
     rows = [(n, "".join(rng.choice(list("ACGTN"), size))) for n, size in lengths.items()]
