@@ -260,3 +260,38 @@ def test_written_fasta_files_begin_with_a_header(spark, tmp_path):
     assert [tuple(r) for r in lines] == want
     again = fasta.read_fasta(spark, str(path))
     assert [tuple(r) for r in again.contigs.orderBy("ord").collect()] == [(n, i, len(b)) for n, i, b in rows]
+
+
+def test_motif_starts_know_their_room(spark):
+    """Starts in the mask are left out, others say where it goes on; empty masked intervals hide nothing."""
+    ranked = spark.createDataFrame(
+        [("+", "a", 90, p, 9, i) for i, p in enumerate((1, 5, 6, 9, 10, 20, 21, 40))] + [("+", "b", 90, 3, 9, 8)],
+        "strand string, seqid string, length long, pos long, total long, rank long",
+    )
+    mask = spark.createDataFrame(
+        [("a", 5, 9), ("a", 12, 12), ("a", 20, 30), (None, 0, 50), ("c", 0, 90)], "seqid string, start0 long, end0 long"
+    )
+    for bins in (None, 3):
+        found = {(r.seqid, r.pos): r.stop for r in controls._free_starts(ranked, mask, bins).collect()}
+        assert found == {("a", 1): 5, ("a", 5): 5, ("a", 10): 20, ("a", 20): 20, ("a", 40): None, ("b", 3): None}
+
+
+def test_motif_draws_are_dealt_over_all_tasks_and_never_scanned_with_the_mask(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(controls, "ROUNDS", (4,))
+    draws = controls._motif_draws
+
+    def seen(tries, *more):
+        asked.append(tries.rdd.getNumPartitions())
+        return draws(tries, *more)
+
+    monkeypatch.setattr(controls, "_motif_draws", seen)
+    text = "".join(random.Random(9).choices("ACGT", k=900))
+    genome = spark.createDataFrame([("a", text)], "seqid string, bases string")
+    contigs = spark.createDataFrame([("a", 900)], "seqid string, length long")
+    mask = spark.createDataFrame([("a", 100, 300)], "seqid string, start0 long, end0 long")
+    items = spark.createDataFrame([("a", 100, 130 + 3 * i, "+") for i in range(20)], CONTROL_ITEMS)
+    sites = motifs.motif_sites(tiles.tile_contigs(genome), "gtag")
+    made = controls.matched_controls(items, contigs, mask, 5, motif="gtag", sites=sites)
+    assert all(r.seqid is None or r.end0 <= 100 or r.start0 >= 300 for r in made.collect())
+    assert asked == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
