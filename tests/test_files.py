@@ -263,7 +263,7 @@ def test_written_fasta_files_begin_with_a_header(spark, tmp_path):
 
 
 def test_motif_starts_know_their_room(spark):
-    """Starts in the mask are left out, others say where it goes on; empty masked intervals hide nothing."""
+    """Starts in the mask are left out, others say where it goes on, at an empty masked interval too."""
     ranked = spark.createDataFrame(
         [("+", "a", 90, p, 9, i) for i, p in enumerate((1, 5, 6, 9, 10, 20, 21, 40))] + [("+", "b", 90, 3, 9, 8)],
         "strand string, seqid string, length long, pos long, total long, rank long",
@@ -273,7 +273,7 @@ def test_motif_starts_know_their_room(spark):
     )
     for bins in (None, 3):
         found = {(r.seqid, r.pos): r.stop for r in controls._free_starts(ranked, mask, bins).collect()}
-        assert found == {("a", 1): 5, ("a", 5): 5, ("a", 10): 20, ("a", 20): 20, ("a", 40): None, ("b", 3): None}
+        assert found == {("a", 1): 5, ("a", 5): 5, ("a", 10): 12, ("a", 20): 20, ("a", 40): None, ("b", 3): None}
 
 
 def test_motif_draws_are_dealt_over_all_tasks_and_never_scanned_with_the_mask(spark, monkeypatch):
